@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, simhash
+from . import language_id, mixing, quality, secrets, simhash, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,18 +16,57 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op6_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_topk, op5_quality, op6_simhash, op9_language, op10_mixing)}
+
+
+OP3_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as h from pages
+), f as (select h, min(page_id) as first from p where n >= 100 group by h)
+select page_id, n::bigint as payload_bytes, p.h as payload_digest,
+       case when f.first is null or page_id is not distinct from f.first then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from f.first then f.first end as refers_to
+from p left join f on p.h = f.h
+"""
 
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as c from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, p.vec_id, list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v p on q.vec_id % 100 = 0 and q.vec_id <> p.vec_id
+)
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s
+) where rank <= 10
+"""
 
 OP10_SQL = r"""
 with d as (
@@ -65,4 +104,4 @@ from p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_topk": OP4_SQL, "op10_mixing": OP10_SQL}
