@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality, secrets, simhash, topk, warc
+from . import decontaminate, language_id, mixing, quality, secrets, simhash, token_counts, topk, warc
+from .shared import table_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; then those labelled toxic are withdrawn, and of the others those labelled bad are revised, runs of marks
+    becoming blanks. The second batch is committed twice, as after a failure."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ledger = token_counts.Ledger(spark, table_path(spark, "token-counts"))
+    ledger.commit("load", token_counts.count(docs).withColumn("op", F.lit("insert")))
+    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    clean = F.regexp_replace("text", "[#$%&*|!]+", " ")
+    revised = token_counts.count(docs, text=clean).join(marked.where("toxic = 0 and quality = 0").select("doc_id"), "doc_id")
+    withdrawn = docs.select("doc_id").join(marked.where("toxic = 1"), "doc_id").select(
+        F.lit("delete").alias("op"), "doc_id", *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "tokenizer")], F.lit(None).cast("long").alias("n_tokens")
+    )
+    changes = revised.withColumn("op", F.lit("revise")).unionByName(withdrawn)
+    for _ in range(2):
+        ledger.commit("labels", changes)
+    return ledger.totals()
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_topk, op5_quality, op6_simhash, op9_language, op10_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing)}
 
 
 OP3_SQL = """
@@ -68,6 +91,20 @@ select query_id, rank, vec_id, score from (
 ) where rank <= 10
 """
 
+OP7_SQL = r"""
+with m as (select doc_id, max(toxic) as toxic, min(quality) as quality from labels group by doc_id),
+d as (
+  select d.doc_id, source, lang,
+         case when m.toxic = 0 and m.quality = 0 then regexp_replace(text, '[#$%&*|!]+', ' ', 'g') else text end as text
+  from documents d left join m using (doc_id) where coalesce(m.toxic, 0) <> 1
+), t as (
+  select source, lang, 'words-1' as tokenizer, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) as n from d
+  union all
+  select source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}|[^ 	-\p{L}\p{N}]')), 0) from d
+)
+select source, lang, tokenizer, count(*)::bigint as n_docs, sum(n)::bigint as n_tokens from t group by all
+"""
+
 OP10_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
@@ -104,4 +141,4 @@ from p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_topk": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_topk": OP4_SQL, "op7_token_counts": OP7_SQL, "op10_mixing": OP10_SQL}

@@ -81,3 +81,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+#: Rows that may be broadcast once counted: ids, hashes and the like, a few dozen bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, tag: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """df written to the shared folder; marked for broadcast where it was counted to hold at most `bound` rows, left to a shuffle join beyond."""
+    kept = materialise(df, tag)
+    return F.broadcast(kept) if kept.count() <= bound else kept
