@@ -173,3 +173,14 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: tuple[int, .
     )
     sources = plan.select(F.col("source").alias("_s"), "source_size", "target")
     return taken.join(sources, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target and taken of `mix`; columns of docs with these names give way.
+
+    Documents are matched by doc_id, so rows that repeat one get what its first row in order of size takes.
+    """
+    found = mix(docs, **options).drop("source")
+    one = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("size", "source_size", "target", "taken")).alias("_mix"))
+    old = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return docs.select(*old).join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*old, "_mix.*")

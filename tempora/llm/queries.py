@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality, secrets, simhash, token_counts, topk, warc
+from . import decontaminate, language_id, line_dedup, mixing, quality, secrets, simhash, token_counts, topk, warc
 from .shared import table_path
 
 
@@ -17,6 +17,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -65,7 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing)}
 
 
 OP3_SQL = """
@@ -98,9 +102,11 @@ d as (
          case when m.toxic = 0 and m.quality = 0 then regexp_replace(text, '[#$%&*|!]+', ' ', 'g') else text end as text
   from documents d left join m using (doc_id) where coalesce(m.toxic, 0) <> 1
 ), t as (
-  select source, lang, 'words-1' as tokenizer, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) as n from d
+  select source, lang, 'words-1' as tokenizer, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) as n from d
   union all
-  select source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}|[^ 	-\p{L}\p{N}]')), 0) from d
+  select source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}|[^ 	-
+\p{L}\p{N}]')), 0) from d
 )
 select source, lang, tokenizer, count(*)::bigint as n_docs, sum(n)::bigint as n_tokens from t group by all
 """
