@@ -115,7 +115,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 w = min(n, window)
                 if w >= min(window, SHORTEST):
                     rows += [(h, key, pos, w, slots) for key, pos, h, slots in _windows([key], [text], [w], None, cache)]
-            yield pd.DataFrame(rows, columns=["h", "item_id", "item_pos", "width", "item_slots"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["h", "item_id", "item_pos", "width", "item_slots"])
 
     return benchmark.select("item_id", "text").mapInPandas(run, "h long, item_id long, item_pos int, width int, item_slots array<string>")
 
@@ -144,7 +145,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 size += lengths[to]
                 if size >= CHUNK_CHARS or to == len(pdf) - 1:
                     rows = list(_windows(keys[from_ : to + 1], texts[from_ : to + 1], widths, wanted.value, cache))
-                    yield pd.DataFrame(rows, columns=["doc_id", "doc_pos", "h", "doc_slots"]).astype({"doc_id": "Int64"})
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["doc_id", "doc_pos", "h", "doc_slots"]).astype({"doc_id": "Int64"})
                     size, from_ = 0, to + 1
 
     seen = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, doc_pos int, h long, doc_slots array<string>")

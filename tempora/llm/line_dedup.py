@@ -124,6 +124,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 for n, line in enumerate(_lines(text)):
                     if line and not line.isspace():
                         out.append((d, r, n, len(line), line_hash(line)))
+            if not out:
+                continue
             got = pd.DataFrame(out, columns=["doc_id", "row", "line_no", "chars", "h"])
             h = np.frombuffer(b"".join(got.pop("h")), ">i8").reshape(-1, 2).astype(np.int64)
             yield got.assign(doc_id=got["doc_id"].astype("Int64"), h1=h[:, 0], h2=h[:, 1])
@@ -211,6 +213,8 @@ def links(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) ->
                 if among is not None:
                     at = np.minimum(np.searchsorted(among, ids), max(0, len(among) - 1))
                     keep = keep[among[at] == ids] if len(among) else keep[:0]
+                if not len(keep):
+                    continue
                 h1 = [int.from_bytes(line_hash(lines[k])[:8], signed=True) for k in keep]
                 yield pd.DataFrame({"id": ids[keep], "h1": np.array(h1, np.int64), "line": [lines[k] for k in keep]})
 

@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tempora-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base if "://" in base or base.startswith("file:") else "file://" + base
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(base)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
