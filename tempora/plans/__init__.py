@@ -1 +1,6 @@
+"""Queries of the engine and their oracles, by name."""
 
+from ..registry import ORACLES, QUERIES
+from . import speech_queries
+
+__all__ = ["ORACLES", "QUERIES", "speech_queries"]
