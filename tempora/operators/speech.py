@@ -5,11 +5,11 @@ words: (source_id, idx, word, speaker, start_us, end_us, ...). Windows go over o
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ends_sentence, is_junk, normalise, word_key
+from .folds import fold
 from .intervals import merge, overlap_join
 
 SPACING_US = 10_000
@@ -148,11 +148,10 @@ def find_loops(words: DataFrame) -> DataFrame:
     reach = Window.partitionBy("source_id").orderBy("idx").rowsBetween(-LOOP_PHRASE * LOOP_REPEATS, LOOP_PHRASE * LOOP_REPEATS)
     near = marked.withColumn("_near", F.sum(F.col("_may").cast("int")).over(reach)).where(F.col("_near") >= LOOP_REPEATS - 1)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        idx, keys, starts = pdf["idx"].tolist(), pdf["key"].tolist(), pdf["start_us"].tolist()
-        at, out = 0, []
+    def scan(rows):
+        idx, keys = [r.idx for r in rows], [r.key for r in rows]
         follows = lambda i, n: i + n <= len(idx) and idx[i + n - 1] - idx[i] == n - 1
+        at = 0
         while at < len(idx):
             step = 1
             for size in range(1, LOOP_PHRASE + 1):
@@ -163,15 +162,13 @@ def find_loops(words: DataFrame) -> DataFrame:
                 while follows(at, (n + 1) * size) and keys[at + n * size : at + (n + 1) * size] == phrase:
                     n += 1
                 if n >= LOOP_REPEATS:
-                    out.append((idx[at], starts[at], size, n))
+                    yield rows[at].source_id, idx[at], rows[at].start_us, size, n
                     step = size * n
                     break
             at += step
-        got = pd.DataFrame(out, columns=["idx", "start_us", "size", "repeats"])
-        got.insert(0, "source_id", pdf["source_id"].iloc[0])
-        return got
 
-    return near.select("source_id", "idx", "key", "start_us").groupBy("source_id").applyInPandas(scan, "source_id long, idx long, start_us long, size int, repeats int")
+    sparse = near.select("source_id", "idx", "key", "start_us")
+    return fold(sparse, ["source_id"], ["idx"], scan, "source_id long, idx long, start_us long, size int, repeats int")
 
 
 def suspect_words(words: DataFrame, quiet: DataFrame) -> DataFrame:

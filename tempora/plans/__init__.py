@@ -1,6 +1,6 @@
 """Queries of the engine and their oracles, by name."""
 
 from ..registry import ORACLES, QUERIES
-from . import speech_queries
+from . import cut_queries, speech_queries, timeline_queries
 
-__all__ = ["ORACLES", "QUERIES", "speech_queries"]
+__all__ = ["ORACLES", "QUERIES", "cut_queries", "speech_queries", "timeline_queries"]

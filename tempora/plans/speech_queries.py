@@ -188,13 +188,13 @@ def find_loops(spark, sf_dir):
 
 
 def _quiet(w):
-    """Quiet stretches for the fixtures: the last 150 to 450 ms of every fifth word."""
-    n = 150_000 + F.col("idx") % 3 * 150_000
-    return w.where("idx % 5 = 0").select("source_id", F.greatest(F.col("start_us"), F.col("end_us") - n).alias("q_start"), F.col("end_us").alias("q_end"))
+    """Quiet stretches for the fixtures: up to 450 ms at the end of words, by their number."""
+    n = F.col("idx") % 4 * 150_000
+    return w.select("source_id", F.greatest(F.col("start_us"), F.col("end_us") - n).alias("q_start"), F.col("end_us").alias("q_end"))
 
 
 SUSPECTS = """
-quiet as (select source_id, greatest(start_us, end_us - (150000 + idx % 3 * 150000)) as q_start, end_us as q_end from words where idx % 5 = 0),
+quiet as (select source_id, greatest(start_us, end_us - idx % 4 * 150000) as q_start, end_us as q_end from words),
 si as (
   select w.source_id, w.idx, sum(least(w.end_us, q_end) - greatest(w.start_us, q_start)) as silent_us from words w join quiet q
   on w.source_id = q.source_id and least(w.end_us, q_end) > greatest(w.start_us, q_start) group by all
