@@ -169,5 +169,5 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that repeat an item; all columns stay."""
-    bad = sized(find(docs, benchmark, window).select(F.col("doc_id").alias("_bad")).distinct(), "decon-found")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = sized(find(docs, benchmark, window).select(F.col("doc_id").alias("__llm_bad")).distinct(), "decon-found")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__llm_bad"]), "left_anti")

@@ -277,10 +277,10 @@ def dedup(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, dro
         found.where(F.col("chars") >= drop_chars)
         .join(lines, ["h1", "h2"])
         .where(~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first")))
-        .select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "line_no")
+        .select(F.col("doc_id").alias("__llm_d"), F.col("row").alias("__llm_r"), "line_no")
         .distinct()
-        .groupBy("_d", "_r")
-        .agg(F.collect_list("line_no").alias("_gone"))
+        .groupBy("__llm_d", "__llm_r")
+        .agg(F.collect_list("line_no").alias("__llm_gone"))
     )
 
     @F.pandas_udf("string")
@@ -291,9 +291,9 @@ def dedup(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, dro
             kept.append("\n".join(x for n, x in enumerate(t.split("\n")) if n not in away) if away and t else t)
         return pd.Series(kept, dtype=object)
 
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(gone, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    cut = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest("text", "_gone")))
+    keyed = docs.withColumn("__llm_row", F.xxhash64("doc_id", "text"))
+    joined = keyed.join(gone, (F.col("__llm_row") == F.col("__llm_r")) & F.col("doc_id").eqNullSafe(F.col("__llm_d")), "left")
+    cut = joined.withColumn("text", F.when(F.col("__llm_gone").isNull(), F.col("text")).otherwise(rest("text", "__llm_gone")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(F.col("__llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(*docs.columns)

@@ -181,6 +181,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Documents are matched by doc_id, so rows that repeat one get what its first row in order of size takes.
     """
     found = mix(docs, **options).drop("source")
-    one = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("size", "source_size", "target", "taken")).alias("_mix"))
+    one = found.groupBy(F.col("doc_id").alias("__llm_id")).agg(F.min(F.struct("size", "source_size", "target", "taken")).alias("__llm_mix"))
     old = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return docs.select(*old).join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*old, "_mix.*")
+    return docs.select(*old).join(one, F.col("doc_id").eqNullSafe(F.col("__llm_id"))).select(*old, "__llm_mix.*")

@@ -32,6 +32,8 @@ LOOKUP = np.zeros(129, np.int64)
 LOOKUP[[ord(c) for c in ALPHABET]] = np.arange(1, SYMBOLS)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.A)
 
+#: Weight of what is expected of a transition before any is seen.
+PRIOR = 8.0
 #: Nats a token must be likelier as a random string: in all and per character.
 LLR_TOTAL = 12.0
 LLR_EACH = 0.4
@@ -48,6 +50,16 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
+def suspects(text: str) -> list[tuple[int, int]]:
+    """Tokens of 20 or more characters of two classes (lower, upper, digits) at least."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        t = m.group()
+        if any(c.isdigit() for c in t) + any(c.islower() for c in t) + any(c.isupper() for c in t) > 1:
+            out.append(m.span())
+    return out
+
+
 def symbols(text: str) -> np.ndarray:
     """The symbol of each code point, between two boundaries."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -55,13 +67,15 @@ def symbols(text: str) -> np.ndarray:
 
 
 def transitions(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Transition counts of ordinary tokens and of the random strings in a text."""
+    """Transition counts of ordinary tokens and of the random strings in a text. Tokens that are to be judged are neither."""
     marks, ordinary, random = symbols(text), np.zeros(SYMBOLS**2, np.int64), np.zeros(SYMBOLS**2, np.int64)
     for _, _, _, a, b in base_spans(text):
         if marks[a + 1 : b + 1].any():
             own = np.concatenate(([0], marks[a + 1 : b + 1], [0]))
             random += np.bincount(own[:-1] * SYMBOLS + own[1:], minlength=SYMBOLS**2)
             marks[a + 1 : b + 1] = 0
+    for a, b in suspects(text):
+        marks[a + 1 : b + 1] = 0
     ordinary += np.bincount(marks[:-1] * SYMBOLS + marks[1:], minlength=SYMBOLS**2)
     ordinary[0] = 0
     return ordinary, random
@@ -70,8 +84,9 @@ def transitions(text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each transition, from all whole texts of docs.
 
-    Counts are smoothed by one; the random model is mixed in halves with an even choice of characters, as secrets outside the
-    patterns need not use the characters of those found. An empty table leaves the even choice against itself.
+    A transition counts beside PRIOR more that follow the single characters of ordinary tokens, or for random strings an even
+    choice; with that choice the random model is also mixed in halves, as secrets outside the patterns need not use the characters of those
+    found. An empty table leaves the even choice against itself.
     """
 
     def run(batches):
@@ -89,23 +104,23 @@ def train(docs: DataFrame) -> np.ndarray:
     sums = np.zeros((2, SYMBOLS**2))
     for row in counted.collect():  # at most 2 x SYMBOLS**2 rows
         sums[row["kind"], row["step"]] = row["n"]
-    smooth = sums.reshape(2, SYMBOLS, SYMBOLS) + 1
-    p = smooth / smooth.sum(axis=2, keepdims=True)
+    steps = sums.reshape(2, SYMBOLS, SYMBOLS)
+    each = steps.sum(axis=1, keepdims=True) + 0.1
+    prior = np.stack((each[0] / each[0].sum(), np.full((1, SYMBOLS), 1 / SYMBOLS)))
+    p = (steps + PRIOR * prior) / (steps.sum(axis=2, keepdims=True) + PRIOR)
     return np.log(0.5 * p[1] + 0.5 / SYMBOLS) - np.log(p[0])
 
 
 def markov_spans(text: str, llr: np.ndarray, taken: list[tuple]) -> list[tuple[int, int, str]]:
-    """Tokens of 20 or more characters, of two classes of them at least and apart from base spans, that the models call random."""
+    """Suspects apart from base spans that the models call random."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        token = m.group()
-        classes = any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token)
-        if classes < 2 or any(m.start() < b and a < m.end() for a, b, *_ in taken):
+    for start, end in suspects(text):
+        if any(start < b and a < end for a, b, *_ in taken):
             continue
-        marks = symbols(token)[:-1]
+        marks = symbols(text[start:end])[:-1]
         total = llr[marks[:-1], marks[1:]].sum()
-        if total >= LLR_TOTAL and total >= LLR_EACH * len(token):
-            out.append((*m.span(), "markov"))
+        if total >= LLR_TOTAL and total >= LLR_EACH * (end - start):
+            out.append((start, end, "markov"))
     return out
 
 

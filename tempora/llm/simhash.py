@@ -100,12 +100,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     Rows that repeat the kept doc_id count as the same document: one row stays. Rows with a null doc_id have no identity and stay.
     """
     found = near_duplicates(docs, radius, shingle).where(F.col("doc_id") == F.col("component_id"))
-    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
+    ids = found.select(F.col("doc_id").alias("__llm_kept")).distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     return (
-        docs.join(ids, docs["doc_id"] == ids["_kept"], "left")
-        .where("_kept is not null or doc_id is null")
-        .withColumn("_nth", F.row_number().over(once))
-        .where("_nth = 1 or doc_id is null")
+        docs.join(ids, docs["doc_id"] == ids["__llm_kept"], "left")
+        .where("__llm_kept is not null or doc_id is null")
+        .withColumn("__llm_nth", F.row_number().over(once))
+        .where("__llm_nth = 1 or doc_id is null")
         .select(*[docs[c] for c in docs.columns])
     )
