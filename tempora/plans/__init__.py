@@ -1,6 +1,6 @@
 """Queries of the engine and their oracles, by name."""
 
 from ..registry import ORACLES, QUERIES
-from . import audit_queries, cut_queries, measure_queries, speech_queries, timeline_queries
+from . import audit_queries, cut_queries, measure_queries, speech_queries, stream_queries, timeline_queries
 
-__all__ = ["ORACLES", "QUERIES", "audit_queries", "cut_queries", "measure_queries", "speech_queries", "timeline_queries"]
+__all__ = ["ORACLES", "QUERIES", "audit_queries", "cut_queries", "measure_queries", "speech_queries", "stream_queries", "timeline_queries"]
