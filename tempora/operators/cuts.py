@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalise
 from .folds import fold
 from .intervals import complement, merge, nearest, overlap_join, subtract
-from .speech import BY_WORD, find_pauses
+from .speech import by_word, find_pauses
 
 LEAD_IN_US = 50_000
 ISOLATED_US = 150_000
@@ -32,14 +32,14 @@ _CANDIDATE = "source_id long, kind string, confidence string, start_us long, end
 
 def _through_gap() -> Column:
     """To just before the next word; the word's own end where there is none."""
-    nxt = F.lead("start_us").over(BY_WORD)
+    nxt = F.lead("start_us").over(by_word())
     return F.coalesce(F.greatest(F.col("end_us"), nxt - LEAD_IN_US), F.col("end_us"))
 
 
 def stutters(words: DataFrame, fillers: DataFrame, deliberate: DataFrame) -> DataFrame:
     """A word said twice in a row that isn't a filler; medium where it is often meant. fillers, deliberate: (key)."""
     keyed = words.withColumn("key", normalise(F.col("word")))
-    found = keyed.withColumns({"next_key": F.lead("key").over(BY_WORD), "to_us": _through_gap()}).where("key <> '' and key = next_key")
+    found = keyed.withColumns({"next_key": F.lead("key").over(by_word()), "to_us": _through_gap()}).where("key <> '' and key = next_key")
     sure = deliberate.select(F.col("key").alias("_d")).distinct()
     return (
         found.join(fillers.select("key").distinct(), "key", "left_anti")
@@ -50,8 +50,8 @@ def stutters(words: DataFrame, fillers: DataFrame, deliberate: DataFrame) -> Dat
 
 def fillers(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Listed hesitations; high with 150 ms of gap on both sides (or the edge of speech), ambiguous ones only then. lexicon: (key, ambiguous)."""
-    gap_before = F.coalesce(F.col("start_us") - F.lag("end_us").over(BY_WORD), F.lit(ISOLATED_US))
-    gap_after = F.coalesce(F.lead("start_us").over(BY_WORD) - F.col("end_us"), F.lit(ISOLATED_US))
+    gap_before = F.coalesce(F.col("start_us") - F.lag("end_us").over(by_word()), F.lit(ISOLATED_US))
+    gap_after = F.coalesce(F.lead("start_us").over(by_word()) - F.col("end_us"), F.lit(ISOLATED_US))
     marked = words.withColumns({"key": normalise(F.col("word")), "to_us": _through_gap(), "alone": (gap_before >= ISOLATED_US) & (gap_after >= ISOLATED_US)})
     return (
         marked.join(lexicon.select("key", "ambiguous"), "key")
@@ -80,10 +80,10 @@ def false_starts(words: DataFrame) -> DataFrame:
 
     Which lengths repeat at a word is found by comparing it with the words ahead; the skip runs over those words alone.
     """
-    keyed = words.withColumn("key", normalise(F.col("word"))).withColumn("next_start", F.lead("start_us").over(BY_WORD))
+    keyed = words.withColumn("key", normalise(F.col("word"))).withColumn("next_start", F.lead("start_us").over(by_word()))
     fits = []
     for n in range(2, MAX_RESTART + 1):
-        pairs = [(F.lead("key", j).over(BY_WORD), F.lead("key", j + n).over(BY_WORD)) for j in range(n)]
+        pairs = [(F.lead("key", j).over(by_word()), F.lead("key", j + n).over(by_word())) for j in range(n)]
         ok = pairs[0][0] == pairs[0][1]
         for a, b in pairs[1:]:
             ok = ok & (a == b)
@@ -91,7 +91,7 @@ def false_starts(words: DataFrame) -> DataFrame:
             ok = ok & (a != "")
         fits.append(F.when(ok, n))
     longest = F.array_max(F.array(*fits))
-    ends = [F.when(F.col("n") == n, F.struct(F.lead("end_us", n - 1).over(BY_WORD).alias("e"), F.lead("start_us", n).over(BY_WORD).alias("s"))) for n in range(2, MAX_RESTART + 1)]
+    ends = [F.when(F.col("n") == n, F.struct(F.lead("end_us", n - 1).over(by_word()).alias("e"), F.lead("start_us", n).over(by_word()).alias("s"))) for n in range(2, MAX_RESTART + 1)]
     found = keyed.withColumn("n", longest).withColumn("last", F.coalesce(*ends)).where("n is not null")
 
     def skip(rows):

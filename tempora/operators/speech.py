@@ -24,7 +24,9 @@ LOOP_REPEATS = 4
 # Models from small to large.
 LADDER = ("tiny", "base", "small", "medium", "large-v3")
 
-BY_WORD = Window.partitionBy("source_id").orderBy("idx")
+
+def by_word():
+    return Window.partitionBy("source_id").orderBy("idx")
 
 
 def synthesize_spacing(words: DataFrame) -> DataFrame:
@@ -77,13 +79,13 @@ def tighten_pause(pauses: DataFrame, keep_us: int) -> DataFrame:
 def _islands(words: DataFrame, breaks: Column, name: str) -> DataFrame:
     """Numbers the runs of words between breaks, from 0."""
     flagged = words.withColumn("_break", F.coalesce(breaks, F.lit(False)).cast("long"))
-    return flagged.withColumn(name, F.sum("_break").over(BY_WORD.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
+    return flagged.withColumn(name, F.sum("_break").over(by_word().rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
 
 
 def group_phrases(words: DataFrame, silence_us: int = PHRASE_GAP_US, max_words: int = PHRASE_WORDS) -> DataFrame:
     """(source_id, phrase_idx, speaker, start_us, end_us, n_words, text): a phrase ends at a silence, a change of speaker or `max_words`."""
-    gap = F.col("start_us") - F.lag("end_us").over(BY_WORD) >= silence_us
-    other = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(BY_WORD)) & F.lag("idx").over(BY_WORD).isNotNull()
+    gap = F.col("start_us") - F.lag("end_us").over(by_word()) >= silence_us
+    other = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(by_word())) & F.lag("idx").over(by_word()).isNotNull()
     runs = _islands(words, gap | other, "_run")
     inside = Window.partitionBy("source_id", "_run").orderBy("idx")
     parts = runs.withColumn("_part", F.floor((F.row_number().over(inside) - 1) / max_words))
@@ -100,8 +102,8 @@ def group_phrases(words: DataFrame, silence_us: int = PHRASE_GAP_US, max_words:
 
 def sentence_numbers(words: DataFrame) -> DataFrame:
     """words with sentence_idx: a sentence ends at its mark or a gap of 0.6 s."""
-    gap = F.col("start_us") - F.lag("end_us").over(BY_WORD) >= SENTENCE_GAP_US
-    return _islands(words, gap | ends_sentence(F.lag("word").over(BY_WORD)), "sentence_idx")
+    gap = F.col("start_us") - F.lag("end_us").over(by_word()) >= SENTENCE_GAP_US
+    return _islands(words, gap | ends_sentence(F.lag("word").over(by_word())), "sentence_idx")
 
 
 def sentences(words: DataFrame) -> DataFrame:
@@ -130,7 +132,7 @@ def label_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
 def turns_from_words(words: DataFrame, speaker: str = "speaker") -> DataFrame:
     """(source_id, turn_no, speaker, start_us, end_us): runs of one speaker over labelled words."""
     known = words.where(F.col(speaker).isNotNull())
-    runs = _islands(known, F.col(speaker) != F.lag(speaker).over(BY_WORD), "turn_no")
+    runs = _islands(known, F.col(speaker) != F.lag(speaker).over(by_word()), "turn_no")
     return runs.groupBy("source_id", "turn_no").agg(
         F.first(speaker).alias("speaker"), F.min("start_us").alias("start_us"), F.max_by("end_us", "idx").alias("end_us")
     )
@@ -143,7 +145,7 @@ def find_loops(words: DataFrame) -> DataFrame:
     left-to-right scan, which skips the whole of a loop.
     """
     keyed = words.withColumn("key", word_key(F.col("word")))
-    same = [F.coalesce(F.lead("key", s).over(BY_WORD) == F.col("key"), F.lit(False)) for s in range(1, LOOP_PHRASE + 1)]
+    same = [F.coalesce(F.lead("key", s).over(by_word()) == F.col("key"), F.lit(False)) for s in range(1, LOOP_PHRASE + 1)]
     marked = keyed.withColumn("_may", F.exists(F.array(*same), lambda x: x))
     reach = Window.partitionBy("source_id").orderBy("idx").rowsBetween(-LOOP_PHRASE * LOOP_REPEATS, LOOP_PHRASE * LOOP_REPEATS)
     near = marked.withColumn("_near", F.sum(F.col("_may").cast("int")).over(reach)).where(F.col("_near") >= LOOP_REPEATS - 1)

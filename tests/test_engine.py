@@ -181,3 +181,18 @@ def test_streams_equal_batches(spark, sf):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_imports_without_a_session_and_without_the_llm_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("tempora", "__spark_entry__.py"):
+        (shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy)(f"{root}/{name}", tmp_path / name)
+    listed = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", listed], cwd=root).returncode == 0
+    shutil.rmtree(tmp_path / "tempora" / "llm", ignore_errors=True)
+    out = subprocess.run([sys.executable, "-c", listed], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout.split()[0]) == len(plans.QUERIES)
