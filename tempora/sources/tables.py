@@ -50,11 +50,11 @@ def parse_brief_rows(texts: DataFrame, key: str) -> DataFrame:
     A row lasts 100 ms at least; on-screen text is split at ` / `; a said part that begins with `off` and a colon isn't heard in the picture. Other lines are left out.
     """
     rows = texts.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^[-*•|\s]+|[|\s]+$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^[-*•|\s]+|[|\s]+$", ""), r"\|"), lambda x: F.trim(x))
     timed = rows.withColumn("c", cells).where(F.size("c") >= 3).withColumn("a", F.regexp_extract(F.col("c")[0], r"^(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)\s*s\b", 1))
     b = F.regexp_extract(F.col("c")[0], r"^(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)\s*s\b", 2)
     start = (_number(F.col("a")) * 1000).cast("long")
-    screen = F.filter(F.transform(F.split(F.coalesce(F.try_element_at("c", F.lit(4)), F.lit("")), " / "), F.trim), lambda x: x != "")
+    screen = F.filter(F.transform(F.split(F.coalesce(F.try_element_at("c", F.lit(4)), F.lit("")), " / "), lambda x: F.trim(x)), lambda x: x != "")
     return timed.where("a <> ''").select(
         key, "line_no", start.alias("start_ms"), F.greatest((_number(b) * 1000).cast("long"), start + 100).alias("end_ms"), F.col("c")[1].alias("shot"), F.col("c")[2].alias("said"),
         F.array_join(screen, "|").alias("on_screen"), F.lower(F.col("c")[2]).rlike(r"^off\s*:").alias("off_screen"),
