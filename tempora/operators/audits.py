@@ -152,3 +152,61 @@ def qa_rollup(qa: DataFrame, accepted: DataFrame) -> DataFrame:
 def qa_dashboard(qa: DataFrame) -> DataFrame:
     """(check, severity, n, failed): counts with subtotals by check and in all; null stands for "all"."""
     return qa.rollup("check", "severity").agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def technical_qa(renders: DataFrame) -> DataFrame:
+    """Renders (edit_id, streams, fps_num, fps_den, width, height, planned_us, measured_us, audio_us, peak_db10, black_us, first_cue_us) by rule: a picture stream, a standard frame rate, even size,
+    duration within 45 ms, sound as long as picture, peak and level, opening black under 0.25 s, first cue within 1 s."""
+    standard = (F.col("fps_den") == 1) & F.col("fps_num").isin(24, 25, 30, 50, 60) | (F.col("fps_den") == 1001) & F.col("fps_num").isin(24000, 30000, 60000)
+    drift, apart = F.abs(F.col("measured_us") - F.col("planned_us")), F.abs(F.col("audio_us") - F.col("measured_us"))
+    return checks(
+        renders,
+        ["edit_id"],
+        [
+            rule("picture stream", "error", F.col("streams") > 0, F.col("streams")), rule("frame rate", "warning", standard, F.col("fps_num")),
+            rule("even size", "error", (F.col("width") % 2 == 0) & (F.col("height") % 2 == 0), F.col("width")), rule("duration", "error", drift <= 45_000, drift),
+            rule("sound length", "error", apart <= 100_000, apart), rule("peak", "warning", F.col("peak_db10") <= -5, F.col("peak_db10")),
+            rule("audible", "error", F.col("peak_db10") > -600, F.col("peak_db10")), rule("opening black", "error", F.col("black_us") < 250_000, F.col("black_us")),
+            rule("first cue", "warning", F.col("first_cue_us") <= 1_000_000, F.col("first_cue_us")),
+        ],
+    )
+
+
+def silence_at_cuts(boundaries: DataFrame, quiet: DataFrame, reach_us: int = 150_000) -> DataFrame:
+    """(edit_id, at_us, silent): whether a measured silence lies within 0.15 s of a cut. boundaries: (edit_id, at_us); quiet: (edit_id, q_start, q_end)."""
+    from .intervals import range_join
+
+    b = boundaries.withColumns({"b0": F.col("at_us") - reach_us, "b1": F.col("at_us") + reach_us})
+    near = range_join(b, quiet, ["edit_id"], ("b0", "b1"), ("q_start", "q_end"), (F.col("q_start") <= F.col("b1")) & (F.col("q_end") >= F.col("b0"))).select("edit_id", "at_us").distinct()
+    return boundaries.join(near.withColumn("silent", F.lit(True)), ["edit_id", "at_us"], "left").select("edit_id", "at_us", F.coalesce("silent", F.lit(False)).alias("silent"))
+
+
+def motion_qa(elements: DataFrame, cues: DataFrame, durations: DataFrame) -> DataFrame:
+    """Graphics (edit_id, element_id, kind, start_us, end_us, chars, x0, y0, x1, y1) by rule: reading time of 0.6 s and 15 characters a second, inside the frame (per mille), clear of caption boxes
+    shown at the same time (cues: edit_id, c_start, c_end, c_y0, c_y1), and at most 16 a minute of an edit (durations: edit_id, duration_us)."""
+    from .intervals import overlap_join
+
+    hit = overlap_join(elements.select("edit_id", "element_id", "start_us", "end_us", "y0", "y1"), cues, ["edit_id"], ("start_us", "end_us"), ("c_start", "c_end"))
+    covered = hit.where((F.col("y0") < F.col("c_y1")) & (F.col("c_y0") < F.col("y1"))).groupBy("edit_id", "element_id").agg(F.count("*").alias("n_covered"))
+    per = elements.groupBy("edit_id").agg(F.count("*").alias("n_elements"))
+    df = elements.join(covered, ["edit_id", "element_id"], "left").join(per, "edit_id").join(durations, "edit_id")
+    shown, need = F.col("end_us") - F.col("start_us"), 600_000 + F.floor(F.col("chars") * 1_000_000 / 15)
+    inside = (F.col("x0") >= 0) & (F.col("y0") >= 0) & (F.col("x1") <= 1000) & (F.col("y1") <= 1000)
+    over = F.coalesce("n_covered", F.lit(0))
+    rate = F.floor(F.col("n_elements") * 60_000_000 / F.greatest(F.col("duration_us"), F.lit(1_000_000)))
+    return checks(
+        df, ["edit_id", "element_id"],
+        [rule("reading time", "warning", shown >= need, shown), rule("inside the frame", "error", inside, F.col("x1")), rule("clear of captions", "error", over == 0, over), rule("per minute", "warning", rate <= 16, rate)],
+    )
+
+
+def opening_qa(moves: DataFrame, cues: DataFrame) -> DataFrame:
+    """(edit_id, check, ...): no card or still before 0.5 s, a title by 3 s, the first cue within 40 ms. moves: (edit_id, kind, start_us, end_us); cues: (edit_id, start_us)."""
+    m = moves.groupBy("edit_id").agg(
+        F.min(F.when(F.col("kind").isin("card", "still", "effect"), F.col("start_us"))).alias("card"), F.min(F.when(F.col("kind") == "title", F.col("start_us"))).alias("title")
+    )
+    df = m.join(cues.groupBy("edit_id").agg(F.min("start_us").alias("cue")), "edit_id", "left")
+    return checks(
+        df, ["edit_id"],
+        [rule("no early card", "error", F.col("card") >= 500_000, F.col("card")), rule("title in time", "warning", F.col("title") <= 3_000_000, F.col("title")), rule("first cue", "warning", F.col("cue") <= 40_000, F.col("cue"))],
+    )
