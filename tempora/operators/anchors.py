@@ -59,7 +59,7 @@ def story_plan(lines: DataFrame, sources: DataFrame, hold_us: int = 1_250_000) -
     end = F.col("at_us") + F.coalesce("hold_us", F.lit(hold_us))
     problem = F.when(F.col("source_id").isNull(), "unknown clip").when(end > F.col("duration_us"), "past the end")
     order = Window.partitionBy("edit_id").orderBy("line_no")
-    return df.select("edit_id", (F.row_number().over(order) - 1).alias("range_idx"), "source_id", F.col("at_us").alias("start_us"), end.alias("end_us"), F.col("sentence").alias("beat"), problem.alias("problem"))
+    return df.select("edit_id", (F.row_number().over(order) - 1).cast("long").alias("range_idx"), "source_id", F.col("at_us").alias("start_us"), end.alias("end_us"), F.col("sentence").alias("beat"), problem.alias("problem"))
 
 
 def brief_labels(rows: DataFrame, seconds_us: int = 3_000_000) -> DataFrame:

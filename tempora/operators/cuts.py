@@ -293,4 +293,4 @@ def rank_candidates(clips: DataFrame, scores: list[str], need: str) -> DataFrame
     total = sum((F.coalesce(c, F.lit(0)) for c in known), F.lit(0))
     mean = F.when(n > 0, F.floor(total * 100 / n)).cast("long")
     ranked = clips.withColumn("mean_score", mean)
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("edit_id").orderBy(F.desc_nulls_last("mean_score"), "clip_id")))
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("edit_id").orderBy(F.desc_nulls_last("mean_score"), "clip_id")).cast("long"))

@@ -60,7 +60,7 @@ def score_assets(files: DataFrame, name_terms: list[str], text_terms: list[str],
     hits = lambda col, terms: sum((F.when(F.instr(col, t) > 0, 1).otherwise(0) for t in terms), F.lit(0))
     score = F.least(F.lit(60), 20 * hits(path, name_terms)) + F.least(F.lit(40), 8 * hits(text, text_terms)) + F.when(path.rlike(r"/(docs|brand|assets|media|content)/"), 15).otherwise(0)
     best = files.withColumn("score", score).where("score >= 25").orderBy(F.desc("score"), "asset_id").limit(top)  # a top-k report
-    return best.select("asset_id", F.col("score").cast("long").alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "asset_id")).alias("rank"))
+    return best.select("asset_id", F.col("score").cast("long").alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "asset_id")).cast("long").alias("rank"))
 
 
 def config_conflicts(claims: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def batch_status(states: DataFrame) -> DataFrame:
 def edits_in_progress(states: DataFrame, top: int = 5) -> DataFrame:
     """The newest `top` unfinished edits of each batch: (batch, workspace, changed, rank)."""
     order = Window.partitionBy("batch").orderBy(F.desc("changed"), "workspace")
-    return states.where("stage <> 'complete'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("batch", "workspace", "changed", "rank")
+    return states.where("stage <> 'complete'").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("batch", "workspace", "changed", "rank")
 
 
 def primary_face(faces: DataFrame) -> DataFrame:

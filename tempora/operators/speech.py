@@ -43,7 +43,7 @@ def build_tokens(words: DataFrame) -> DataFrame:
     """Words and the spacing between them, numbered in time."""
     spoken = words.select("source_id", F.lit("word").alias("kind"), F.col("word").alias("text"), "start_us", "end_us", "speaker")
     order = Window.partitionBy("source_id").orderBy("start_us", "end_us", "kind")
-    return spoken.unionByName(synthesize_spacing(words)).withColumn("token_idx", F.row_number().over(order) - 1)
+    return spoken.unionByName(synthesize_spacing(words)).withColumn("token_idx", (F.row_number().over(order) - 1).cast("long"))
 
 
 def has_word_timestamps(words: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def group_phrases(words: DataFrame, silence_us: int = PHRASE_GAP_US, max_words:
     )
     number = Window.partitionBy("source_id").orderBy("_run", "_part")
     return grouped.select(
-        "source_id", (F.row_number().over(number) - 1).alias("phrase_idx"), "speaker", "start_us", "end_us", "n_words",
+        "source_id", (F.row_number().over(number) - 1).cast("long").alias("phrase_idx"), "speaker", "start_us", "end_us", "n_words",
         F.array_join(F.transform("_w", lambda w: w["word"]), " ").alias("text"),
     )
 
