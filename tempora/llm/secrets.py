@@ -86,7 +86,7 @@ def train(docs: DataFrame) -> np.ndarray:
 
     A transition counts beside PRIOR more that follow the single characters of ordinary tokens, or for random strings an even
     choice; with that choice the random model is also mixed in halves, as secrets outside the patterns need not use the characters of those
-    found. An empty table leaves the even choice against itself.
+    found, and the ordinary one by a tenth, so that a few transitions a corpus lacks don't make an identifier random. An empty table leaves the even choice against itself.
     """
 
     def run(batches):
@@ -108,7 +108,7 @@ def train(docs: DataFrame) -> np.ndarray:
     each = steps.sum(axis=1, keepdims=True) + 0.1
     prior = np.stack((each[0] / each[0].sum(), np.full((1, SYMBOLS), 1 / SYMBOLS)))
     p = (steps + PRIOR * prior) / (steps.sum(axis=2, keepdims=True) + PRIOR)
-    return np.log(0.5 * p[1] + 0.5 / SYMBOLS) - np.log(p[0])
+    return np.log(0.5 * p[1] + 0.5 / SYMBOLS) - np.log(0.9 * p[0] + 0.1 / SYMBOLS)
 
 
 def markov_spans(text: str, llr: np.ndarray, taken: list[tuple]) -> list[tuple[int, int, str]]:
