@@ -3,7 +3,8 @@
 Numbers, units and names of a text become typed placeholders, everything else lower-case words; windows of the
 resulting templates are hashed and joined between documents and benchmark items. A window found in both at a fixed offset gives pairs
 of slot values. A document repeats an item if the values of such a stretch map one to one: the same number or name of the item
-always stands for the same one of the document. All values equal: an exact copy; otherwise a re-parameterised question.
+always stands for the same one of the document. All values equal: an exact copy; otherwise a re-parameterised question. A value that
+contradicts an earlier one ends a stretch and no more: windows before and behind it count in stretches of their own, and windows whose values are all equal count together.
 """
 
 from __future__ import annotations
@@ -121,10 +122,45 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return benchmark.select("item_id", "text").mapInPandas(run, "h long, item_id long, item_pos int, width int, item_slots array<string>")
 
 
+def one_to_one(pairs) -> bool:
+    """Whether no value of either side stands for two of the other."""
+    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
+def longest(windows: list[set[tuple[str, str]]]) -> tuple[int, int, bool]:
+    """(windows, slots, exact) of the longest stretch whose pairs (item value, document value) map one to one; (0, 0, False) if there is none.
+
+    windows: pairs of each matching window, in order. Windows that contradict themselves are in no stretch. Those whose values are
+    all equal are a stretch whatever lies between them; it wins over others that aren't longer.
+    """
+    exact = [w for w in windows if all(a == b for a, b in w)]
+    best, slots = len(exact), len(set().union(*exact)) if exact else 0
+    whole, sound = True, [w for w in windows if one_to_one(w)]
+    forth: dict[str, dict[str, int]] = {}
+    back: dict[str, dict[str, int]] = {}
+    left = kept = 0  # kept: different pairs of the windows from left on
+    for right, w in enumerate(sound):
+        while any(b not in forth.get(a, (b,)) or a not in back.get(b, (a,)) for a, b in w):
+            for a, b in sound[left]:
+                for side, x, y in ((forth, a, b), (back, b, a)):
+                    side[x][y] -= 1
+                    if not side[x][y]:
+                        del side[x]
+                kept -= a not in forth
+            left += 1
+        for a, b in w:
+            kept += a not in forth
+            for side, x, y in ((forth, a, b), (back, b, a)):
+                side.setdefault(x, {y: 0})[y] += 1
+        if right + 1 - left > best:
+            best, slots, whole = right + 1 - left, kept, False
+    return best, slots, whole and best > 0
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, windows, slots, exact): a row per document and item that it repeats in one consistent stretch or more.
 
-    windows: template windows of the longest consistent stretch; slots: different slot values in it; exact: whether all of them are equal. Null and empty texts, and items under SHORTEST
+    windows: template windows of the longest consistent stretch at one offset; slots: different slot values in it; exact: whether all of them are equal. Null and empty texts, and items under SHORTEST
     tokens, repeat nothing. Rows of one doc_id (null too) count as one document. Without documents or items the result is empty.
     """
     spark = docs.sparkSession
@@ -144,26 +180,36 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             for to in range(len(pdf)):
                 size += lengths[to]
                 if size >= CHUNK_CHARS or to == len(pdf) - 1:
-                    rows = list(_windows(keys[from_ : to + 1], texts[from_ : to + 1], widths, wanted.value, cache))
+                    rows = list(_windows(range(from_, to + 1), texts[from_ : to + 1], widths, wanted.value, cache))
                     if rows:
-                        yield pd.DataFrame(rows, columns=["doc_id", "doc_pos", "h", "doc_slots"]).astype({"doc_id": "Int64"})
+                        got = pd.DataFrame(rows, columns=["n", "doc_pos", "h", "doc_slots"])
+                        n = got.pop("n").to_numpy()
+                        row = {k: xxhash.xxh3_64_intdigest(texts[k].encode("utf-8", "surrogatepass")) for k in np.unique(n)}
+                        yield got.assign(doc_id=keys[n], row=np.array([row[k] for k in n], np.uint64).view(np.int64))
                     size, from_ = 0, to + 1
 
-    seen = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, doc_pos int, h long, doc_slots array<string>")
+    seen = docs.select("doc_id", "text").mapInPandas(run, "doc_pos int, h long, doc_slots array<string>, doc_id long, row long")
     both = seen.join(bench, "h").where(F.size("doc_slots") == F.size("item_slots"))
-    pairs = F.arrays_zip("item_slots", "doc_slots")
+
+    @F.pandas_udf("windows long, slots long, exact boolean")
+    def judge(places: pd.Series, item: pd.Series, doc: pd.Series) -> pd.DataFrame:
+        told = []
+        for at, xs, ys in zip(places, item, doc, strict=True):
+            told.append(longest([set(zip(x, y, strict=True)) for _, x, y in sorted(zip(at, xs, ys, strict=True), key=lambda w: w[0])]))
+        return pd.DataFrame(told, columns=["windows", "slots", "exact"])
+
+    # a group holds the windows of one item at most, once each
     stretches = (
-        both.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
-        .agg(F.count_distinct("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-        .withColumn("slots", F.size("pairs"))
-        .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.col("slots"))
-        .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["doc_slots"]))) == F.col("slots"))
-        .withColumn("exact", F.forall("pairs", lambda p: p["item_slots"] == p["doc_slots"]))
+        both.groupBy("doc_id", "row", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
+        .agg(F.collect_set(F.struct("item_pos", "item_slots", "doc_slots")).alias("w"))
+        .select("doc_id", "item_id", judge("w.item_pos", "w.item_slots", "w.doc_slots").alias("best"))
+        .select("doc_id", "item_id", "best.*")
+        .where("windows > 0")
     )
     return (
         stretches.groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("exact", "windows", "slots")).alias("best"))
-        .select("doc_id", "item_id", "best.windows", F.col("best.slots").cast("long").alias("slots"), "best.exact")
+        .select("doc_id", "item_id", "best.windows", "best.slots", "best.exact")
     )
 
 

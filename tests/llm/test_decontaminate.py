@@ -66,3 +66,34 @@ def test_contaminated_documents_go(spark, make_docs, awkward, nothing):
     none = spark.createDataFrame([], ITEMS)
     assert D.drop_contaminated(awkward, bench).count() == 12 and D.drop_contaminated(awkward, none).count() == 12
     assert D.drop_contaminated(nothing, bench).count() == 0 and D.drop_contaminated(docs, bench).columns == docs.columns
+
+
+def test_a_contradiction_ends_a_stretch_only(spark, make_docs):
+    """One edited number or name must not throw away the windows around it."""
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choice("bcdfglmnrtaeiou") for _ in range(6)) for _ in range(n))
+    item = f"they paid 45 coins {words(40)} and 45 coins more {words(40)} for 3 and 5 boats {words(14)}"
+    edited = item.replace("and 45 coins", "and 46 coins")
+    same = item.replace("for 3 and 5", "for 4 and 4")
+    new = item.replace("45", "71")
+    got = find(spark, make_docs, [(1, edited), (2, same), (3, new), (4, item)], [(1, item)])
+    n = len(item.split()) - D.WINDOW + 1
+    assert got[4, 1]["windows"] == n and got[4, 1]["exact"]
+    # the 3 windows with the first 45 are in another stretch than the 13 with the edited one
+    assert got[1, 1]["windows"] == n - 3 and not got[1, 1]["exact"]
+    # 15 windows hold the 3 or the 5; all others are equal word for word
+    assert got[2, 1]["windows"] == n - 15 and got[2, 1]["exact"]
+    assert got[3, 1]["windows"] == n and not got[3, 1]["exact"]
+
+
+def test_longest_stretch_matches_brute_force():
+    rnd = random.Random(4)
+    for _ in range(500):
+        windows = [{(rnd.choice("abc"), rnd.choice("abc")) for _ in range(rnd.randint(0, 2))} for _ in range(rnd.randint(0, 9))]
+        exact = sum(all(a == b for a, b in w) for w in windows)
+        sound = [w for w in windows if D.one_to_one(w)]
+        runs = [sound[i:j] for i in range(len(sound)) for j in range(i + 1, len(sound) + 1)]
+        want = max([len(r) for r in runs if D.one_to_one(set().union(*r))], default=0)
+        most, slots, whole = D.longest(windows)
+        assert most == max(want, exact) and whole == (exact >= want and exact > 0)
+        assert slots in {len(set().union(*r)) for r in [*runs, [w for w in windows if all(a == b for a, b in w)]]} | {0}
