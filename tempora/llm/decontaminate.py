@@ -5,11 +5,15 @@ resulting templates are hashed and joined between documents and benchmark items.
 of slot values. A document repeats an item if the values of such a stretch map one to one: the same number or name of the item
 always stands for the same one of the document. All values equal: an exact copy; otherwise a re-parameterised question. A value that
 contradicts an earlier one ends a stretch and no more: windows before and behind it count in stretches of their own, and windows whose values are all equal count together.
+
+A second hash of each window takes all tokens as they are but for their case, with no placeholders. It finds exact copies that are re-cased
+(where names and words change places) and windows that are mostly numbers and names, which as templates would match anything.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ from .shared import BROADCAST_ROWS, materialise, sized
 WINDOW = 13
 #: Items shorter than a window are one window, down to so many tokens.
 SHORTEST = 6
-#: Least share of words that are no placeholders in a window.
+#: Least share of words that are no placeholders in a template window.
 LITERALS = 0.5
 #: Texts of a batch are handled this many characters at a time.
 CHUNK_CHARS = 4_000_000
@@ -35,91 +39,114 @@ UNITS = frozenset(
 )
 _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(t, 7)) for t in ("<number>", "<unit>", "<name>"))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Told apart from templates: added to the width in hashes of windows without placeholders.
+_PLAIN = 1 << 32
+#: What a token is by itself; whether it opens a sentence or follows a number depends on the one before.
+STOP, NUMBER, UNIT, SIGN, CAPITAL = 1, 2, 4, 8, 16
+MARKS = ("", "n:", "u:", "a:")
+
 
+class Tokens(dict):
+    """Numbers of tokens as they are met; by number: flags, hash of the word, hash without case, value as a slot."""
 
-def template(text: str, ids: dict[str, int]) -> tuple[list[int], list[str | None]]:
-    """(token ids, slot values) of a text: slot values are None for words. ids: cache of word hashes."""
-    out, values = [], []
-    opening, after_number = True, False
-    for t in TOKEN.findall(text):
+    def __init__(self):
+        self.flags, self.words, self.plain, self.values = array("B"), array("Q"), array("Q"), []
+
+    def __missing__(self, t: str) -> int:
+        c, low = t[0], t.lower()
         if t in ".!?\n":
-            opening, after_number = True, False
-            continue
-        c = t[0]
-        if c.isdecimal():
-            out.append(_NUMBER)
-            values.append("n:" + t.replace(",", ""))
-            opening, after_number = False, True
-            continue
-        low = t if t.islower() else t.lower()
-        if low in UNITS and (after_number or not c.isalpha()):
-            out.append(_UNIT)
-            values.append("u:" + low)
-        elif c.isupper() and not opening and len(t) > 1:
-            out.append(_NAME)
-            values.append("a:" + low)
+            flags = STOP
+        elif c.isdecimal():
+            flags, low = NUMBER, t.replace(",", "")
         else:
-            h = ids.get(low)
-            if h is None:
-                if len(ids) > 500_000:
-                    ids.clear()
-                h = ids[low] = xxhash.xxh64_intdigest(low, 7)
-            out.append(h)
-            values.append(None)
-        opening = after_number = False
-    return out, values
-
-
-def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` ids."""
-    h = np.zeros(max(0, len(ids) - width + 1), np.uint64)
-    for k in range(width):
-        h = (h ^ (h >> np.uint64(29))) * _STEP + ids[k : k + len(h)]
-    return (h ^ (h >> np.uint64(32))) * _STEP + np.uint64(width)
-
-
-def _windows(keys, texts, widths, wanted, cache):
-    """Rows (key, pos, hash, slots) of all windows of the given widths with enough words; wanted: sorted hashes to keep, None for all."""
-    ids, values, owner, place = [], [], [], []
-    for n, text in enumerate(texts):
-        if text:
-            a, b = template(text, cache)
-            ids += a
-            values += b
-            owner.append(np.full(len(a), n))
-            place.append(np.arange(len(a)))
-    if not ids:
-        return
-    ids, owner, place = np.array(ids, np.uint64), np.concatenate(owner), np.concatenate(place)
-    slot = np.fromiter((v is not None for v in values), bool, len(values))
-    slots_before = np.concatenate(([0], np.cumsum(slot)))
-    for w in widths:
-        h = rolling(ids, w).view(np.int64)
-        n = len(h)
-        ok = (owner[:n] == owner[w - 1 :]) & (slots_before[w:] - slots_before[:n] <= (1 - LITERALS) * w)
-        if wanted is not None:
-            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            ok &= wanted[at] == h if len(wanted) else False
-        for i in np.flatnonzero(ok):
-            yield keys[owner[i]], int(place[i]), int(h[i]), [v for v in values[i : i + w] if v is not None]
+            flags = UNIT * (low in UNITS) | SIGN * (not c.isalpha()) | CAPITAL * (c.isupper() and len(t) > 1)
+        self.flags.append(flags)
+        self.words.append(xxhash.xxh64_intdigest(low, 7))
+        self.plain.append(xxhash.xxh64_intdigest(low if low.isascii() else t.casefold(), 7))
+        self.values.append(low)
+        n = self[t] = len(self.values) - 1
+        return n
+
+    def clear(self):
+        super().clear()
+        self.__init__()
+
+
+def rolling(ids: np.ndarray, widths: list[int]):
+    """(width, hash of each run of so many ids) for each of the widths, which ascend."""
+    h = np.zeros(len(ids), np.uint64)
+    for w in range(1, min(widths[-1], len(ids)) + 1 if widths else 0):
+        h = h[: len(ids) - w + 1]
+        h = (h ^ (h >> np.uint64(29))) * _STEP + ids[w - 1 :]
+        if w in widths:
+            yield w, h ^ (h >> np.uint64(32))
+
+
+def _tokens(texts, cache: Tokens):
+    """(owner, place, template ids, ids without case, roles, codes) of the tokens of texts; roles index MARKS, 0 for words."""
+    if len(cache) > 500_000:
+        cache.clear()
+    codes, counts = array("I"), []
+    for text in texts:
+        before = len(codes)
+        codes.extend(map(cache.__getitem__, TOKEN.findall(text)) if text else ())
+        counts.append(len(codes) - before)
+    code = np.array(codes, np.int64)
+    flags = np.array(cache.flags, np.uint8)[code]
+    owner = np.repeat(np.arange(len(counts)), counts)
+    before = np.concatenate((np.full(min(1, len(flags)), STOP, np.uint8), flags[:-1]))
+    before[1:][owner[1:] != owner[:-1]] = STOP
+    number = flags & NUMBER > 0
+    unit = (flags & UNIT > 0) & ((before & NUMBER > 0) | (flags & SIGN > 0))
+    name = ~unit & (flags & CAPITAL > 0) & (before & STOP == 0)
+    keep = flags & STOP == 0
+    role = np.select([number, unit, name], [1, 2, 3], 0)[keep]
+    code, owner = code[keep], owner[keep]
+    ids = np.where(role > 0, np.array([0, _NUMBER, _UNIT, _NAME], np.uint64)[role], np.array(cache.words, np.uint64)[code])
+    place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(counts)))[owner]
+    return owner, place, ids, np.array(cache.plain, np.uint64)[code], role, code
+
+
+def _windows(keys, texts, widths, wanted, cache: Tokens):
+    """Rows (key, pos, hash, plain, slots) of all windows of the given widths: templates with enough words, and tokens as they are without case.
+
+    wanted: sorted hashes to keep, None for all. Plain windows have no slots.
+    """
+    owner, place, ids, bare, role, code = _tokens(texts, cache)
+    slots_before = np.concatenate(([0], np.cumsum(role > 0)))
+    for plain, stream in ((False, ids), (True, bare)):
+        for w, h in rolling(stream, widths):
+            h = (h * _STEP + np.uint64(w + _PLAIN * plain)).view(np.int64)
+            n = len(h)
+            ok = owner[:n] == owner[w - 1 :]
+            if not plain:
+                ok &= slots_before[w:] - slots_before[:n] <= (1 - LITERALS) * w
+            at = np.flatnonzero(ok)
+            if wanted is not None:
+                if not len(wanted):
+                    continue
+                at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
+            for i in at:
+                slots = [] if plain else [MARKS[role[j]] + cache.values[code[j]] for j in range(i, i + w) if role[j]]
+                yield keys[owner[i]], int(place[i]), int(h[i]), plain, slots
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, item_id, item_pos, width, item_slots): all template windows of the items; an item shorter than a window is one by itself."""
+    """(h, item_id, item_pos, width, plain, item_slots): all windows of the items, as templates and plain; an item shorter than a window is one by itself."""
 
     def run(batches):
-        cache: dict[str, int] = {}
+        cache = Tokens()
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["item_id"], pdf["text"], strict=True):
-                n = len(template(text, cache)[0]) if text else 0
+                n = len(_tokens([text], cache)[0])
                 w = min(n, window)
                 if w >= min(window, SHORTEST):
-                    rows += [(h, key, pos, w, slots) for key, pos, h, slots in _windows([key], [text], [w], None, cache)]
+                    rows += [(h, key, pos, w, plain, slots) for key, pos, h, plain, slots in _windows([key], [text], [w], None, cache)]
             if rows:
-                yield pd.DataFrame(rows, columns=["h", "item_id", "item_pos", "width", "item_slots"])
+                yield pd.DataFrame(rows, columns=["h", "item_id", "item_pos", "width", "plain", "item_slots"])
 
-    return benchmark.select("item_id", "text").mapInPandas(run, "h long, item_id long, item_pos int, width int, item_slots array<string>")
+    return benchmark.select("item_id", "text").mapInPandas(run, "h long, item_id long, item_pos int, width int, plain boolean, item_slots array<string>")
 
 
 def one_to_one(pairs) -> bool:
@@ -160,7 +187,7 @@ def longest(windows: list[set[tuple[str, str]]]) -> tuple[int, int, bool]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, windows, slots, exact): a row per document and item that it repeats in one consistent stretch or more.
 
-    windows: template windows of the longest consistent stretch at one offset; slots: different slot values in it; exact: whether all of them are equal. Null and empty texts, and items under SHORTEST
+    windows: windows of the longest consistent stretch at one offset; slots: different slot values in it; exact: whether all of them are equal. Null and empty texts, and items under SHORTEST
     tokens, repeat nothing. Rows of one doc_id (null too) count as one document. Without documents or items the result is empty.
     """
     spark = docs.sparkSession
@@ -172,7 +199,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     wanted = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in hashes.collect()], np.int64)) if few else None)
 
     def run(batches):
-        cache: dict[str, int] = {}
+        cache = Tokens()
         for pdf in batches:
             size, from_ = 0, 0
             lengths = [len(t) if t else 0 for t in pdf["text"]]
@@ -182,10 +209,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 if size >= CHUNK_CHARS or to == len(pdf) - 1:
                     rows = list(_windows(range(from_, to + 1), texts[from_ : to + 1], widths, wanted.value, cache))
                     if rows:
-                        got = pd.DataFrame(rows, columns=["n", "doc_pos", "h", "doc_slots"])
-                        n = got.pop("n").to_numpy()
+                        got = pd.DataFrame(rows, columns=["n", "doc_pos", "h", "plain", "doc_slots"])
+                        n = got["n"].to_numpy()
                         row = {k: xxhash.xxh3_64_intdigest(texts[k].encode("utf-8", "surrogatepass")) for k in np.unique(n)}
-                        yield got.assign(doc_id=keys[n], row=np.array([row[k] for k in n], np.uint64).view(np.int64))
+                        yield got[["doc_pos", "h", "doc_slots"]].assign(doc_id=keys[n], row=np.array([row[k] for k in n], np.uint64).view(np.int64))
                     size, from_ = 0, to + 1
 
     seen = docs.select("doc_id", "text").mapInPandas(run, "doc_pos int, h long, doc_slots array<string>, doc_id long, row long")
@@ -195,10 +222,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     def judge(places: pd.Series, item: pd.Series, doc: pd.Series) -> pd.DataFrame:
         told = []
         for at, xs, ys in zip(places, item, doc, strict=True):
-            told.append(longest([set(zip(x, y, strict=True)) for _, x, y in sorted(zip(at, xs, ys, strict=True), key=lambda w: w[0])]))
+            pairs: dict[int, set] = {}  # a plain window has none of its own, so the two rows of a place are one
+            for k, x, y in zip(at, xs, ys, strict=True):
+                pairs.setdefault(k, set()).update(zip(x, y, strict=True))
+            told.append(longest([pairs[k] for k in sorted(pairs)]))
         return pd.DataFrame(told, columns=["windows", "slots", "exact"])
 
-    # a group holds the windows of one item at most, once each
+    # a group holds the windows of one item at most, twice each
     stretches = (
         both.groupBy("doc_id", "row", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
         .agg(F.collect_set(F.struct("item_pos", "item_slots", "doc_slots")).alias("w"))

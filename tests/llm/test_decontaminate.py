@@ -97,3 +97,13 @@ def test_longest_stretch_matches_brute_force():
         most, slots, whole = D.longest(windows)
         assert most == max(want, exact) and whole == (exact >= want and exact > 0)
         assert slots in {len(set().union(*r)) for r in [*runs, [w for w in windows if all(a == b for a, b in w)]]} | {0}
+
+
+def test_exact_copies_are_found_in_any_case(spark, make_docs):
+    table = "Paris 12 Rome 14 Oslo 9 Kyiv 20 Lima 31 Bern 8 Riga 17 Cairo 22"
+    short = "Make seven green bottles stand upon walls"
+    items = [(1, ITEM), (2, table), (3, short)]
+    rows = [(1, ITEM.upper()), (2, ITEM.lower()), (3, ITEM.title()), (4, f"so {table} it is"), (5, f"then {short} today"), (6, table.replace("1", "7"))]
+    got = find(spark, make_docs, rows, items)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)} and all(r["exact"] for r in got.values())
+    assert {got[d, 1]["windows"] for d in (1, 2, 3)} == {17}
