@@ -30,7 +30,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SYMBOLS = len(ALPHABET) + 1
 LOOKUP = np.zeros(129, np.int64)
 LOOKUP[[ord(c) for c in ALPHABET]] = np.arange(1, SYMBOLS)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.A)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.A)
+VALUE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}", re.A)
 
 #: Weight of what is expected of a transition before any is seen.
 PRIOR = 8.0
@@ -51,12 +52,11 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
 
 
 def suspects(text: str) -> list[tuple[int, int]]:
-    """Tokens of 20 or more characters of two classes (lower, upper, digits) at least."""
+    """Tokens of 12 or more characters, of whatever classes: the models tell. In those under 20, = is no part but at the end, so a key doesn't lengthen its value."""
     out = []
     for m in CANDIDATE.finditer(text):
-        t = m.group()
-        if any(c.isdigit() for c in t) + any(c.islower() for c in t) + any(c.isupper() for c in t) > 1:
-            out.append(m.span())
+        a, b = m.span()
+        out += [(a, b)] if b - a >= 20 else [v.span() for v in VALUE.finditer(text, a, b)]
     return out
 
 
@@ -112,10 +112,10 @@ def train(docs: DataFrame) -> np.ndarray:
 
 
 def markov_spans(text: str, llr: np.ndarray, taken: list[tuple]) -> list[tuple[int, int, str]]:
-    """Suspects apart from base spans that the models call random."""
+    """Suspects that the models call random, but those inside a base span."""
     out = []
     for start, end in suspects(text):
-        if any(start < b and a < end for a, b, *_ in taken):
+        if any(a <= start and end <= b for a, b, *_ in taken):
             continue
         marks = symbols(text[start:end])[:-1]
         total = llr[marks[:-1], marks[1:]].sum()
