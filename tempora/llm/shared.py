@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (local runs), one of our own, set once."""
+    """The folder that spark.checkpoint.dir names; where it is unset in local mode, one of our own, set once. On a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tempora-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     jvm = spark._jvm.org.apache.hadoop.fs
@@ -24,7 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which goes when the application ends: results may be read until then."""
+    root = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_lines_match_brute_force(stages):
     first = {(d, n): (cd, cn) for d, n, cd, cn, _ in brute(rows)}
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(small).collect()}
     for d, text in rows:
-        kept = [x for n, x in enumerate(text.split("\n")) if len(x) < line_dedup.DROP_CHARS or (d, n) not in first or first[d, n] == (d, n)]
+        kept = [x for n, x in enumerate(text.split("\n")) if (d, n) not in first or first[d, n] == (d, n)]
         assert got[d] == "\n".join(kept)
 
 
