@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, materialise, sized
 
 WINDOW = 13
-#: Items shorter than a window are one window, down to so many tokens.
-SHORTEST = 6
 #: Least share of words that are no placeholders in a template window.
 LITERALS = 0.5
 #: Texts of a batch are handled this many characters at a time.
@@ -141,7 +139,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for key, text in zip(pdf["item_id"], pdf["text"], strict=True):
                 n = len(_tokens([text], cache)[0])
                 w = min(n, window)
-                if w >= min(window, SHORTEST):
+                if w:
                     rows += [(h, key, pos, w, plain, slots) for key, pos, h, plain, slots in _windows([key], [text], [w], None, cache)]
             if rows:
                 yield pd.DataFrame(rows, columns=["h", "item_id", "item_pos", "width", "plain", "item_slots"])
@@ -187,12 +185,13 @@ def longest(windows: list[set[tuple[str, str]]]) -> tuple[int, int, bool]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, windows, slots, exact): a row per document and item that it repeats in one consistent stretch or more.
 
-    windows: windows of the longest consistent stretch at one offset; slots: different slot values in it; exact: whether all of them are equal. Null and empty texts, and items under SHORTEST
-    tokens, repeat nothing. Rows of one doc_id (null too) count as one document. Without documents or items the result is empty.
+    windows: windows of the longest consistent stretch at one offset; slots: different slot values in it; exact: whether all of them are equal. Null and
+    empty texts and items without tokens repeat nothing; an item shorter than a window is found where it stands whole. Rows of one doc_id (null too) count as one document, repeated ones
+    once. Texts are read whole. Without documents or items the result is empty.
     """
     spark = docs.sparkSession
     bench = materialise(benchmark_windows(benchmark, window).distinct(), "decon-benchmark")
-    widths = sorted(r["width"] for r in bench.select("width").distinct().collect())  # SHORTEST to window
+    widths = sorted(r["width"] for r in bench.select("width").distinct().collect())  # 1 to window
     hashes = bench.select("h").distinct()
     # membership by broadcast hashes (8 bytes each) where they are counted to be few enough; else every window goes to the join
     few = hashes.count() <= BROADCAST_ROWS
@@ -244,6 +243,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without those that repeat an item; all columns stay."""
+    """docs without those that repeat an item; all columns stay, whatever their names.
+
+    Rows with a null or empty text stay; all rows of a doc_id (null too) go if one of them repeats an item. Empty tables take nothing away.
+    """
     bad = sized(find(docs, benchmark, window).select(F.col("doc_id").alias("__llm_bad")).distinct(), "decon-found")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__llm_bad"]), "left_anti")
