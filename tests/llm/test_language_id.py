@@ -1,3 +1,5 @@
+import functools
+import random
 import zlib
 
 import numpy as np
@@ -6,40 +8,54 @@ from tempora.llm import language_id as L
 
 
 def test_code_lengths_are_those_of_the_trees():
-    """Tables against escapes worked out symbol by symbol, and every context's probabilities sum to one."""
-    text = "abracadabra abrakadabra alakazam"
-    lookup = np.full(256, L.SYMBOLS - 1, np.int32)
-    lookup[32] = 0
-    for n, c in enumerate("abcdklmrz", 1):
-        lookup[ord(c)] = n
-    marks = lookup[L.folded(text)]
-    code, n = np.unique(L.grams(marks), return_counts=True)
-    table = L.Model(lookup, ["x"], [(code, n)]).tables()[0].astype(float)
-    probabilities = np.exp2(-table).reshape(-1, L.SYMBOLS).sum(axis=1)
-    assert np.allclose(probabilities, 1, atol=1e-4)
-
+    """Code lengths against escapes worked out byte by byte, and every context's probabilities sum to one."""
+    text = "abracadabra abrakadabra alakazam é漢 é字"
+    marks = L.folded(text)
+    codes, n = np.unique(L.grams(marks), return_counts=True)
+    orders = L.tree(codes, n.astype(float))
     seen = [{} for _ in range(L.ORDER + 1)]
-    padded = [0] * L.ORDER + marks.tolist()
+    padded = [L.SPACE] * L.ORDER + marks.tolist()
     for at in range(L.ORDER, len(padded)):
         for k in range(L.ORDER + 1):
             row = seen[k].setdefault(tuple(padded[at - k : at]), {})
             row[padded[at]] = row.get(padded[at], 0) + 1
 
+    @functools.cache
     def p(ctx, s, k):
         if k < 0:
-            return 1 / L.SYMBOLS
+            return 1 / 256
         row = seen[k].get(ctx)
         if row is None:
             return p(ctx[1:], s, k - 1)
         total, kinds = sum(row.values()), len(row)
         if s in row:
             return row[s] / (total + kinds)
-        free = sum(p(ctx[1:], x, k - 1) for x in range(L.SYMBOLS) if x not in row)
+        free = sum(p(ctx[1:], x, k - 1) for x in range(256) if x not in row)
         return kinds / (total + kinds) * p(ctx[1:], s, k - 1) / free
 
-    for a, b, c, d in ((1, 2, 8, 1), (0, 0, 0, 1), (1, 2, 8, 9), (9, 9, 9, 4), (3, 1, 4, 39)):
-        at = ((a * L.SYMBOLS + b) * L.SYMBOLS + c) * L.SYMBOLS + d
-        assert abs(2.0 ** -table[at] - p((a, b, c), d, 3)) < 1e-5
+    for ctx in (b"abr", b"ara", b"zzz", b"a a", "漢".encode(), "é".encode() + b"x"):
+        code = np.array([int.from_bytes(ctx + bytes([s]), "big") for s in range(256)], np.uint32)
+        got = np.exp2(-L.code_bits(orders, code))
+        assert abs(got.sum() - 1) < 1e-6
+        for s in (97, 98, 32, 0xC3, 0xE6, 7):
+            assert abs(got[s] - p(tuple(ctx), s, 3)) < 1e-9
+    want = -sum(np.log2(p(tuple(padded[at - 3 : at]), padded[at], 3)) for at in range(3, len(padded)))
+    got = L.text_bits([orders, orders], [text, "", text])
+    assert np.allclose(got, [[want] * 2, [0] * 2, [want] * 2])
+
+
+def test_scripts_are_told_apart(make_docs):
+    """Languages that share a script of multi-byte letters, beside Latin ones."""
+    rnd = random.Random(3)
+    words = {
+        "ru": "это не только очень хорошая погода но она была где мы его ждали", "uk": "це не тільки дуже гарна погода але вона була де ми його чекали",
+        "ja": "これ は とても いい 天気 です が 私 たち は 待って いました", "zh": "这 不 只 是 很 好 的 天气 但是 我们 在 那里 等 他",
+        "el": "αυτό δεν είναι μόνο πολύ καλός καιρός αλλά ήταν εκεί", "en": "this is not only very good weather but it was where we waited",
+        "hi": "यह केवल बहुत अच्छा मौसम नहीं है लेकिन वह वहाँ था", "mr": "हे फक्त खूप चांगले हवामान नाही पण ते तिथे होते",
+    }
+    rows = [(n, " ".join(rnd.choice(words[x].split()) for _ in range(25)), x) for n, x in enumerate(sorted(words) * 30)]
+    got = {r["doc_id"]: r for r in L.identify(make_docs(rows)).collect()}
+    assert all(got[n]["lang_pred"] == x for n, _, x in rows if got[n]["held_out"]) and sum(r["held_out"] for r in got.values()) > 20
 
 
 def test_held_out_accuracy(spark, sf):
