@@ -24,7 +24,7 @@ BLOCK_ROWS = 1024
 QUERY_ROWS = 4096
 #: From this local cosine on, coordinates are looked at before products.
 COORDINATE_FROM = 0.8
-#: Buckets the first pass takes from, longest first, until they hold so many rows.
+#: Rows that the first pass takes at least, longest first.
 SEED_ROWS = 1024
 
 _FOUND = "query_id long, vec_id long, score long"
@@ -149,9 +149,11 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col:
     )
     every = blocks.select("dim", "bucket", "longest", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
-    # first pass: the longest vectors give each query a floor
-    ahead = Window.partitionBy("dim").orderBy(F.desc("bucket"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = every.withColumn("before", F.coalesce(F.count("*").over(ahead), F.lit(0)) * BLOCK_ROWS).where(F.col("before") < SEED_ROWS)
+    # first pass: the longest vectors, counted by rows, give each query a floor; a query left without one is open to all blocks
+    ahead = Window.partitionBy("dim").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    longer = stats.select("dim", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    each_block = F.col("n") / F.ceil(F.col("n") / BLOCK_ROWS)
+    seeds = every.join(longer, ["dim", "bucket"]).where(F.col("before") + F.col("block") * each_block < SEED_ROWS).drop("before")
     open_q = queries.withColumn("floor", F.lit(float("-inf")))
     seeded = _best(_pass(open_q, placed, _pairs(queries, seeds).drop("longest"), k), k)
     floors = materialise(

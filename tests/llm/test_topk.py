@@ -51,3 +51,26 @@ def test_awkward_vectors(spark):
     assert got == brute(small, 10, lambda i: i % 10 == 0)
     assert topk.top_k(frame(spark, rows), F.col("vec_id") == 20).where("vec_id = 21").first()["score"] == 2**63 - 1
     assert topk.top_k(frame(spark, []), F.col("vec_id") == 0).count() == 0
+
+
+def test_one_long_vector_does_not_spoil_the_floors(spark, monkeypatch):
+    """The first pass counts rows: a bucket of a single row is not enough for it."""
+    import numpy as np
+
+    seen, best = [], topk._best
+
+    def counting(found, k):
+        out = best(found, k)
+        seen.append(out.groupBy("query_id").count().where(f"count = {k}").count())
+        return out
+
+    monkeypatch.setattr(topk, "_best", counting)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 8)).tolist() + [[1000.0] * 8]
+    got = topk.top_k(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), "vec_id % 100 = 0").collect()
+    assert seen[0] == 31 and len(got) == 310
+    whole = np.floor(np.array(vectors) * 1024).astype(np.int64)
+    for q in (0, 1500):
+        score = whole @ whole[q]
+        order = [n for n in np.lexsort((np.arange(3001), -score)) if n != q][:10]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(n, score[n]) for n in order]
