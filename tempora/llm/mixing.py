@@ -78,7 +78,7 @@ def with_offsets(rows: DataFrame, counts: DataFrame) -> DataFrame:
         .agg(F.sum("size").alias("bin_size"))
         .select(F.col("source").alias("_s"), F.col("bin").alias("_b"), F.coalesce(F.sum("bin_size").over(by_bin), F.lit(0)).alias("base"))
     )
-    inside = Window.partitionBy("source", "bin").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         binned.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(bins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")))
@@ -150,8 +150,14 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: tuple[int, .
     0 and takes none; a null source is a source like any other, last in order; rows with equal doc_id count one by one; an empty table
     gives an empty one.
     """
+    return _mix(docs, block_tokens, weights, epochs, most).drop("row")
+
+
+def _mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, most: float = MOST) -> DataFrame:
+    """The rows of `mix` with `row`, a hash of id, source and text."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
+    row = F.xxhash64("doc_id", "source", "text")
+    rows = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), row.alias("row")), "mix-sizes")
     counts = materialise(rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size")), "mix-sources")
     plan = materialise(targets(counts.select("source", "source_size"), weights, epochs, most), "mix-plan")
     placed = materialise(with_offsets(rows, counts), "mix-order")
@@ -167,20 +173,29 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: tuple[int, .
     taken = (
         cut.join(by_block, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_k")), "left")
         .withColumn("used", F.coalesce(used, F.lit(0)))
-        .groupBy("doc_id", "source", "size", "start")
+        .groupBy("doc_id", "source", "size", "row", "start")
         .agg(F.sum("used").cast("long").alias("taken"))
-        .unionByName(placed.where("size = 0").select("doc_id", "source", "size", "start", F.lit(0).cast("long").alias("taken")))
+        .unionByName(placed.where("size = 0").select("doc_id", "source", "size", "row", "start", F.lit(0).cast("long").alias("taken")))
     )
     sources = plan.select(F.col("source").alias("_s"), "source_size", "target")
-    return taken.join(sources, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.join(sources, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "row", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs with size, source_size, target and taken of `mix`; columns of docs with these names give way.
 
-    Documents are matched by doc_id, so rows that repeat one get what its first row in order of size takes.
+    Every row takes what its own place in the mix gives it: rows that repeat id, source and text are numbered, so a source's words come to its target. Null and empty
+    texts take none; an empty table gives an empty one.
     """
-    found = mix(docs, **options).drop("source")
-    one = found.groupBy(F.col("doc_id").alias("__llm_id")).agg(F.min(F.struct("size", "source_size", "target", "taken")).alias("__llm_mix"))
+    nth = lambda order: F.row_number().over(Window.partitionBy("__llm_row").orderBy(order))  # noqa: E731  rows of a hash are equal rows
+    found = _mix(docs, **options).select(F.col("row").alias("__llm_row"), F.struct("size", "source_size", "target", "taken").alias("__llm_mix"))
+    twins = found.groupBy("__llm_row").agg(F.count("*").alias("__llm_n")).where("__llm_n > 1").select(F.col("__llm_row").alias("__llm_twin"))
     old = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return docs.select(*old).join(one, F.col("doc_id").eqNullSafe(F.col("__llm_id"))).select(*old, "__llm_mix.*")
+    asked = docs.withColumn("__llm_row", F.xxhash64("doc_id", "source", "text")).select(*old, "__llm_row")
+    # rows without an equal one meet by hash alone; the few others are numbered on both sides
+    one = asked.join(found.join(twins, F.col("__llm_row") == F.col("__llm_twin"), "left_anti"), "__llm_row")
+    many = (
+        asked.join(twins, F.col("__llm_row") == F.col("__llm_twin"), "left_semi").withColumn("__llm_k", nth(F.lit(1)))
+        .join(found.join(twins, F.col("__llm_row") == F.col("__llm_twin"), "left_semi").withColumn("__llm_k", nth(F.col("__llm_mix"))), ["__llm_row", "__llm_k"])
+    )
+    return one.select(*old, "__llm_mix.*").unionByName(many.select(*old, "__llm_mix.*"))

@@ -66,3 +66,10 @@ def test_awkward_rows(awkward, nothing):
     assert M.mix(nothing).count() == 0
     kept = M.mixed(awkward)
     assert kept.columns == [c for c in awkward.columns if c != "size"] + ["size", "source_size", "target", "taken"]
+
+
+def test_repeated_rows_reach_the_target_together(make_docs):
+    data = rows(5, 60) + [(7, "one two three", "en", "a")] * 5 + [(7, "other words", "en", "a"), (None, "x y", "en", "b"), (None, "x y", "en", "b")]
+    docs = make_docs(data)
+    per = lambda df: sorted((str(r["source"]), r["taken"]) for r in df.groupBy("source").agg({"taken": "sum"}).toDF("source", "taken").collect())
+    assert per(M.mixed(docs)) == per(M.mix(docs)) and M.mixed(docs).count() == len(data)
