@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
 Shards are stretches of page_id that hold about equal bytes; their bounds come from exact sums over id intervals, heavy intervals being
-split again, so the same table gives the same archives whatever its partitions. Within a shard, records stand by page_id; a
+split again, so the same table gives the same archives whatever its partitions. A shard is a partition of a range sort. Within a shard, records stand by page_id; a
 file is closed once its compressed size passes `roll_bytes`. Files are written under temporary names and renamed; names and contents
 depend on the data alone, so a task that runs twice replaces a file by itself. The manifest, written last, says which files
 count.
@@ -20,15 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table_path
+from .shared import materialise, table_path
 
 #: Payloads under so many bytes are always written whole.
 REVISIT_BYTES = 100
 ROLL_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20
 LEAST_SHARDS = 64
-MOST_SHARDS = 1024
-INTERVALS = 4096
+#: Id intervals summed for each shard.
+INTERVALS = 4
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("b7f4c2f0-6f0e-4b55-9d0e-2f6f4f0d9a11")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,35 +69,47 @@ def page_record(page_id, url: str, payload: bytes, digest: str, first) -> bytes:
     return member("revisit", fields, http)
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
-    """Ascending page ids at which shards after the first begin. sizes: (page_id, bytes).
+def shard_map(sizes: DataFrame, shard_bytes: int, least: int) -> tuple[list[tuple[int, int, int]], int]:
+    """([(shift, interval, shard)], number of shards): shards are stretches of page ids. sizes: (page_id, bytes).
 
-    Bytes are summed over about INTERVALS id intervals, the ids that share all but their lowest bits; intervals heavier than a quarter
-    shard are summed again over 64 parts each, until none is or they are single ids. At most MOST_SHARDS shards, so what the driver
-    sees is bounded by them, not by the rows.
+    Bytes are summed over id intervals, the ids that share all but their lowest `shift` bits, about INTERVALS a shard; intervals heavier than a quarter
+    shard are summed again over 64 parts each, until none is or they are single ids. What the driver sees are a few numbers for each
+    shard of `shard_bytes`.
     """
     lo, hi, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     if lo is None or not total:
-        return []
-    want = max(1, min(total // least, max(shard_bytes, total // MOST_SHARDS)))
-    shift = max(0, (hi - lo).bit_length() - INTERVALS.bit_length() + 1)
+        return [], 1
+    want = max(1, min(total // least, shard_bytes))
+    shift = max(0, (hi - lo).bit_length() - (INTERVALS * (total // want + 1)).bit_length())
     rows, light = sizes.where("page_id is not null"), []
     while True:
         sums = rows.groupBy(F.shiftright("page_id", shift).alias("j")).agg(F.sum("bytes").alias("n")).collect()
-        light += [(r["j"] << shift, r["n"]) for r in sums if not shift or r["n"] <= want / 4]
-        heavy = [(r["j"],) for r in sums if shift and r["n"] > want / 4]
+        light += [(r["j"] << shift, shift, r["j"], r["n"]) for r in sums if not shift or r["n"] <= want / INTERVALS]
+        heavy = [(r["j"],) for r in sums if shift and r["n"] > want / INTERVALS]
         if not heavy:
             break
         listed = sizes.sparkSession.createDataFrame(heavy, "j long")
-        rows = rows.join(F.broadcast(listed), F.shiftright("page_id", shift) == F.col("j"), "left_semi")  # 4 x MOST_SHARDS rows at most
+        rows = rows.join(F.broadcast(listed), F.shiftright("page_id", shift) == F.col("j"), "left_semi")  # INTERVALS rows a shard at most
         shift = max(0, shift - 6)
-    bounds, filled = [], 0
-    for start, n in sorted(light):
+    out, shard, filled = [], 0, 0
+    for _, by, j, n in sorted(light):
         if filled and filled + n > want:
-            bounds.append(start)
-            filled = 0
+            shard, filled = shard + 1, 0
         filled += n
-    return bounds
+        out.append((by, j, shard))
+    return out, shard + 1
+
+
+def with_shard(rows: DataFrame, placed: list[tuple[int, int, int]]) -> DataFrame:
+    """rows (page_id, ...) with their shard; null ids are in the first. One lookup for each width of intervals, of which there are a few."""
+    spark = rows.sparkSession
+    shard = F.lit(None).cast("int")
+    for shift in sorted({x[0] for x in placed}):
+        listed = spark.createDataFrame([(j, k) for by, j, k in placed if by == shift], f"__j{shift} long, __k{shift} int")
+        rows = rows.join(F.broadcast(listed), F.shiftright("page_id", shift) == F.col(f"__j{shift}"), "left").drop(f"__j{shift}")  # a few rows a shard
+        shard = F.coalesce(shard, F.col(f"__k{shift}"))
+    found = rows.withColumn("shard", F.coalesce(shard, F.lit(0)))
+    return found.drop(*[c for c in found.columns if c.startswith("__k")])
 
 
 def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, least_shards: int = LEAST_SHARDS) -> DataFrame:
@@ -113,35 +125,26 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, shard_bytes
         F.col("url"),
         F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
     ).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
-    slim = full.select("page_id", "digest", "bytes")
-    bounds = shard_bounds(slim.select("page_id", "bytes"), shard_bytes, least_shards)
-    starts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    shard = F.coalesce(F.size(F.filter(starts, lambda b: b <= F.col("page_id"))), F.lit(0))
-    shard = F.when(F.col("page_id").isNull(), 0).otherwise(shard)
+    # digests once: what decides on revisits never reads a payload again
+    slim = materialise(full.select("page_id", "digest", "bytes"), "warc-digests")
+    placed, shards = shard_map(slim.select("page_id", "bytes"), shard_bytes, least_shards)
+    large = slim.where(F.col("bytes") >= REVISIT_BYTES)
     first = (
-        slim.where(F.col("bytes") >= REVISIT_BYTES)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1 and first is not null")
+        large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     )
-    verdicts = (
-        slim.where(F.col("bytes") >= REVISIT_BYTES)
-        .join(first, "digest")
-        .where(~F.col("page_id").eqNullSafe(F.col("first")))
-        .select("page_id", "digest", "first")
-        .distinct()
-    )
-    rows = (
-        full.select(shard.alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
-        .unionByName(
-            verdicts.select(
-                shard.alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
-                F.lit(None).cast("binary").alias("payload"), "first",
-            )
+    verdicts = large.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
+    records = full.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(
+        verdicts.select(
+            "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first",
         )
-        .repartition(max(1, len(bounds) + 1), "shard")
-        .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
     )
+    # shard numbers are partition numbers: every task has one whole shard, a stretch of ids, which it sorts
+    rows = (
+        with_shard(records, placed)
+        .repartitionById(shards, F.col("shard"))
+        .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
+        .select("shard", "page_id", "digest", "kind", "url", "payload", "first")
+    )
 
     def run(batches):
         from pyarrow import fs
