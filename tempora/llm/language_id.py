@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, materialise
+from .shared import fold, materialise, sized
 
 ORDER = 3
 #: Training reads at most so many documents of a language, by hash of doc_id.
@@ -132,7 +132,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
         .where(fold(docs) % 5 != 0)
         .select("doc_id", F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("h"))
     )
-    sizes = known.groupBy("_lang").agg(F.count("*").alias("n")).select(F.col("_lang").alias("_of"), "n")
+    sizes = sized(known.groupBy("_lang").agg(F.count("*").alias("n")).select(F.col("_lang").alias("_of"), "n"), "langid-sizes")
     share = F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(float(1 << 20) * (1.5 * per_lang + 50))
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "doc_id"))
     chosen = (
