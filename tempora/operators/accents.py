@@ -74,6 +74,7 @@ def space_accents(candidates: DataFrame, per_minute: int, gap_us: int) -> DataFr
     def keep(rows):
         from bisect import bisect_left, insort
 
+        rows = list(rows)  # candidates of one edit
         budget = max(1, round(per_minute * max(rows[0].duration_us, 1_000_000) / 60_000_000))
         kept: list[int] = []
         for r in rows:

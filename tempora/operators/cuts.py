@@ -236,6 +236,7 @@ def join_seams(ranges: DataFrame, min_gap_us: int = 300_000) -> DataFrame:
     they look the same, else `punch`. A moved start counts for the next seam's guard, so the rule runs in order per edit."""
 
     def run(rows):
+        rows = list(rows)  # ranges of one edit
         start, end, how = [r.start_us for r in rows], [r.end_us for r in rows], [None] * len(rows)
         for i, (p, r) in enumerate(zip(rows, rows[1:], strict=False), 1):
             if r.source_id != p.source_id or r.speed_pct != 100 or p.speed_pct != 100:

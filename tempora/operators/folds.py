@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import attrgetter
 
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 CHUNK = 20_000
 
 
-def fold(df: DataFrame, key: list[str], order: list[str], step: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
+def fold(df: DataFrame, key: list[str], order: list[str], step: Callable[[Iterator], Iterable[tuple]], schema: str) -> DataFrame:
     """Apply `step` to the ordered rows of each key; it returns tuples of `schema`.
 
-    Rows are dealt by key and sorted in their partition, then streamed: a task holds one group at a time, and many small
-    groups cost no more than their rows.
+    Rows are dealt by key and sorted in their partition, then streamed: a rule that takes its rows one by one holds no more than its own state, however long
+    a group is, and many small groups cost no more than their rows.
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -24,10 +24,11 @@ def fold(df: DataFrame, key: list[str], order: list[str], step: Callable[[list],
         rows = (r for pdf in batches for r in pdf.itertuples(index=False, name="Row"))
         out = []
         for _, group in groupby(rows, key=attrgetter(*key)):
-            out.extend(step(list(group)))
-            if len(out) >= CHUNK:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+            for told in step(group):
+                out.append(told)
+                if len(out) >= CHUNK:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
         if out:
             yield pd.DataFrame(out, columns=names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import hypot
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,31 +21,38 @@ PER_30S = {"calm": 0, "lively": 2, "bold": 4}
 
 
 def track_faces(faces: DataFrame) -> DataFrame:
-    """(source_id, sample_idx, face_idx, track_id): faces (source_id, sample_idx, face_idx, x, y, w) joined to the nearest centre within 1.2 widths; a track lives for three samples."""
+    """(source_id, sample_idx, face_idx, track_id): faces (source_id, sample_idx, face_idx, x, y, w) joined to the nearest centre within 1.2 widths; a track lives for three samples.
 
-    def run(rows):
-        tracks = []  # [last sample, x, y, w]
-        at = 0
-        while at < len(rows):
-            sample, end = rows[at].sample_idx, at
-            while end < len(rows) and rows[end].sample_idx == sample:
-                end += 1
-            open_ = list(rows[at:end])
-            for n in sorted(range(len(tracks)), key=lambda k: -tracks[k][0]):
-                last, x, y, w = tracks[n]
-                if not open_ or sample - last > LIVES:
-                    continue
-                best = min(open_, key=lambda f: hypot(f.x - x, f.y - y))
-                if hypot(best.x - x, best.y - y) <= REACH * max(1.0, w):
-                    tracks[n] = [sample, best.x, best.y, best.w]
-                    open_.remove(best)
-                    yield best.source_id, sample, best.face_idx, n
-            for f in open_:
-                yield f.source_id, sample, f.face_idx, len(tracks)
-                tracks.append([sample, f.x, f.y, f.w])
-            at = end
-
-    return fold(faces, ["source_id"], ["sample_idx", "face_idx"], run, "source_id long, sample_idx long, face_idx long, track_id int")
+    A join finds, for each face, the faces of the three samples before whose reach it is in. Which of these links hold is an ordered choice per recording: samples in turn,
+    the most recently seen tracks first, then older ones, each with its nearest face. The choice keeps the faces of three samples, whatever the length of a recording.
+    """
+    old = faces.select(
+        "source_id", F.explode(F.sequence(F.lit(1), F.lit(LIVES))).alias("ago"), F.col("face_idx").alias("from_face"), F.col("sample_idx").alias("from_sample"),
+        *[F.col(c).alias(f"_{c}") for c in "xyw"],
+    ).withColumn("sample_idx", (F.col("from_sample") + F.col("ago")).cast("long"))
+    away = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
+    near = faces.join(old, ["source_id", "sample_idx"]).withColumn("away", away).where(F.col("away") <= REACH * F.greatest(F.lit(1.0), F.col("_w").cast("double")))
+    alone = faces.select("source_id", "sample_idx", "face_idx", F.lit(LIVES + 1).alias("ago"), F.lit(None).cast("long").alias("from_face"), F.lit(None).cast("double").alias("away"))
+    asked = alone.unionByName(near.select("source_id", "sample_idx", "face_idx", "ago", F.col("from_face").cast("long").alias("from_face"), "away"))
+
+    def choose(rows):
+        tip: dict[tuple[int, int], int] = {}  # track that a face was the last of
+        tracks = 0
+        for sample, links in groupby(rows, key=lambda r: r.sample_idx):
+            tip = {at: t for at, t in tip.items() if sample - at[0] <= LIVES}
+            links, taken = list(links), {}
+            known = [r for r in links if r.ago <= LIVES and (sample - r.ago, r.from_face) in tip]
+            for r in sorted(known, key=lambda r: (r.ago, tip[sample - r.ago, r.from_face], r.away, r.face_idx)):
+                if r.face_idx not in taken and (sample - r.ago, r.from_face) in tip:
+                    taken[r.face_idx] = tip.pop((sample - r.ago, r.from_face))
+            for r in links:
+                if r.ago > LIVES:
+                    if r.face_idx not in taken:
+                        taken[r.face_idx], tracks = tracks, tracks + 1
+                    tip[sample, r.face_idx] = taken[r.face_idx]
+                    yield r.source_id, sample, r.face_idx, taken[r.face_idx]
+
+    return fold(asked, ["source_id"], ["sample_idx", "face_idx"], choose, "source_id long, sample_idx long, face_idx long, track_id int")
 
 
 def assign_speakers(motion: DataFrame, turns: DataFrame) -> DataFrame:
@@ -88,6 +95,7 @@ def effects(sentences: DataFrame, energies: DataFrame) -> DataFrame:
     """
 
     def run(rows):
+        rows = list(rows)  # sentences of one recording
         kinds = ROTATION[rows[0].energy]
         allowed = PER_30S[rows[0].energy] * max(rows[0].duration_us, 1_000_000) // 30_000_000
         found, last = 0, -6_000_000
@@ -109,6 +117,7 @@ def find_broll(matches: DataFrame, totals: DataFrame, gap_us: int = 3_000_000, l
     """
 
     def run(rows):
+        rows = list(rows)  # matches in one edit
         used, placed, spent, k = set(), [], 0, 0
         while k < len(rows):
             word, r = [], rows[k]

@@ -120,25 +120,29 @@ def crop_size(sources: DataFrame, w: int = 9, h: int = 16) -> DataFrame:
 
 
 def hysteresis(scores: DataFrame, factor_pct: int = 125) -> DataFrame:
-    """(series, step, chosen): the best candidate of each step, changed only for one over `factor_pct` of the current. scores: (series, step, values array)."""
+    """(series, step, chosen): the best candidate of each step, changed only for one over `factor_pct` of the current. scores: (series, step, values array).
+
+    Spark finds the best of each step, and the steps that can change anything: those without candidates, and those where the best is the one of
+    the step before, leave the choice as it was or are no threat to it. The rule's state is one number.
+    """
+    best = F.array_position("values", F.array_max("values")) - 1
 
     def run(rows):
-        current = -1
+        held = None
         for r in rows:
-            v = list(r.values)
-            if v:
-                best = max(range(len(v)), key=lambda i: v[i])
-                if current < 0 or current >= len(v) or (best != current and v[best] * 100 > v[current] * factor_pct):
-                    current = best
-            yield r.series, r.step, current
+            if r.top >= 0 and (held is None or held >= len(r.values) or r.values[r.top] * 100 > r.values[held] * factor_pct):
+                held = r.top
+            yield r.series, r.step, -1 if held is None else held
 
-    return fold(scores, ["series"], ["step"], run, "series long, step long, chosen int")
+    asked = scores.select("series", "step", "values", F.when(F.size("values") > 0, best).otherwise(-1).cast("int").alias("top"))
+    return fold(asked, ["series"], ["step"], run, "series long, step long, chosen int")
 
 
 def crop_path(positions: DataFrame, alpha: float = 0.3, dead_zone: int = 20) -> DataFrame:
     """(series, step, x): positions smoothed forwards and backwards, then held until they leave the dead zone."""
 
     def run(rows):
+        rows = list(rows)  # backwards too: a series must be bounded
         out = [float(r.x) for r in rows]
         for _ in range(2):
             for i in range(1, len(out)):

@@ -141,36 +141,33 @@ def turns_from_words(words: DataFrame, speaker: str = "speaker") -> DataFrame:
 def find_loops(words: DataFrame) -> DataFrame:
     """(source_id, idx, start_us, size, repeats): where a phrase of 1 to 4 words is said 4 times or more back to back.
 
-    Candidate starts come from comparing a word with those one to four words on; only recordings with candidates reach the
-    left-to-right scan, which skips the whole of a loop.
+    A loop of s words is an island of words that equal the word s places on: an island that lasts n more words from here repeats the phrase
+    n div s + 1 times. Of the places where a loop can begin, with the shortest phrase each, the first is taken, then the first behind its end, and so on; only
+    these places, and no words, go through the ordered choice.
     """
-    keyed = words.withColumn("key", word_key(F.col("word")))
-    same = [F.coalesce(F.lead("key", s).over(by_word()) == F.col("key"), F.lit(False)) for s in range(1, LOOP_PHRASE + 1)]
-    marked = keyed.withColumn("_may", F.exists(F.array(*same), lambda x: x))
-    reach = Window.partitionBy("source_id").orderBy("idx").rowsBetween(-LOOP_PHRASE * LOOP_REPEATS, LOOP_PHRASE * LOOP_REPEATS)
-    near = marked.withColumn("_near", F.sum(F.col("_may").cast("int")).over(reach)).where(F.col("_near") >= LOOP_REPEATS - 1)
-
-    def scan(rows):
-        idx, keys = [r.idx for r in rows], [r.key for r in rows]
-        follows = lambda i, n: i + n <= len(idx) and idx[i + n - 1] - idx[i] == n - 1
-        at = 0
-        while at < len(idx):
-            step = 1
-            for size in range(1, LOOP_PHRASE + 1):
-                phrase = keys[at : at + size]
-                if not follows(at, size) or not any(phrase):
-                    break
-                n = 1
-                while follows(at, (n + 1) * size) and keys[at + n * size : at + (n + 1) * size] == phrase:
-                    n += 1
-                if n >= LOOP_REPEATS:
-                    yield rows[at].source_id, idx[at], rows[at].start_us, size, n
-                    step = size * n
-                    break
-            at += step
-
-    sparse = near.select("source_id", "idx", "key", "start_us")
-    return fold(sparse, ["source_id"], ["idx"], scan, "source_id long, idx long, start_us long, size int, repeats int")
+    order = by_word()
+    keyed = words.withColumns({"key": word_key(F.col("word")), "pos": F.row_number().over(order)})
+    for s in range(1, LOOP_PHRASE + 1):
+        keyed = keyed.withColumn(f"_same{s}", F.coalesce(F.lead("key", s).over(order) == F.col("key"), F.lit(False)))
+    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    may = F.lit(None).cast("struct<size:int,repeats:int>")
+    for s in reversed(range(1, LOOP_PHRASE + 1)):
+        # the last words of a recording equal nothing behind them, so every island ends
+        lasts = F.min(F.when(~F.col(f"_same{s}"), F.col("pos"))).over(ahead) - F.col("pos")
+        keyed = keyed.withColumn(f"_lasts{s}", lasts)
+        n = (F.floor(F.col(f"_lasts{s}") / s) + 1).cast("int")
+        may = F.when(n >= LOOP_REPEATS, F.struct(F.lit(s).alias("size"), n.alias("repeats"))).otherwise(may)
+    starts = keyed.withColumn("loop", may).where("loop is not null and key <> ''")
+    starts = starts.select("source_id", "idx", "start_us", "pos", "loop.size", "loop.repeats")
+
+    def behind_each_other(rows):
+        free = 0
+        for r in rows:
+            if r.pos >= free:
+                free = r.pos + r.size * r.repeats
+                yield r.source_id, r.idx, r.start_us, r.size, r.repeats
+
+    return fold(starts, ["source_id"], ["pos"], behind_each_other, "source_id long, idx long, start_us long, size int, repeats int")
 
 
 def suspect_words(words: DataFrame, quiet: DataFrame) -> DataFrame:
