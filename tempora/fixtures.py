@@ -82,6 +82,13 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with source_id: recordings of 400 vectors at most within each label."""
+    return table(spark, sf_dir, "embeddings").withColumn("source_id", (F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 400)).cast("long"))
+
+
+SEGMENTS_CTE = "segments as (select *, (label * 1000000 + vec_id // 400)::bigint as source_id from embeddings)"
+
 WORDS_CTE = r"""
 ws as (
   select conv_id as source_id, turn, role as speaker,

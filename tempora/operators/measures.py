@@ -148,7 +148,7 @@ def envelope_lag(ref: DataFrame, cand: DataFrame, reach: int, window: int) -> Da
         "stream_id", "other", "lag", (F.col("pos") - F.col("lag")).alias("pos")
     )
     met = ref.join(shifted, ["stream_id", "pos"])
-    r = met.groupBy("stream_id", F.floor(F.col("pos") / window).alias("win"), "lag").agg(F.corr("value", "other").alias("r"), F.count("*").alias("n"))
+    r = met.groupBy("stream_id", F.floor(F.col("pos") / window).cast("long").alias("win"), "lag").agg(F.corr("value", "other").alias("r"), F.count("*").alias("n"))
     order = Window.partitionBy("stream_id", "win").orderBy(F.desc(F.round("r", 9)), "lag")
     return r.where("n >= 4 and r is not null").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("stream_id", "win", "lag", F.round("r", 6).alias("r"))
 

@@ -339,7 +339,11 @@ def cadence(spark, sf_dir):
     return A.cadence(e)
 
 
-@query()
+@query(W + r""", v as (select source_id, idx, case when length(word) = 3 then idx::varchar else word end as word from words),
+  a as (select *, list(word) over f as ahead, list(regexp_matches(regexp_replace(word, '["'')\]}]*$', ''), '[.!?…]$')) over f as ends from v window f as (partition by source_id order by idx rows between 1 following and 5 following)),
+  n as (select *, regexp_replace(word, '^\p{P}+|[.,;:!?]+$', '', 'g') as number from a)
+  select source_id, idx, number, coalesce(array_to_string(ahead[1:coalesce(nullif(list_position(ends, true), 0), len(ahead))], ' '), '') as label from n
+  where regexp_matches(number, '^\d+([.,]\d+)?%?$') and not regexp_matches(number, '^(19|20)\d\d$') and length(number) <= 12""")
 def stats(spark, sf_dir):
     """Word numbers stand for spoken ones: every word of three letters becomes its index."""
     w = words(spark, sf_dir)

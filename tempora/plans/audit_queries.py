@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import RANGES_CTE, ranges, recordings, table, words
+from ..fixtures import SEGMENTS_CTE, segments
 from ..functions.scalars import word_key
 from ..operators import accents as A
 from ..operators import audits as Q
@@ -190,7 +191,13 @@ def lexicon_hits(spark, sf_dir):
     return Q.lexicon_hits(t, "edit_id", _lexicon(w))
 
 
-@query()
+@query(LEXICON + "," + SENTENCES + r""", s as (select source_id as edit_id, text, start_us as first_word_us from sentences where sentence_idx = 0),
+  tk as (select edit_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) as tok from s),
+  h as (select edit_id, count(distinct phrase) filter (category = 'address') as ad, count(distinct phrase) filter (category = 'greeting') as gr, count(distinct phrase) filter (category = 'promo') as pr, count(distinct phrase) filter (category = 'tension') as te
+    from tk join lex on starts_with(tok, phrase) group by 1),
+  x as (select s.*, coalesce(ad, 0) as ad, coalesce(gr, 0) as gr, coalesce(pr, 0) as pr, coalesce(te, 0) as te, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: x <> '')) as n, contains(text, '?')::integer as ask from s left join h using (edit_id))
+  select edit_id, unnest(['words', 'first word', 'promotion', 'address or tension', 'greeting']) as "check", 'warning' as severity,
+    unnest([n <= 8, first_word_us <= 300000, pr = 0, ad + te + ask > 0, gr = 0]) as passed, unnest([n, first_word_us, pr, ad + te + ask, gr])::bigint as measured from x""")
 def hook_check(spark, sf_dir):
     w = words(spark, sf_dir)
     s = P.sentences(w).where("sentence_idx = 0").select(F.col("source_id").alias("edit_id"), "text", F.col("start_us").alias("first_word_us"))
@@ -383,13 +390,17 @@ def primary_face(spark, sf_dir):
     return J.primary_face(f)
 
 
-@query()
+@query("with " + SEGMENTS_CTE + """, x as (select source_id, vec_id as sample_idx, list_transform(embedding, lambda v: floor(v * 1000)::bigint) as v from segments),
+  t as (select source_id, sample_idx, k as track_id, list_sum(v[9 * k + 1 : 9 * k + 9]) as motion, v[64] as level from x, unnest(range(7)) as g(k)),
+  r as (select source_id, track_id, round(case when count(*) >= 4 and not isnan(corr(motion, level)) then corr(motion, level) else 0 end, 9) as r from t group by all),
+  b as (select *, row_number() over o as nth, lead(r) over o as nxt from r window o as (partition by source_id order by r desc, track_id))
+  select source_id, case when r >= 0.15 and r - nxt >= 0.08 then track_id end::integer as track_id, r, round(r - nxt, 9) as margin from b where nth = 1""")
 def choose_speaker(spark, sf_dir):
-    """Streams of the embeddings as recordings: components 1 to 4 as mouths, component 5 as sound."""
-    e = table(spark, sf_dir, "embeddings")
-    x = F.col("embedding")
-    t = e.select(F.col("label").alias("source_id"), F.col("vec_id").alias("sample_idx"), F.posexplode(F.slice(x, 1, 4)).alias("track_id", "motion"))
-    return J.choose_speaker(t, e.select(F.col("label").alias("source_id"), F.col("vec_id").alias("sample_idx"), x[4].alias("level")))
+    """Stretches of the embeddings as recordings: seven mouths that move by nine components each, the last component as sound."""
+    e = segments(spark, sf_dir).select("source_id", F.col("vec_id").alias("sample_idx"), F.transform("embedding", lambda x: F.floor(x * 1000)).alias("v"))
+    moves = F.array(*[F.aggregate(F.slice("v", 9 * k + 1, 9), F.lit(0).cast("long"), lambda a, x: a + x) for k in range(7)])
+    t = e.select("source_id", "sample_idx", F.posexplode(moves).alias("track_id", "motion"))
+    return J.choose_speaker(t, e.select("source_id", "sample_idx", F.col("v")[63].alias("level")))
 
 
 @query("""select p_partkey as source_id, (case when w * 16 > h * 9 then floor(h * 9 / 16) else w end)::bigint // 2 * 2 as crop_w, (case when w * 16 > h * 9 then h else floor(w * 16 / 9) end)::bigint // 2 * 2 as crop_h
@@ -398,14 +409,24 @@ def crop_size(spark, sf_dir):
     return J.crop_size(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), (320 + F.col("p_partkey") % 1700).alias("width"), (240 + F.col("p_size") * 20).alias("height")))
 
 
-@query()
+@query("with recursive " + SEGMENTS_CTE + """, v as (
+    select source_id as series, vec_id as step, list_transform(embedding, lambda x: abs(floor(x * 1000)::bigint)) as v, row_number() over (partition by source_id order by vec_id) as n from segments
+  ), b as (select *, list_position(v, list_max(v)) as best from v), r as (
+    select series, step, n, best as held from b where n = 1
+    union all select b.series, b.step, b.n, case when b.v[b.best] * 100 > b.v[r.held] * 125 then b.best else r.held end from r join b on b.series = r.series and b.n = r.n + 1
+  ) select series, step, (held - 1)::integer as chosen from r""")
 def choose_with_hysteresis(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(F.floor(x * 1000)))
-    return J.hysteresis(e.select(F.col("label").cast("long").alias("series"), F.col("vec_id").alias("step"), v.alias("values")))
+    v = F.transform("embedding", lambda x: F.abs(F.floor(x * 1000)))
+    return J.hysteresis(segments(spark, sf_dir).select(F.col("source_id").alias("series"), F.col("vec_id").alias("step"), v.alias("values")))
 
 
-@query()
+@query("with recursive " + SEGMENTS_CTE + """, p as (
+    select source_id as series, vec_id as step, list_sum(list_transform(embedding, lambda x: floor(x * 100)::bigint))::double as x, row_number() over (partition by source_id order by vec_id) as n, count(*) over (partition by source_id) as k from segments
+  ), f as (select series, n, k, x from p where n = 1 union all select p.series, p.n, p.k, 0.3::double * p.x + (1 - 0.3::double) * f.x from f join p on p.series = f.series and p.n = f.n + 1),
+  g as (select series, n, x from f where n = k union all select f.series, f.n, 0.3::double * f.x + (1 - 0.3::double) * g.x from g join f on f.series = g.series and f.n = g.n - 1),
+  h as (select series, n, x from g where n = 1 union all select g.series, g.n, case when abs(g.x - h.x) >= 20 then g.x else h.x end from h join g on g.series = h.series and g.n = h.n + 1)
+  select series, step, round(h.x, 3) as x from h join p using (series, n)""")
 def crop_path(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return J.crop_path(e.select(F.col("label").cast("long").alias("series"), F.col("vec_id").alias("step"), F.floor(F.col("embedding")[0] * 1000).alias("x")))
+    """Positions are the sums of the components."""
+    x = F.aggregate(F.transform("embedding", lambda v: F.floor(v * 100)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return J.crop_path(segments(spark, sf_dir).select(F.col("source_id").alias("series"), F.col("vec_id").alias("step"), x.alias("x"))).withColumn("x", F.round("x", 3))

@@ -69,7 +69,13 @@ def pause_cuts(spark, sf_dir):
     return C.pause_cuts(w, recordings(w))
 
 
-@query()
+@query("with recursive " + WORDS_CTE + r""", k as (select source_id, idx, start_us, end_us, lower(regexp_replace(substr(word, 1, 1), '^\p{P}+|\p{P}+$', '', 'g')) as key from words),
+  l as (select *, """ + ", ".join(f"lead(key, {j}) over o as k{j}, lead(end_us, {j}) over o as e{j}, lead(start_us, {j}) over o as s{j}" for j in range(10)) + r""" from k window o as (partition by source_id order by idx)),
+  m as (select source_id, idx, start_us, case """ + " ".join(
+    "when " + " and ".join(f"k{j} = k{j + n} and k{j} <> ''" for j in range(n)) + f" then struct_pack(n := {n}, e := e{n - 1}, s := s{n})" for n in (5, 4, 3, 2)
+) + r""" end as m from l), d as (select source_id, idx, start_us, m.n as n, m.e as e, m.s as s from m where m is not null),
+  r as (select source_id, min(idx) as idx from d group by 1 union all select x.source_id, min(y.idx) from r join d x on x.source_id = r.source_id and x.idx = r.idx join d y on y.source_id = x.source_id and y.idx >= x.idx + x.n group by x.source_id, x.idx)
+  select source_id, 'false_start' as kind, case when n >= 3 then 'high' else 'medium' end as confidence, start_us, greatest(e, s - 50000) as end_us from d join r using (source_id, idx)""")
 def false_starts(spark, sf_dir):
     """Words by their first letter, so that the invented texts repeat phrases."""
     return C.false_starts(words(spark, sf_dir).withColumn("word", F.substring("word", 1, 1)))
@@ -213,7 +219,13 @@ def allocate_frames(spark, sf_dir):
     return C.allocate_frames(r).select("edit_id", "range_idx", "frames")
 
 
-@query()
+@query("with recursive " + RANGES_CTE + """, e as (select *, row_number() over (partition by edit_id order by range_idx) as i from ranges), f as (
+  select edit_id, i, start_us as a, end_us as b, null::bigint as seam, null::varchar as how from e where i = 1
+  union all select edit_id, i, case when meets then mid else start_us end, end_us, case when meets then mid end, case when meets then case when zoom_pct = z then 'continuous' else 'punch' end end from (
+    select *, coalesce(same and start_us - pb < 300000 and start_us > pa and end_us > pb and mid - pa >= 80000 and end_us - mid >= 80000, false) as meets from (
+      select e.*, f.a as pa, f.b as pb, p.zoom_pct as z, (f.b + e.start_us) // 2 as mid, e.source_id = p.source_id and e.speed_pct = 100 and p.speed_pct = 100 as same
+      from f join e on e.edit_id = f.edit_id and e.i = f.i + 1 join e p on p.edit_id = f.edit_id and p.i = f.i))
+) select f.edit_id, range_idx, a as start_us, coalesce(lead(seam) over (partition by f.edit_id order by f.i), b) as end_us, how as transition_in from f join e using (edit_id, i)""")
 def join_seams(spark, sf_dir):
     r = ranges(spark, sf_dir)
     return C.join_seams(r).select("edit_id", "range_idx", "start_us", "end_us", "transition_in")

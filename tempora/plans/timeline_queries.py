@@ -177,6 +177,13 @@ def labels_from_beats(spark, sf_dir):
     return T.labels_from_beats(_line(spark, sf_dir))
 
 
-@query()
+@query("with recursive " + RANGES_CTE + """, e as (
+  select *, row_number() over o as i, round_even(sum(floor((end_us - start_us) * 100 / speed_pct)::bigint) over (partition by edit_id order by range_idx) * 30 / 1000000.0::double, 0)::bigint as b from ranges window o as (partition by edit_id order by range_idx)
+), f as (
+  select edit_id, range_idx, i, 0::bigint as before, greatest(1, b) as bound from e where i = 1
+  union all select e.edit_id, e.range_idx, e.i, f.bound, greatest(f.bound + 1, e.b) from f join e on e.edit_id = f.edit_id and e.i = f.i + 1
+), x as (select e.*, before, bound - before as frames, floor(start_us * 30 / 1000000)::bigint as src from e join f using (edit_id, range_idx))
+select edit_id, range_idx, printf('%02d:%02d:%02d:%02d', src // 108000, src // 1800 % 60, src // 30 % 60, src % 30) as source_in, printf('%02d:%02d:%02d:%02d', before // 108000, before // 1800 % 60, before // 30 % 60, before % 30) as record_in,
+  frames, concat_ws(',', case when speed_pct <> 100 then 'speed' end, case when zoom_pct <> 100 then 'zoom' end) as notes from x""")
 def export_events(spark, sf_dir):
     return T.export_events(C.allocate_frames(T.range_durations(ranges(spark, sf_dir))))
