@@ -111,8 +111,8 @@ def sheet_moments(spark, sf_dir):
 
 @query("""with p as (select p_partkey as edit_id, p_brand as a, p_type as t, p_brand as b, p_name as f, p_type as s from part),
   c as (select edit_id, upper(a) as a, t || case when edit_id % 2 = 0 then 'x' else '' end as t, lower(b) as b, case when edit_id % 3 = 0 then 'Sans' else f end as f, s || '' as s from p)
-  select p.edit_id, unnest(['text_color', 'font_family']) as field, unnest([p.t, p.f]) as mine, unnest([c.t, c.f]) as theirs from p join c using (edit_id)
-  qualify lower(mine) <> lower(theirs)""")
+  select * from (select p.edit_id, unnest(['text_color', 'font_family']) as field, unnest([p.t, p.f]) as mine, unnest([c.t, c.f]) as theirs from p join c using (edit_id))
+  where lower(mine) <> lower(theirs)""")
 def brand_overrides(spark, sf_dir):
     """Parts as plans; every second contract has another colour, every third another font, the rest differs in case only."""
     p = table(spark, sf_dir, "part").select(
