@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, materialise
 
 # Tokenizer versions that are patterns, a token per match.
 PATTERNS = {"words-1": WORD, "pieces-1": r"\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]"}
@@ -101,6 +101,7 @@ class Ledger:
             F.when(known, F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null"))))).alias("op"),
             "doc_id", "source", "lang", "tokenizer", "n_tokens", seq.alias("seq"),
         ).where("doc_id is not null and (op = 'delete' or n_tokens is not null)")
+        given = materialise(given, "token-changes")  # it is read three times, and counting tokens is dear
         held = self.documents()
         whole = given.where("op = 'delete' and tokenizer is null").select("doc_id", "seq")
         spread = held.select("doc_id", "tokenizer").join(whole, "doc_id").select(
