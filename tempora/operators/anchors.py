@@ -18,8 +18,9 @@ def anchor_to_words(moves: DataFrame, anchored: DataFrame) -> DataFrame:
 def anchor_to_sources(moves: DataFrame, line: DataFrame, lead_us: int = 0) -> DataFrame:
     """moves (edit_id, move_id, source_id, at_us) with out_us: the first output instant of a source moment, less a lead; error where it was removed."""
     p = moves.withColumn("_e", F.col("at_us"))
-    r = line.select(F.col("edit_id").alias("_edit"), "source_id", "range_idx", "start_us", "end_us", "output_start", "speed_pct")
-    hit = range_join(p, r, ["source_id"], ("at_us", "_e"), ("start_us", "end_us"), (F.col("edit_id") == F.col("_edit")) & (F.col("at_us") >= F.col("start_us")) & (F.col("at_us") <= F.col("end_us")))
+    r = line.select("edit_id", "source_id", "range_idx", "start_us", "end_us", "output_start", "speed_pct")
+    inside = (F.col("at_us") >= F.col("start_us")) & (F.col("at_us") <= F.col("end_us"))
+    hit = range_join(p, r, ["edit_id", "source_id"], ("at_us", "_e"), ("start_us", "end_us"), inside)
     out = F.col("output_start") + F.floor((F.col("at_us") - F.col("start_us")) * 100 / F.col("speed_pct"))
     first = hit.groupBy("edit_id", "move_id").agg(F.min_by(out, "range_idx").alias("o"))
     got = moves.join(first, ["edit_id", "move_id"], "left")

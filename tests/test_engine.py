@@ -196,3 +196,106 @@ def test_imports_without_a_session_and_without_the_llm_part(tmp_path):
     shutil.rmtree(tmp_path / "tempora" / "llm", ignore_errors=True)
     out = subprocess.run([sys.executable, "-c", listed], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0 and int(out.stdout.split()[0]) == len(plans.QUERIES)
+
+
+def tracks_by_hand(faces):
+    """Sample by sample over whole tracks: the most recent first, each takes its nearest free face."""
+    out, tracks = {}, []
+    for t in sorted({f[0] for f in faces}):
+        free = [f for f in faces if f[0] == t]
+        for n, path in sorted(enumerate(tracks), key=lambda p: (-p[1][-1][0], p[0])):
+            last = path[-1]
+            dist = {f: ((f[2] - last[2]) ** 2 + (f[3] - last[3]) ** 2) ** 0.5 for f in free}
+            near = [f for f in free if dist[f] <= 1.2 * max(1, last[4])]
+            if near and t - last[0] <= 3:
+                best = min(near, key=lambda f: (dist[f], f[1]))
+                path.append(best)
+                free.remove(best)
+                out[best[:2]] = n
+        for f in free:
+            out[f[:2]] = len(tracks)
+            tracks.append([f])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tracks_match_a_plain_loop(spark, seed):
+    from tempora.operators.framing import track_faces
+
+    rnd = random.Random(seed)
+    faces = [(t, k, rnd.randint(0, 400), rnd.randint(0, 60), rnd.randint(20, 90)) for t in range(40) if rnd.random() < 0.8 for k in range(rnd.randint(1, 4))]
+    df = spark.createDataFrame([(7, *f) for f in faces], "source_id long, sample_idx long, face_idx long, x long, y long, w long")
+    got = {(r["sample_idx"], r["face_idx"]): r["track_id"] for r in track_faces(df).collect()}
+    assert got == tracks_by_hand(faces)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cues_match_a_search(spark, seed):
+    """Each cue is as long as the rules allow: found by trying every end from its first word on."""
+    rnd = random.Random(seed)
+    words_, at = [], 0
+    for n in range(150):
+        at += rnd.choice([0, 50_000, 400_000, -10_000]) if n else 0
+        text = rnd.choice(["a", "the", "of", "boats", "and", "mountains"]) + rnd.choice(["", "", "", ",", ".", "?"])
+        words_.append((at, at + rnd.randint(90_000, 300_000), text, rnd.choice(["u", "u", "u", "v"])))
+        at = words_[-1][1]
+    rows = [(1, n, w, who, a, b) for n, (a, b, w, who) in enumerate(sorted(words_, key=lambda x: x[0]))]
+    df = spark.createDataFrame(rows, "edit_id long, idx long, word string, speaker string, out_start long, out_end long")
+    got = sorted((r["cue_idx"], r["start_us"], r["text"]) for r in T.build_cues(df, leaning=frozenset(["the", "of"])).collect())
+
+    def barred(k):
+        """No cue holds words k and k + 1."""
+        (_, _, w, who, _, b), (_, _, _, who2, a2, _) = rows[k], rows[k + 1]
+        return a2 < b or a2 - b > 350_000 or who != who2 or w[-1] in ".?"
+
+    want, first = [], 0
+    while first < len(rows):
+        end, limit = first + 1, False
+        while end < len(rows) and not barred(end - 1) and not (rows[end - 1][2].endswith(",") and end - first >= 2):
+            if end - first >= 4 or len(" ".join(r[2] for r in rows[first : end + 1])) > 24:
+                limit = True
+                break
+            end += 1
+        moved = 0
+        while limit and moved < 2 and end - moved - first > 1 and rows[end - moved - 1][2] in ("the", "of"):
+            moved += 1
+        end -= moved
+        want.append((len(want), rows[first][4], " ".join(r[2] for r in rows[first:end])))
+        first = end
+    assert got == want
+
+
+def test_story_lines(spark):
+    from tempora.sources.tables import parse_story_rows
+
+    lines = ['"One  two" -> a.mp4 @ 2.5 1,4 s', "plain → b.mp4", "x -> y -> c @3", "\u201ehe said\u201d -> d 2s", "no arrow", " -> e", "f ->", "g -> h @", "i -> j @ 1 2", "k -> l 1 s s"]
+    got = [tuple(r)[1:] for r in parse_story_rows(spark.createDataFrame([(1, "\n".join(lines))], "k long, text string"), "k").orderBy("line_no").collect()]
+    assert got == [(0, "One two", "a.mp4", 2500, 1400), (1, "plain", "b.mp4", 0, None), (2, "x -> y", "c", 3000, None), (3, "he said", "d", 0, 2000)]
+
+
+def greedy_pairs(motion, turns_):
+    import numpy as np
+
+    r = {}
+    for label in {t[2] for t in turns_}:
+        for track in {m[0] for m in motion}:
+            own = [(m[2], float(any(a <= m[1] < b for a, b, x in turns_ if x == label))) for m in motion if m[0] == track]
+            if len(own) >= 4 and len({v for _, v in own}) > 1:
+                r[label, track] = round(float(np.corrcoef(*zip(*own))[0, 1]), 9)
+    out = {}
+    for (label, track), v in sorted(r.items(), key=lambda x: (-x[1], x[0])):
+        if v >= 0.15 and label not in out and track not in out.values():
+            out[label] = track
+    return out
+
+
+def test_speakers_match_a_plain_choice(spark):
+    from tempora.operators.framing import assign_speakers
+
+    rnd = random.Random(1)
+    turns_ = [(k * 1_000_000, (k + 1) * 1_000_000, rnd.choice("ABC")) for k in range(20)]
+    who = {t[0] // 1_000_000: t[2] for t in turns_}
+    motion = [(t, at, rnd.random() + ("ABC".index(who[at // 1_000_000]) == t)) for t in range(4) for at in range(0, 20_000_000, 250_000)]
+    m = spark.createDataFrame([(1, *x) for x in motion], "source_id long, track_id int, at_us long, motion double")
+    t = spark.createDataFrame([(1, *x) for x in turns_], "source_id long, start_us long, end_us long, label string")
+    assert {r["label"]: r["track_id"] for r in assign_speakers(m, t).collect()} == greedy_pairs(motion, turns_)
