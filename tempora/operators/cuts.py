@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise
 from .folds import fold
-from .intervals import complement, merge, nearest, overlap_join, subtract
+from .intervals import complement, merge, overlap_join, range_join, subtract
 from .speech import by_word, find_pauses
 
 LEAD_IN_US = 50_000
@@ -152,24 +152,16 @@ def keep_intervals(items: DataFrame, recordings: DataFrame) -> DataFrame:
 
 def snap_ranges(ranges: DataFrame, words: DataFrame, recordings: DataFrame, key: list[str]) -> DataFrame:
     """ranges with snap_start, snap_end: the nearest word start and end within 0.35 s, else the edge of the word around them, then
-    padded by 80 ms as far as the neighbouring words allow. A range that would turn over stays as it is."""
-    on = ["source_id"]
+    padded by 80 ms as far as the neighbouring words allow. A range that would turn over stays as it is.
+
+    What becomes of an instant depends on the words within 0.35 s of it alone, so each different instant of a recording is looked up once, by time bins, however many
+    ranges (told apart by `key`) share it.
+    """
     w = words.select("source_id", F.col("idx").alias("w_idx"), F.col("start_us").alias("w_start"), F.col("end_us").alias("w_end"))
-    first = nearest(ranges, w, on, "start_us", "w_start", SNAP_US, "w_idx", key).select(*key, F.col("w_start").alias("near_in"))
-    last = nearest(ranges, w, on, "end_us", "w_end", SNAP_US, "w_idx", key).select(*key, F.col("w_end").alias("near_out"))
-
-    def inside(point: str, edge: str, name: str) -> DataFrame:
-        at = ranges.select(*on, *key, F.col(point).alias("p0"), F.col(point).alias("p1"))
-        hit = overlap_point(at, w)
-        return hit.groupBy(*key).agg(F.min_by(edge, "w_idx").alias(name))
-
-    df = ranges.join(first, key, "left").join(last, key, "left").join(inside("start_us", "w_start", "in_word"), key, "left").join(inside("end_us", "w_end", "out_word"), key, "left")
-    moved = df.withColumns({"to_in": F.coalesce("near_in", "in_word", "start_us"), "to_out": F.coalesce("near_out", "out_word", "end_us")})
-    # ends before and starts after a moved edge: a union of points and words in time order
-    before = _edge_neighbour(moved, w, key, "to_in", "w_end", True)
-    after = _edge_neighbour(moved, w, key, "to_out", "w_start", False)
     lim = recordings.select("source_id", F.col("duration_us").alias("limit_us"))
-    out = moved.join(before, key, "left").join(after, key, "left").join(lim, on, "left")
+    ins = _snapped(ranges.select("source_id", F.col("start_us").alias("at")), w, "w_start", "w_end", -1).toDF("source_id", "start_us", "to_in", "prev_end")
+    outs = _snapped(ranges.select("source_id", F.col("end_us").alias("at")), w, "w_end", "w_start", 1).toDF("source_id", "end_us", "to_out", "next_start")
+    out = ranges.join(ins, ["source_id", "start_us"]).join(outs, ["source_id", "end_us"]).join(lim, "source_id", "left")
     pad_in = F.least(F.lit(PAD_US), F.greatest(F.lit(0), F.col("to_in") - F.coalesce("prev_end", F.lit(0))))
     pad_out = F.least(F.lit(PAD_US), F.greatest(F.lit(0), F.coalesce("next_start", "limit_us") - F.col("to_out")))
     turned = F.col("to_out") <= F.col("to_in")
@@ -180,25 +172,22 @@ def snap_ranges(ranges: DataFrame, words: DataFrame, recordings: DataFrame, key:
     )
 
 
-def overlap_point(points: DataFrame, words: DataFrame) -> DataFrame:
-    """Points (p0 = p1) strictly inside a word."""
-    from .intervals import range_join
-
-    return range_join(points, words, ["source_id"], ("p0", "p1"), ("w_start", "w_end"), (F.col("w_start") < F.col("p0")) & (F.col("p0") < F.col("w_end")))
-
-
-def _edge_neighbour(moved: DataFrame, words: DataFrame, key: list[str], point: str, edge: str, before: bool) -> DataFrame:
-    """The last word end at or before a point, or the first word start at or after it: a running maximum over points and words of a recording."""
-    name = "prev_end" if before else "next_start"
-    null = F.lit(None).cast("long")
-    p = moved.select("source_id", *key, F.col(point).alias("at"), null.alias("v"), F.lit(1 if before else 0).alias("after_words"))
-    v = words.select("source_id", *[F.lit(None).cast(moved.schema[k].dataType).alias(k) for k in key], F.col(edge).alias("at"), F.col(edge).alias("v"), F.lit(0 if before else 1).alias("after_words"))
-    order = Window.partitionBy("source_id")
-    if before:
-        run = F.max("v").over(order.orderBy("at", "after_words").rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        run = F.min("v").over(order.orderBy(F.desc("at"), F.desc("after_words")).rowsBetween(Window.unboundedPreceding, 0))
-    return p.unionByName(v).withColumn(name, run).where(F.col(key[0]).isNotNull()).select(*key, name)
+def _snapped(points: DataFrame, w: DataFrame, edge: str, other: str, side: int) -> DataFrame:
+    """(source_id, at, to, neighbour) for each different point (source_id, at): where it goes, and the nearest `other` edge of a word within the padding on its outer side
+    (-1: before it, 1: behind it). Words beyond the padding, and the bounds of a recording, don't matter to it."""
+    each = points.distinct()
+    away = F.abs(F.col(edge) - F.col("at"))
+    close, around = away <= SNAP_US, (F.col("w_start") < F.col("at")) & (F.col("at") < F.col("w_end"))
+    reach = each.withColumns({"_lo": F.col("at") - SNAP_US - 1, "_hi": F.col("at") + SNAP_US + 1})
+    met = range_join(reach, w, ["source_id"], ("_lo", "_hi"), ("w_start", "w_end"), close | around)
+    best = met.groupBy("source_id", "at").agg(F.min_by(edge, F.when(close, F.struct(away, "w_idx"))).alias("near"), F.min_by(edge, F.when(around, F.col("w_idx"))).alias("around"))
+    to = each.join(best, ["source_id", "at"], "left").select("source_id", "at", F.coalesce("near", "around", "at").alias("to"))
+    beyond = (F.col(other) - F.col("to")) * side
+    span = to.select("source_id", "to").distinct().withColumns({"_lo": F.col("to") - PAD_US - 1, "_hi": F.col("to") + PAD_US + 1})
+    ends = w.select("source_id", other, F.col(other).alias("_e0"), (F.col(other) + 1).alias("_e1"))
+    hit = range_join(span, ends, ["source_id"], ("_lo", "_hi"), ("_e0", "_e1"), (beyond >= 0) & (beyond <= PAD_US))
+    neighbour = hit.groupBy("source_id", "to").agg(F.min_by(other, beyond).alias("neighbour"))
+    return to.join(neighbour, ["source_id", "to"], "left").select("source_id", "at", "to", "neighbour")
 
 
 def snap_merge(ranges: DataFrame) -> DataFrame:
