@@ -299,3 +299,40 @@ def test_speakers_match_a_plain_choice(spark):
     m = spark.createDataFrame([(1, *x) for x in motion], "source_id long, track_id int, at_us long, motion double")
     t = spark.createDataFrame([(1, *x) for x in turns_], "source_id long, start_us long, end_us long, label string")
     assert {r["label"]: r["track_id"] for r in assign_speakers(m, t).collect()} == greedy_pairs(motion, turns_)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fixes_carried_match_a_plain_loop(spark, seed):
+    """Several fixes an edit, each on what the ones before it left."""
+    from tempora.operators.amends import carry_fixes
+
+    rnd = random.Random(seed)
+    cues = [(1, n, n * 2_000_000, n * 2_000_000 + 1_500_000, [(rnd.choice("Abcd") + rnd.choice(["", ","]), n * 2_000_000 + k * 300_000, n * 2_000_000 + k * 300_000 + 200_000) for k in range(4)]) for n in range(6)]
+    fixes = [(1, k, rnd.randrange(0, 15_000_000, 250_000), " ".join(rnd.choice("abcdz") for _ in range(rnd.randint(1, 2))), rnd.choice(["x", "y z", "b"])) for k in range(25)]
+    track, states = {c[1]: [w[0] for w in c[4]] for c in cues}, []
+
+    def find(n, want):
+        for low in (False, True):
+            have = [t.strip(",").lower() if low else t for t in track[n]]
+            for k in range(len(have) - len(want) + 1):
+                if have[k : k + len(want)] == want:
+                    return k
+
+    for _, _, at, old, new in fixes:
+        old, new = old.split(), new.split()
+        away = {n: max(c[2] - at, at - c[3], 0) for n, c in enumerate(cues)}
+        near = [n for n in sorted(away, key=lambda n: (away[n], n))[:1] if away[n] <= 1_000_000 and find(n, old) is not None]
+        says = [n for n in track if find(n, old) is not None]
+        go = near or (says if len(says) == 1 else [])
+        if go and len(track[go[0]]) - len(old) + len(new) > 0:
+            k = find(go[0], old)
+            track[go[0]][k : k + len(old)] = new
+            states.append("applied" if near else "moved")
+        else:
+            states.append("done" if any(find(n, new) is not None for n in track) else "lost")
+    c = spark.createDataFrame(cues, "edit_id long, cue_idx long, start_us long, end_us long, words array<struct<text:string,start_us:long,end_us:long>>")
+    f = spark.createDataFrame(fixes, "edit_id long, fix_id long, at_us long, old string, new string")
+    out = carry_fixes(c, f).collect()
+    assert [r["text"] for r in sorted((r for r in out if r["kind"] == "fix"), key=lambda r: r["n"])] == states
+    got = sorted((r["n"], r["pos"], r["text"]) for r in out if r["kind"] == "word")
+    assert got == [(n, k, t) for n in sorted(track) for k, t in enumerate(track[n])]
