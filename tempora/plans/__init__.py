@@ -1,6 +1,6 @@
 """Queries of the engine and their oracles, by name."""
 
 from ..registry import ORACLES, QUERIES
-from . import amend_queries, anchor_queries, audit_queries, cut_queries, draft_queries, framing_queries, measure_queries, speech_queries, stream_queries, timeline_queries
+from . import amend_queries, anchor_queries, audit_queries, cut_queries, draft_queries, framing_queries, measure_queries, speech_queries, staging_queries, stream_queries, timeline_queries
 
-__all__ = ["ORACLES", "QUERIES", "amend_queries", "anchor_queries", "audit_queries", "cut_queries", "draft_queries", "framing_queries", "measure_queries", "speech_queries", "stream_queries", "timeline_queries"]
+__all__ = ["ORACLES", "QUERIES", "amend_queries", "anchor_queries", "audit_queries", "cut_queries", "draft_queries", "framing_queries", "measure_queries", "speech_queries", "staging_queries", "stream_queries", "timeline_queries"]

@@ -336,3 +336,23 @@ def test_fixes_carried_match_a_plain_loop(spark, seed):
     assert [r["text"] for r in sorted((r for r in out if r["kind"] == "fix"), key=lambda r: r["n"])] == states
     got = sorted((r["n"], r["pos"], r["text"]) for r in out if r["kind"] == "word")
     assert got == [(n, k, t) for n in sorted(track) for k, t in enumerate(track[n])]
+
+
+def test_labels_land_on_their_scenes(spark):
+    from tempora.operators.staging import pin_labels
+
+    line = spark.createDataFrame([(1, k, b, s * 1000, e * 1000) for k, (b, s, e) in enumerate([("Intro", 0, 3000), ("Body", 3000, 7000), ("body ", 7000, 9000), ("End", 9000, 12_000)])], "edit_id long, range_idx long, beat string, output_start long, output_end long")
+    rows = [("INTRO", 200, 2500), ("Body", 2600, 5000), ("body", 5100, 8000), ("Other", 8100, 20_000), ("Far", 9000, 9100)]
+    labels = spark.createDataFrame([(1, k, t, a * 1000, b * 1000) for k, (t, a, b) in enumerate(rows)], "edit_id long, label_idx long, text string, start_us long, end_us long")
+    got = [(r["label_idx"], r["start_us"] // 1000, r["end_us"] // 1000, r["n_joined"], r["problem"]) for r in pin_labels(labels, line).orderBy("start_us", "end_us").collect()]
+    assert got == [(0, 0, 3000, 0, None), (1, 3000, 9000, 1, None), (4, 9000, 9100, 0, "shares its scene with the next"), (3, 9000, 12_000, 0, None)]
+
+
+def test_a_word_takes_its_first_free_prop(spark):
+    from tempora.operators.staging import props
+
+    w = spark.createDataFrame([(1, k, t, "u", k * 1_000_000 + 500_000, k * 1_000_000 + 900_000) for k, t in enumerate("lamp lamps, Lamp table lamp".split())], "source_id long, idx long, word string, speaker string, start_us long, end_us long")
+    lib = spark.createDataFrame([(7, 0, "lamp"), (8, 1, "Lamps"), (9, 2, "table"), (10, 3, "ta")], "prop_id long, ord int, keyword string")
+    rec = spark.createDataFrame([(1, 20_000_000)], "source_id long, duration_us long")
+    got = sorted((r["idx"], r["prop_id"], r["exact"]) for r in props(w, rec, lib).collect())
+    assert got == [(0, 7, True), (1, 8, True), (3, 9, True)]
