@@ -356,3 +356,34 @@ def test_a_word_takes_its_first_free_prop(spark):
     rec = spark.createDataFrame([(1, 20_000_000)], "source_id long, duration_us long")
     got = sorted((r["idx"], r["prop_id"], r["exact"]) for r in props(w, rec, lib).collect())
     assert got == [(0, 7, True), (1, 8, True), (3, 9, True)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_voice_matches_a_plain_mask(spark, seed):
+    import numpy as np
+
+    from tempora.operators.acoustics import voiced
+
+    rnd = random.Random(seed)
+    level, at = [], -600
+    for _ in range(900):
+        at = rnd.choice([-600, -250, -480]) if rnd.random() < 0.15 else at
+        level.append(at + rnd.randint(-30, 30))
+    frames = spark.createDataFrame([(1, n, v) for n, v in enumerate(level)], "source_id long, frame_no long, level_db10 long")
+    spans = [(k, lo, lo + rnd.randint(200_000, 3_000_000)) for k, lo in enumerate(rnd.randrange(0, 8_000_000, 10_000) for _ in range(12))]
+    windows = spark.createDataFrame([(k, 1, a, b) for k, a, b in spans], "k long, source_id long, w_lo long, w_hi long")
+    want = set()
+    for k, a, b in spans:
+        first = a // 10_000
+        own = np.array(level[first : min(b // 10_000, 900)], dtype=float)
+        low, peak = np.percentile(own, 10), np.percentile(own, 95)
+        loud = [peak - low >= 100 and v > low + max(80, (peak - low) / 5) for v in own]
+        n = 0
+        while n < len(loud):
+            end = n
+            while end < len(loud) and loud[end]:
+                end += 1
+            if end - n >= 3:
+                want |= {(k, first + j, first + end) for j in range(n, end)}
+            n = max(end, n + 1)
+    assert {tuple(r) for r in voiced(windows, frames, ["k"]).collect()} == want
