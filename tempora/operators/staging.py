@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ends_sentence, normalise
 from .accents import stem_match
 from .folds import fold
-from .intervals import nearest
+from .intervals import nearest, range_join
 
 EARLIEST_US = 300_000
 QUOTE_WORDS = 12
@@ -21,6 +21,7 @@ PROP_US = 2_500_000
 PIN_US = 1_500_000
 MEET_US = 300_000
 LEAST_LABEL_US = 500_000
+CLOSE_US = 600_000
 
 
 def _numbered(words: DataFrame) -> DataFrame:
@@ -157,3 +158,40 @@ def pin_labels(labels: DataFrame, line: DataFrame) -> DataFrame:
         "edit_id", "l.label_idx", "l.text", F.col("p0").alias("start_us"), F.when(meets & ~crowded, nxt).otherwise(F.col("p1")).alias("end_us"), "n_joined",
         F.when(crowded, "shares its scene with the next").alias("problem"),
     )
+
+
+def first_shot(ranges: DataFrame, shots: DataFrame) -> DataFrame:
+    """ranges with the shot (edit_id, source_id, start_us, end_us, snapped to words before) in the place of each edit's first one; other columns stay. Edits without a shot are left out."""
+    new = shots.select("edit_id", F.col("source_id").alias("_source"), F.col("start_us").alias("_start"), F.col("end_us").alias("_end"))
+    first = F.row_number().over(Window.partitionBy("edit_id").orderBy("range_idx")) == 1
+    put = {c: F.when(F.col("_first"), F.col(n)).otherwise(F.col(c)) for c, n in (("source_id", "_source"), ("start_us", "_start"), ("end_us", "_end"))}
+    return ranges.withColumn("_first", first).join(new, "edit_id").select(*[put[c].alias(c) if c in put else F.col(c) for c in ranges.columns])
+
+
+def first_shot_warnings(ranges: DataFrame, shots: DataFrame, words: DataFrame) -> DataFrame:
+    """(edit_id, warning, range_idx): what to check about a new first shot.
+
+    It starts or ends inside a sentence that runs on within 0.6 s, its source has no words, it comes from another source than the shot it takes the place of, or it repeats footage of a later range
+    (its range_idx). Each different span is held against the words once.
+    """
+    spans = shots.select("source_id", F.col("start_us").alias("s"), F.col("end_us").alias("e")).distinct()
+    w = words.select("source_id", "idx", F.col("start_us").alias("w0"), F.col("end_us").alias("w1"), ends_sentence(F.col("word")).alias("full"))
+    reach = spans.withColumns({"_lo": F.col("s") - CLOSE_US, "_hi": F.col("e") + CLOSE_US})
+    met = range_join(reach, w, ["source_id"], ("_lo", "_hi"), ("w0", "w1"), (F.col("w1") > F.col("_lo")) & (F.col("w0") < F.col("_hi")))
+    told = met.groupBy("source_id", "s", "e").agg(
+        F.max_by("full", F.when(F.col("w1") <= F.col("s"), F.col("idx"))).alias("before"), F.max_by("full", F.when((F.col("w0") >= F.col("s")) & (F.col("w1") <= F.col("e")), F.col("idx"))).alias("last"),
+        F.coalesce(F.bool_or(F.col("w0") >= F.col("e")), F.lit(False)).alias("goes_on"),
+    )
+    spoken = words.select("source_id", F.lit(True).alias("spoken")).distinct()
+    old = ranges.groupBy("edit_id").agg(F.min_by("source_id", "range_idx").alias("old_source"), F.min("range_idx").alias("first"))
+    of = shots.select("edit_id", "source_id", F.col("start_us").alias("s"), F.col("end_us").alias("e")).join(told, ["source_id", "s", "e"], "left").join(spoken, "source_id", "left").join(old, "edit_id")
+    found = F.array_compact(
+        F.array(
+            F.when(~F.col("before"), "starts mid-sentence"), F.when(~F.col("last") & F.col("goes_on"), "ends mid-sentence"), F.when(F.col("spoken").isNull(), "no transcript"),
+            F.when(F.col("source_id") != F.col("old_source"), "other source"),
+        )
+    )
+    own = of.select("edit_id", F.explode(found).alias("warning"), F.lit(None).cast("long").alias("range_idx"))
+    again = of.select("edit_id", "source_id", "s", "e", "first").join(ranges.select("edit_id", "source_id", "range_idx", "start_us", "end_us"), ["edit_id", "source_id"])
+    again = again.where((F.col("range_idx") > F.col("first")) & (F.col("start_us") < F.col("e")) & (F.col("s") < F.col("end_us")))
+    return own.unionByName(again.select("edit_id", F.lit("repeats footage").alias("warning"), "range_idx"))

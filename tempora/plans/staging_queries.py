@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..fixtures import ranges, recordings, table, words
+from ..fixtures import RANGES_CTE, ranges, recordings, table, words
 from ..functions.scalars import word_key
 from ..operators import staging as G
 from ..operators import timeline as T
 from ..registry import query
 from .audit_queries import COMMON
-from .speech_queries import BARE, NORM, WR
+from .speech_queries import BARE, NORM, W, WR
 from .timeline_queries import R
 
 N = "n as (select source_id, idx, word, start_us, end_us, " + NORM + " as key, row_number() over (partition by source_id order by idx) as pos from words)"
@@ -100,3 +100,32 @@ def pin_labels(spark, sf_dir):
     text = F.when(F.col("edit_id") % 2 == 0, F.concat(F.lower("beat"), F.lit(" "))).otherwise(F.concat(F.lit("Scene "), F.floor(k % 4 / 2).cast("string")))
     labels = line.where(k % 3 < 2).select("edit_id", k.alias("label_idx"), text.alias("text"), (k * 1_400_000).alias("start_us"), (k * 1_400_000 + 2_700_000).alias("end_us"))
     return G.pin_labels(labels, line)
+
+
+SHOTS = RANGES_CTE + """, shots as (select edit_id, source_id + case when edit_id % 5 = 0 then 60 else 0 end as source_id, start_us + 3210000 as start_us, start_us + 6000000 + edit_id % 7 * 310000 as end_us from ranges where range_idx = 0)"""
+
+
+def _shots(r):
+    k = F.col("edit_id")
+    return r.where("range_idx = 0").select(
+        "edit_id", (F.col("source_id") + F.when(k % 5 == 0, 60).otherwise(0)).alias("source_id"), (F.col("start_us") + 3_210_000).alias("start_us"), (F.col("start_us") + 6_000_000 + k % 7 * 310_000).alias("end_us")
+    )
+
+
+@query("with " + SHOTS + """ select r.edit_id, range_idx, case when range_idx = 0 then s.source_id else r.source_id end as source_id, case when range_idx = 0 then s.start_us else r.start_us end as start_us,
+  case when range_idx = 0 then s.end_us else r.end_us end as end_us from ranges r join shots s using (edit_id)""")
+def first_shot(spark, sf_dir):
+    """A later piece of the same recording, or of another one in every fifth edit."""
+    r = ranges(spark, sf_dir)
+    return G.first_shot(r, _shots(r)).select("edit_id", "range_idx", "source_id", "start_us", "end_us")
+
+
+@query(W + "," + SHOTS + rf""", m as (select s.edit_id, s.start_us as s, s.end_us as e, idx, w.start_us as w0, w.end_us as w1, regexp_matches({BARE}, '[.!?…]$') as ended from shots s join words w on w.source_id = s.source_id and w.end_us > s.start_us - 600000 and w.start_us < s.end_us + 600000),
+  t as (select edit_id, arg_max(ended, idx) filter (w1 <= s) as before, arg_max(ended, idx) filter (w0 >= s and w1 <= e) as last, coalesce(bool_or(w0 >= e), false) as goes_on from m group by 1),
+  o as (select s.*, t.before, t.last, t.goes_on, r.source_id as old from shots s join ranges r on r.edit_id = s.edit_id and r.range_idx = 0 left join t on t.edit_id = s.edit_id)
+  select edit_id, 'starts mid-sentence' as warning, null::bigint as range_idx from o where not before union all select edit_id, 'ends mid-sentence', null from o where not last and goes_on
+  union all select edit_id, 'no transcript', null from o where source_id not in (select source_id from words) union all select edit_id, 'other source', null from o where source_id <> old
+  union all select o.edit_id, 'repeats footage', r.range_idx from o join ranges r on r.edit_id = o.edit_id and r.source_id = o.source_id and r.range_idx > 0 and r.start_us < o.end_us and o.start_us < r.end_us""")
+def first_shot_warnings(spark, sf_dir):
+    r = ranges(spark, sf_dir)
+    return G.first_shot_warnings(r, _shots(r), words(spark, sf_dir))
