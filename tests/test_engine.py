@@ -387,3 +387,17 @@ def test_voice_matches_a_plain_mask(spark, seed):
                 want |= {(k, first + j, first + end) for j in range(n, end)}
             n = max(end, n + 1)
     assert {tuple(r) for r in voiced(windows, frames, ["k"]).collect()} == want
+
+
+def test_amends_of_empty_tables_and_nulls(spark):
+    from tempora.operators import amends as M
+
+    w = spark.createDataFrame([(1, 0, "One", 0, 100_000), (1, 1, None, 200_000, 300_000)], "source_id long, idx long, word string, start_us long, end_us long")
+    at = spark.createDataFrame([(1, 140_000), (2, 5)], "source_id long, at_us long")
+    assert sorted(tuple(r) for r in M.snap_to_word(at, w).collect()) == [(1, 140_000, 100_000), (2, 5, 5)]
+    assert M.snap_to_word(at, w.limit(0)).where("at_us <> to_us").count() == 0
+    spans = spark.createDataFrame([], "source_id long, lo_us long, hi_us long")
+    passages = spark.createDataFrame([], "source_id long, pos long, word string, start_us long, end_us long")
+    assert [r["word"] for r in M.splice_refined(w, passages, spans).orderBy("idx").collect()] == ["One", None]
+    cues = spark.createDataFrame([(1, 0, None), (1, 1, ""), (1, 2, "a b")], "edit_id long, cue_idx long, text string")
+    assert [r["size_px"] for r in M.fit_check(cues, 40, 500, 2).orderBy("cue_idx").collect()] == [None, None, 40]
