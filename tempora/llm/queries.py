@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, quality, secrets, simhash, token_counts, topk, warc
+from . import bpe, decontaminate, language_id, line_dedup, mixing, quality, secrets, simhash, token_counts, topk, warc
 from .shared import table_path
 
 
@@ -68,8 +69,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing)}
+    each = (
+        op1_secrets, op2_line_dedup, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing, op11_bpe,
+    )
+    return {f.__name__: f for f in each}
 
 
 OP3_SQL = """
