@@ -27,8 +27,8 @@ LEAF = 32
 #: Characters from which on a document is dealt over tasks, and of one parcel of it.
 SPREAD = 65_536
 PARCEL = 16_384
-#: Pieces that a worker remembers.
-REMEMBERED = 400_000
+#: Pieces and runs that a worker remembers in each of two generations.
+REMEMBERED = 300_000
 
 #: What the settings of a tokenizer file must be for the quick cut into pieces; any others are left to the library's normaliser and pre-tokeniser.
 _QUICK_NORMALIZERS = ("NFC", "Replace", "Lowercase")
@@ -84,6 +84,7 @@ def load(path: str) -> dict:
         "pattern": cuts[0]["pattern"]["Regex"] if quick else None,
         "file": whole,
         "codes": {},
+        "older": {},
     }
 
 
@@ -205,7 +206,7 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece, packed; remembered if it's short."""
-        got = self.codes.get(piece)
+        got = self._known(piece)
         if got is None:
             ids = [self.t["added"][piece]] if piece in self.t["added"] else self.stretch(piece.encode(), True)
             got = self._remember(piece, pack(ids))
@@ -214,13 +215,20 @@ class Encoder:
     def _remember(self, key: str, ids: bytes) -> bytes:
         if len(key) <= LEAF:
             if len(self.codes) >= REMEMBERED:
+                self.t["older"] = dict(self.codes)
                 self.codes.clear()
             self.codes[key] = ids
         return ids
 
+    def _known(self, key: str) -> bytes | None:
+        got = self.codes.get(key)
+        if got is None and (got := self.t["older"].get(key)) is not None:
+            self._remember(key, got)
+        return got
+
     def _run(self, run: str) -> bytes:
         """Ids of a run without white space. A piece is a run that is cut into itself, so both are remembered together."""
-        got = self.codes.get(run)
+        got = self._known(run)
         return got if got is not None else self._remember(run, b"".join(map(self.piece, self.quick.findall(run))))
 
     def encode(self, text: str | None) -> bytes:
