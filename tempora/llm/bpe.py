@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,9 @@ LEAF = 32
 SPREAD = 65_536
 PARCEL = 16_384
 #: Pieces and runs that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Bytes of text or ids after which a worker hands on what it has: memory follows this and the longest text, not the rows of a batch.
+HANDED = 4_000_000
 
 #: What the settings of a tokenizer file must be for the quick cut into pieces; any others are left to the library's normaliser and pre-tokeniser.
 _QUICK_NORMALIZERS = ("NFC", "Replace", "Lowercase")
@@ -291,24 +295,38 @@ def unpack(packed: bytes) -> list[int]:
     return np.frombuffer(packed, dtype="<u4").tolist()
 
 
-def encode(docs: DataFrame, tokenizer: str | dict, text: str = "text", spread: int = SPREAD, parcel: int = PARCEL) -> DataFrame:
+def _handed(batches, column: str, f, kind: pa.DataType, drop: bool):
+    """Each batch in slices of about HANDED bytes of `column`, with f(value) as the last column; drop: without `column`."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // HANDED
+        edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+        for at, to in zip(edges, edges[1:]):
+            part = batch.slice(at, to - at)
+            made = pa.array([f(v.as_py()) for v in part.column(column)], kind)
+            kept = [n for n in part.schema.names if not (drop and n == column)]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), made], [*kept, "llm_made"])
+
+
+def _added(df: DataFrame, column: str, make, name: str, kind, drop: bool = False) -> DataFrame:
+    """df with the column `name` = f(`column`) at its end, by slices; make() gives f in the worker."""
+    kept = df.drop(name)
+    fields = [f for f in kept.schema.fields if not (drop and f.name == column)]
+    schema = T.StructType([*fields, T.StructField("llm_made", kind)])
+    arrow = pa.binary() if kind == T.BinaryType() else pa.string()
+    return kept.mapInArrow(lambda batches: _handed(batches, column, make(), arrow, drop), schema).withColumnRenamed("llm_made", name)
+
+
+def encode(docs: DataFrame, tokenizer: str | dict, text: str = "text", keep_text: bool = True, spread: int = SPREAD, parcel: int = PARCEL) -> DataFrame:
     """docs with `ids`, binary: the token ids of each whole text, little-endian unsigned 32-bit integers (a column of that name is replaced).
 
     tokenizer: path of a tokenizer file, read on the driver, or what `load` made of it. Strings of added tokens in a text are those tokens; none is added. Null
     and empty texts have no ids. Very long texts are dealt over tasks by parcels; one document's ids come together in one row. Repeated rows get a row each, an
-    empty table gives an empty one, other columns pass through.
+    empty table gives an empty one, other columns pass through; without keep_text the text doesn't.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(tokenizer) if isinstance(tokenizer, str) else tokenizer)  # as large as the vocabulary
-
-    def ids_of(series):
-        made = None
-        for batch in series:
-            made = made or Encoder(shared.value)
-            yield pd.Series([made.encode(t) for t in batch], dtype=object)
-
     length = F.coalesce(F.length(text), F.lit(0))
-    short = docs.where(length < spread).withColumn("ids", F.pandas_udf(_typed(ids_of), "binary")(F.col(text)))
+    short = _added(docs.where(length < spread), text, lambda: Encoder(shared.value).encode, "ids", T.BinaryType(), not keep_text)
 
     def cut(batches):
         made = Encoder(shared.value)
@@ -334,7 +352,7 @@ def encode(docs: DataFrame, tokenizer: str | dict, text: str = "text", spread: i
         whole = Encoder(shared.value).gather(list(zip(pdf["piece"], pdf["part"], pdf["ids"], strict=True)))
         return pd.DataFrame({"llm_row": pdf["llm_row"].iloc[:1], "ids": [whole]})
 
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "ids"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "ids" and (keep_text or c != text)]
     kept = materialise(docs.where(length >= spread).select(F.struct(*others).alias("llm_doc"), F.col(text).alias("llm_text"), F.monotonically_increasing_id().alias("llm_row")), "bpe-long")
     cuts = kept.select("llm_row", "llm_text").mapInPandas(cut, "llm_row long, piece long, part long, last boolean, body string")
     found = cuts.repartition(parts(spark), "llm_row", "piece", "part").mapInPandas(each, "llm_row long, piece long, part long, ids binary")
@@ -348,26 +366,17 @@ def decode(df: DataFrame, tokenizer: str | dict, ids: str = "ids") -> DataFrame:
     tables = load(tokenizer) if isinstance(tokenizer, str) else tokenizer
     shared = df.sparkSession.sparkContext.broadcast(tables["names"])
 
-    def text_of(series):
+    def make():
         names = shared.value
-        for batch in series:
-            yield pd.Series([None if p is None else " ".join(map(names.__getitem__, unpack(p))) for p in batch], dtype=object)
-
-    return df.withColumn("decoded", F.pandas_udf(_typed(text_of), T.StringType())(F.col(ids)))
-
-
-def _typed(f):
-    """Marks f as a function from an iterator of series to one of series."""
-    from collections.abc import Iterator
+        return lambda p: None if p is None else " ".join(map(names.__getitem__, unpack(p)))
 
-    f.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return f
+    return _added(df, ids, make, "decoded", T.StringType())
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, then decoded from its ids."""
     tables = load(tokenizer)
-    both = decode(encode(docs.select("doc_id", "text"), tables), tables)
+    both = decode(encode(docs.select("doc_id", "text"), tables, keep_text=False), tables)
     n = (F.length("ids") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, mixing, quality, secrets, simhash, token_counts, topk, warc
+from . import bpe, decontaminate, language_id, line_dedup, mixing, quality, secrets, simhash, spelling, token_counts, topk, warc
 from .shared import table_path
 
 
@@ -73,9 +73,13 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     each = (
-        op1_secrets, op2_line_dedup, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing, op11_bpe,
+        op1_secrets, op2_line_dedup, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing, op11_bpe, op13_spelling,
     )
     return {f.__name__: f for f in each}
 

@@ -71,6 +71,11 @@ def test_awkward_rows(awkward, nothing, library):
     assert bpe.decode(bpe.encode(nothing, PATH), PATH).count() == 0
 
 
+def test_ids_beyond_the_doubles_beside_null_ones(make_docs):
+    got = bpe.encode(make_docs([(2**62 + 1, "a b"), (None, "c")]), PATH)
+    assert {r.doc_id for r in got.collect()} == {2**62 + 1, None}
+
+
 def test_clashing_columns_are_replaced(awkward, library):
     got = bpe.encode(awkward.withColumn("ids", F.lit("x")).withColumn("llm_row", F.lit(1)).withColumn("piece", F.lit(2)), PATH, spread=10)
     assert dict(got.dtypes)["ids"] == "binary" and got.select("piece", "llm_row").distinct().count() == 1
