@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, mixing, quality, secrets, simhash, spelling, token_counts, topk, warc
+from . import bpe, decontaminate, language_id, lexical, line_dedup, mixing, quality, secrets, simhash, spelling, token_counts, topk, warc
 from .shared import table_path
 
 
@@ -73,13 +73,17 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     each = (
-        op1_secrets, op2_line_dedup, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing, op11_bpe, op13_spelling,
+        op1_secrets, op2_line_dedup, op3_warc, op4_topk, op5_quality, op6_simhash, op7_token_counts, op8_decontaminate, op9_language, op10_mixing, op11_bpe, op12_lexical, op13_spelling,
     )
     return {f.__name__: f for f in each}
 
@@ -158,5 +162,64 @@ from p
 """
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+with t as (
+  select doc_id, row_number() over () as row, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as all_of from documents where text is not null
+), d as (select doc_id, row, len(all_of)::bigint as n, all_of from t where len(all_of) > 0
+), c as (select count(*)::bigint as docs, sum(n)::bigint as len from d
+), i as (
+  select distinct item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark where item_id is not null
+), f as (
+  select doc_id, row, n, term, count(*)::bigint as tf from (select doc_id, row, n, unnest(all_of) as term from d)
+  where term in (select term from i) group by all
+), w as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, c group by term, docs
+), s as (
+  select i.item_id, f.row, any_value(f.doc_id) as doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + (50 * f.n * c.docs) // c.len))))::bigint as score
+  from i join f using (term) join w using (term), c group by i.item_id, f.row
+)
+select item_id, rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::integer as rank from s where score > 0
+) where rank <= 50
+"""
+
+#: crc32 byte by byte with its table of 256 steps; 3988292384 is the reversed polynomial.
+OP13_SQL = rf"""
+with recursive step as (
+  select list(list_reduce(list_prepend(b, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by b) as tab from range(256) r(b)
+), r as (
+  select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]{{6,}}')) as run from documents
+), o as (select run, hex(encode(id || ':' || run)) as code, count(*) as n from r group by id, run
+), h as (
+  select run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(1, len(code), 2), lambda i: ('0x' || substr(code, i::int, 2))::bigint)),
+    lambda c, b: xor(c // 256, tab[1 + xor(c % 256, b)]))) as h
+  from o, step
+), w as (
+  select word, sum(n)::bigint as n from (
+    select case when h % 199 = 0 then substr(run, 1, (h % len(run))::int) || substr(run, (h % len(run))::int + 2) else run end as word, n from h
+  ) where len(word) >= 6 group by word having sum(n) >= 5
+), l as (select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as less from (select *, unnest(range(len(word))) as i from w)
+), p as (
+  select distinct a, b from (
+    select x.word as a, y.word as b from l x join l y on x.less = y.less and x.i = y.i and x.word <> y.word
+    union all select l.word, w.word from l join w on l.less = w.word
+    union all select w.word, l.word from l join w on l.less = w.word
+  )
+), e as (
+  select a, count(*)::bigint as n_near, (list(b order by w.n desc, b))[1] as best, max(w.n)::bigint as best_n from p join w on p.b = w.word group by a
+), f as (
+  select w.word, case when best_n >= 5 * n then best end as form, n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 5 * n then best_n end as form_n
+  from w left join e on w.word = e.a
+), g as (
+  select word, word as at, 0 as depth from f
+  union all select g.word, f.form, depth + 1 from g join f on g.at = f.word where f.form is not null
+)
+select f.word, f.form, root, n, n_near, form_n from f join (select word, arg_max(at, depth) as root from g group by word) using (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_topk": OP4_SQL, "op7_token_counts": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_topk": OP4_SQL, "op7_token_counts": OP7_SQL, "op10_mixing": OP10_SQL, "op12_lexical": OP12_SQL, "op13_spelling": OP13_SQL}

@@ -23,6 +23,8 @@ SPOILT = 199
 TIMES = 5
 
 QMIN, QMAX = 2, 6
+#: Code points up to which grams are substrings.
+SUBSTRINGS = 64
 #: Words that a gram may stand in before it is extended.
 PRUNE = 32
 #: Frequent grams that are broadcast at most; with more, PRUNE is doubled until they are as few. That lengthens lists, and loses nothing.
@@ -54,16 +56,15 @@ def words(docs: DataFrame, text: str = "text", shortest: int = SHORTEST, often:
 
 
 def _grams(word: Column) -> Column:
-    """All (at, gram) of a word, QMIN to QMAX long."""
+    """All (at, gram) of a word, QMIN to QMAX long. Cut out of the word itself while that's short, else out of its letters: substring counts from the start."""
     n = F.length(word)
-    return F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - QMIN),
-            lambda at: F.transform(
-                F.sequence(F.lit(QMIN), F.least(F.lit(QMAX), n - at)), lambda q: F.struct(at.alias("at"), F.substring(word, at + 1, q).alias("gram"))
-            ),
-        )
-    )
+
+    def cut(letters: Column, gram) -> Column:
+        lengths = lambda at: F.sequence(F.lit(QMIN), F.least(F.lit(QMAX), n - at))
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - QMIN), lambda at: F.transform(lengths(at), lambda q: F.struct(at.alias("at"), gram(letters, at, q).alias("gram")))))
+
+    short = cut(word, lambda w, at, q: F.substring(w, at + 1, q))
+    return F.when(n <= SUBSTRINGS, short).otherwise(cut(F.split(word, ""), lambda x, at, q: F.array_join(F.slice(x, at + 1, q), "")))
 
 
 def frequent_grams(found: DataFrame, prune: int = PRUNE, most: int = FREQUENT) -> dict[str, int]:
