@@ -214,10 +214,10 @@ with recursive step as (
   select w.word, case when best_n >= 5 * n then best end as form, n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 5 * n then best_n end as form_n
   from w left join e on w.word = e.a
 ), g as (
-  select word, word as at, 0 as depth from f
-  union all select g.word, f.form, depth + 1 from g join f on g.at = f.word where f.form is not null
+  select word, word as spot, 0 as depth from f
+  union all select g.word, f.form, depth + 1 from g join f on g.spot = f.word where f.form is not null
 )
-select f.word, f.form, root, n, n_near, form_n from f join (select word, arg_max(at, depth) as root from g group by word) using (word)
+select f.word, f.form, root, n, n_near, form_n from f join (select word, arg_max(spot, depth) as root from g group by word) using (word)
 """
 
 

@@ -23,7 +23,7 @@ SPOILT = 199
 TIMES = 5
 
 QMIN, QMAX = 2, 6
-#: Code points up to which grams are substrings.
+#: Code points up to which words are cut and compared as short ones.
 SUBSTRINGS = 64
 #: Words that a gram may stand in before it is extended.
 PRUNE = 32
@@ -57,14 +57,16 @@ def words(docs: DataFrame, text: str = "text", shortest: int = SHORTEST, often:
 
 def _grams(word: Column) -> Column:
     """All (at, gram) of a word, QMIN to QMAX long. Cut out of the word itself while that's short, else out of its letters: substring counts from the start."""
-    n = F.length(word)
 
-    def cut(letters: Column, gram) -> Column:
-        lengths = lambda at: F.sequence(F.lit(QMIN), F.least(F.lit(QMAX), n - at))
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - QMIN), lambda at: F.transform(lengths(at), lambda q: F.struct(at.alias("at"), gram(letters, at, q).alias("gram")))))
+    def cut(of: Column, gram) -> Column:
+        def each(s):
+            lengths = lambda at: F.sequence(F.lit(QMIN), F.least(F.lit(QMAX), s["n"] - at))
+            return F.flatten(F.transform(F.sequence(F.lit(0), s["n"] - QMIN), lambda at: F.transform(lengths(at), lambda q: F.struct(at.alias("at"), gram(s["of"], at, q).alias("gram")))))
+
+        return F.transform(F.array(F.struct(of.alias("of"), F.length(word).alias("n"))), each)[0]  # what a lambda names is computed once
 
     short = cut(word, lambda w, at, q: F.substring(w, at + 1, q))
-    return F.when(n <= SUBSTRINGS, short).otherwise(cut(F.split(word, ""), lambda x, at, q: F.array_join(F.slice(x, at + 1, q), "")))
+    return F.when(F.length(word) <= SUBSTRINGS, short).otherwise(cut(F.split(word, ""), lambda x, at, q: F.aggregate(F.sequence(F.lit(0), q - 1), F.lit(""), lambda g, i: F.concat(g, F.get(x, at + i)))))
 
 
 def frequent_grams(found: DataFrame, prune: int = PRUNE, most: int = FREQUENT) -> dict[str, int]:
@@ -100,6 +102,16 @@ def _key(gram, at, length) -> Column:
     return F.xxhash64(gram, at.cast("int"), length.cast("int"))
 
 
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether a and the other b, as long or one longer, are one edit apart. Beyond SUBSTRINGS their common start is found by bisection: the banded distance isn't linear."""
+    powers = F.array(*[F.lit(1 << k) for k in range(27, -1, -1)])
+    same = lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)
+    start = F.aggregate(powers, F.lit(0), lambda n, p: F.when((n + p <= F.length(a)) & same(n + p), n + p).otherwise(n))
+    rest = lambda w, at: F.substring(w, at, F.length(w))
+    by_start = F.when(F.length(a) == F.length(b), rest(a, start + 2) == rest(b, start + 2)).otherwise(rest(a, start + 1) == rest(b, start + 2))
+    return F.when(F.length(b) <= SUBSTRINGS, F.levenshtein(a, b, 1) == 1).otherwise(by_start)
+
+
 def near_pairs(found: DataFrame, prune: int = PRUNE, most: int = FREQUENT) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words (word, n; 2 * QMIN code points at least, each word once) at edit distance one, once.
 
@@ -118,11 +130,19 @@ def near_pairs(found: DataFrame, prune: int = PRUNE, most: int = FREQUENT) -> Da
     n = F.length("a")
     keys = F.array(_key(F.col("gram"), F.col("at"), n), _key(F.col("gram"), F.col("at"), n + 1), _key(F.col("gram"), F.col("at") + 1, n + 1))
     probes = each.select("a", "a_n", F.explode(keys).alias("key"))
-    listed = found.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(_grams(F.col("word"))).alias("g"))
-    lists = listed.select("b", "b_n", _key(F.col("g.gram"), F.col("g.at"), F.length("b")).alias("key"))
-    longer = F.length("b") > F.length("a")
-    met = probes.join(lists, "key").where((longer | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
-    return met.select("a", "a_n", "b", "b_n").distinct()
+    listed = found.select(F.col("word").alias("b"), F.col("n").alias("b_n"))
+    g = F.explode(_grams(F.col("b"))).alias("g")
+    key = _key(F.col("g.gram"), F.col("g.at"), F.col("n")).alias("key")
+    ordered = (F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))
+    short = F.length("b") <= SUBSTRINGS
+    lists = listed.where(short).select("b", "b_n", F.length("b").alias("n"), g).select("b", "b_n", key)
+    met = probes.where(n <= SUBSTRINGS).join(lists, "key").where(ordered & _one_edit(F.col("a"), F.col("b"))).select("a", "a_n", "b", "b_n")
+    # very long words aren't carried along with each of their grams
+    lists = listed.where(~short).select(F.xxhash64("b").alias("id_b"), F.length("b").alias("n"), g).select("id_b", key)
+    some = probes.where(n >= SUBSTRINGS).select(F.xxhash64("a").alias("id_a"), "key").join(lists, "key").select("id_a", "id_b").distinct()
+    asking = found.where(F.length("word") >= SUBSTRINGS).select(F.xxhash64("word").alias("id_a"), F.col("word").alias("a"), F.col("n").alias("a_n"))
+    far = some.join(asking, "id_a").join(listed.where(~short).withColumn("id_b", F.xxhash64("b")), "id_b").where(ordered & _one_edit(F.col("a"), F.col("b")))
+    return met.unionByName(far.select("a", "a_n", "b", "b_n")).distinct()
 
 
 def variants(docs: DataFrame, text: str = "text") -> DataFrame:
