@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import word_key
-from .folds import fold
+from .folds import choose_apart
 from .intervals import nearest
 
 STEM = 5
@@ -68,25 +68,13 @@ def snap_to_beat(points: DataFrame, beats: DataFrame, key: list[str]) -> DataFra
 def space_accents(candidates: DataFrame, per_minute: int, gap_us: int) -> DataFrame:
     """The accents an edit keeps: by rank, confidence and time, within the budget of its length and `gap_us` apart.
 
-    candidates: (source_id, rank, sure, at_us, duration_us). Spacing depends on what was kept before: a fold over one edit's candidates.
+    candidates: (source_id, rank, sure, at_us, duration_us). Only accents nearer than that to others go through the ordered rule; the budget takes the first of what it leaves.
     """
-
-    def keep(rows):
-        from bisect import bisect_left, insort
-
-        rows = list(rows)  # candidates of one edit
-        budget = max(1, round(per_minute * max(rows[0].duration_us, 1_000_000) / 60_000_000))
-        kept: list[int] = []
-        for r in rows:
-            if len(kept) == budget:
-                break
-            at = bisect_left(kept, r.at_us)
-            if all(abs(r.at_us - k) >= gap_us for k in kept[max(0, at - 1) : at + 1]):
-                insort(kept, r.at_us)
-                yield r.source_id, r.rank, r.at_us
-
-    ordered = candidates.select("source_id", "rank", (~F.col("sure")).cast("int").alias("unsure"), "at_us", "duration_us")
-    return fold(ordered, ["source_id"], ["rank", "unsure", "at_us"], keep, "source_id long, rank int, at_us long")
+    spans = candidates.select("source_id", "rank", (~F.col("sure")).cast("int").alias("unsure"), "at_us", (F.col("at_us") + gap_us).alias("end_us"), "duration_us")
+    apart = choose_apart(spans, ["source_id"], ["rank", "unsure", "at_us"], "at_us", "end_us")
+    budget = F.greatest(F.lit(1), F.bround(F.lit(per_minute) * F.greatest(F.lit(1_000_000).cast("long"), F.col("duration_us")) / 60_000_000.0))
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy("rank", "unsure", "at_us"))
+    return apart.withColumn("nth", nth).where(F.col("nth") <= budget).select("source_id", "rank", "at_us")
 
 
 def icons(words: DataFrame, dictionary: DataFrame) -> DataFrame:

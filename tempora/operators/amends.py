@@ -39,7 +39,7 @@ def snap_to_word(points: DataFrame, words: DataFrame, prefer: str = "nearest") -
     bins = rows.groupBy("source_id", "bin").agg(F.min("edge").alias("first"), F.max("edge").alias("last"))
     bins = bins.select(
         "source_id", "bin", F.last("last", ignorenulls=True).over(over_bins.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-        F.first("first", ignorenulls=True).over(over_bins.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+        F.last("first", ignorenulls=True).over(Window.partitionBy("source_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"),
     )
     inside = Window.partitionBy("source_id", "bin")
     met = rows.withColumns(

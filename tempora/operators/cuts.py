@@ -6,13 +6,11 @@ that qualify (`applyInPandas`, ordered inside).
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise
-from .folds import fold
+from .folds import choose_apart, fold
 from .intervals import complement, merge, overlap_join, range_join, subtract
 from .speech import by_word, find_pauses
 
@@ -108,23 +106,14 @@ def false_starts(words: DataFrame) -> DataFrame:
 def find_cut_candidates(kinds: list[DataFrame]) -> DataFrame:
     """Candidates of all kinds, the earlier kinds first: one that overlaps a kept one goes. (source_id, cut_id, kind, confidence, start_us, end_us).
 
-    The sequential rule per recording, over candidates only: kinds may overlap inside themselves.
+    Kinds may overlap inside themselves. Only candidates that overlap others go through the ordered rule.
     """
     every = None
     for n, df in enumerate(kinds):
         part = df.withColumn("priority", F.lit(n))
         every = part if every is None else every.unionByName(part)
 
-    def keep(rows):
-        kept: list[tuple[int, int]] = []
-        for r in rows:
-            at = bisect_left(kept, (r.start_us, r.start_us))
-            # kept spans are disjoint: only the neighbours can overlap
-            if all(r.end_us <= a or r.start_us >= b for a, b in kept[max(0, at - 1) : at + 2]):
-                insort(kept, (r.start_us, r.end_us))
-                yield r.source_id, r.kind, r.confidence, r.start_us, r.end_us
-
-    kept = fold(every, ["source_id"], ["priority", "start_us", "end_us", "confidence"], keep, _CANDIDATE)
+    kept = choose_apart(every, ["source_id"], ["priority", "start_us", "end_us", "confidence"]).drop("priority")
     order = Window.partitionBy("source_id").orderBy("start_us", "end_us", "kind")
     return kept.select("source_id", F.format_string("cut-%03d", F.row_number().over(order)).alias("cut_id"), "kind", "confidence", "start_us", "end_us")
 

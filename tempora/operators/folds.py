@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import attrgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 CHUNK = 20_000
 
@@ -33,3 +35,38 @@ def fold(df: DataFrame, key: list[str], order: list[str], step: Callable[[Iterat
             yield pd.DataFrame(out, columns=names)
 
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
+def choose_apart(df: DataFrame, key: list[str], order: list[str], start: str = "start_us", end: str = "end_us") -> DataFrame:
+    """The rows of df that stay if, in `order` (which tells a key's rows apart), each goes that overlaps one that stayed: spans (start, end) that share more than a point.
+
+    Spans that overlap, directly or through others, form an island; what stays of an island depends on nothing else. Spans alone on theirs stay at once, only islands of two or more
+    go through the ordered rule. An empty span overlaps what it lies inside of.
+    """
+    by_time = Window.partitionBy(*key).orderBy(start, end)
+    ahead = F.max(end).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    placed = df.withColumn("_opens", (ahead.isNull() | (F.col(start) >= ahead)).cast("long"))
+    island = F.sum("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("_island", island).withColumn("_size", F.count("*").over(Window.partitionBy(*key, "_island")))
+    alone = placed.where("_size = 1").select(*df.columns)
+    crowded = placed.where("_size > 1").withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_island").orderBy(*order)).cast("long"))
+
+    def keep(rows):
+        kept: list[tuple[int, int]] = []
+        for r in rows:
+            at = bisect_left(kept, (r.lo, r.hi))
+            # kept spans are disjoint: only the neighbours can overlap
+            if all(r.hi <= a or r.lo >= b for a, b in kept[max(0, at - 1) : at + 2]):
+                insort(kept, (r.lo, r.hi))
+                yield *(getattr(r, k) for k in names), r.island, r.nth
+
+    names = [f"k{i}" for i in range(len(key))]
+    kinds = dict(df.dtypes)
+    slim = crowded.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], F.col("_island").alias("island"), F.col("_nth").alias("nth"), F.col(start).alias("lo"), F.col(end).alias("hi"))
+    schema = ", ".join([*[f"{n} {kinds[k]}" for k, n in zip(key, names, strict=True)], "island long", "nth long"])
+    kept = fold(slim, [*names, "island"], ["nth"], keep, schema)
+    on = [F.col(k) == F.col(n) for k, n in zip(key, names, strict=True)] + [F.col("_island") == F.col("island"), F.col("_nth") == F.col("nth")]
+    condition = on[0]
+    for c in on[1:]:
+        condition = condition & c
+    return alone.unionByName(crowded.join(kept, condition, "left_semi").select(*df.columns))

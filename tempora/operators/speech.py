@@ -149,7 +149,8 @@ def find_loops(words: DataFrame) -> DataFrame:
     keyed = words.withColumns({"key": word_key(F.col("word")), "pos": F.row_number().over(order)})
     for s in range(1, LOOP_PHRASE + 1):
         keyed = keyed.withColumn(f"_same{s}", F.coalesce(F.lead("key", s).over(order) == F.col("key"), F.lit(False)))
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
+    # from the last word back: a frame that only grows, one step a word
+    ahead = Window.partitionBy("source_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     may = F.lit(None).cast("struct<size:int,repeats:int>")
     for s in reversed(range(1, LOOP_PHRASE + 1)):
         # the last words of a recording equal nothing behind them, so every island ends

@@ -78,7 +78,9 @@ def sequences(words: DataFrame, recordings: DataFrame, markers: DataFrame, skipp
     order = Window.partitionBy("source_id").orderBy("idx")
     s = skipped.select("key").distinct().withColumn("skip", F.lit(True))
     w = _numbered(words).join(s, "key", "left")
-    stage = F.first(F.when(F.col("skip").isNull(), F.struct("word", "start_us")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # from the last word back: a frame that only grows, one step a word
+    ahead = Window.partitionBy("source_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    stage = F.last(F.when(F.col("skip").isNull(), F.struct("word", "start_us")), ignorenulls=True).over(ahead)
     marks = w.withColumn("stage", stage).join(markers.groupBy("key").agg(F.min("kind").alias("kind")), "key")
     run = F.sum((F.col("kind") == "first").cast("long")).over(order)
     by_run = Window.partitionBy("source_id", "run").orderBy("pos")

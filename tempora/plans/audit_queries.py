@@ -11,7 +11,7 @@ from ..operators import accents as A
 from ..operators import audits as Q
 from ..operators import project as J
 from ..operators import speech as P
-from ..registry import query
+from ..registry import ORACLES, query
 from .speech_queries import KEY, SENTENCES, W, WR
 from .timeline_queries import _cues
 
@@ -75,7 +75,14 @@ def snap_to_beat(spark, sf_dir):
     return A.snap_to_beat(p, w.select("source_id", (F.col("end_us") + 60_000).alias("beat_us")), ["source_id", "idx"])
 
 
-@query()
+@query("with recursive sn as (" + ORACLES["sentences"] + "), rc as (" + WR + """ select * from recordings), every as (
+  select source_id, (n_words % 5)::integer as rank, (n_words <= 6)::integer as unsure, start_us, start_us + 3500000 as end_us, duration_us from sn join rc using (source_id)
+), c as (select *, row_number() over (partition by source_id order by rank, unsure, start_us) as i from every), k as (
+  select source_id, i, [{'a': start_us, 'b': end_us}] as kept, true as stays from c where i = 1
+  union all select source_id, i, case when ok then list_append(kept, {'a': a, 'b': b}) else kept end, ok from (
+    select c.source_id, c.i, c.start_us as a, c.end_us as b, kept, len(list_filter(kept, lambda x: c.end_us > x.a and c.start_us < x.b)) = 0 as ok from k join c on c.source_id = k.source_id and c.i = k.i + 1)
+) select source_id, rank, start_us as at_us from (select *, row_number() over (partition by source_id order by rank, unsure, start_us) as nth from c join (select source_id, i, stays from k) using (source_id, i) where stays)
+  where nth <= greatest(1, round_even(10 * greatest(1000000, duration_us) / 60000000.0::double, 0))""")
 def space_accents(spark, sf_dir):
     s = _sentences(spark, sf_dir)
     d = recordings(words(spark, sf_dir)).select("source_id", "duration_us")

@@ -8,7 +8,7 @@ from ..fixtures import RANGES_CTE, RECORDINGS_CTE, WORDS_CTE, ranges, recordings
 from ..functions.scalars import normalise
 from ..operators import cuts as C
 from ..operators import intervals as I
-from ..registry import query
+from ..registry import ORACLES, query
 from .speech_queries import NORM, PAUSES, W, WR
 
 # Fixture lexicons: the most frequent words stand for hesitations, as the test texts are invented.
@@ -85,7 +85,19 @@ def _candidates(w):
     return C.find_cut_candidates([C.false_starts(w), C.stutters(w, *_lexicons(w)), C.fillers(w, _lexicons(w)[0]), C.pause_cuts(w, recordings(w))])
 
 
-@query()
+CHOSEN = """), c as (select *, row_number() over (partition by source_id order by priority, start_us, end_us, confidence) as i from every), k as (
+  select source_id, i, [{'a': start_us, 'b': end_us}] as kept, true as stays from c where i = 1
+  union all select source_id, i, case when ok then list_append(kept, {'a': a, 'b': b}) else kept end, ok from (
+    select c.source_id, c.i, c.start_us as a, c.end_us as b, kept, len(list_filter(kept, lambda x: c.end_us > x.a and c.start_us < x.b)) = 0 as ok from k join c on c.source_id = k.source_id and c.i = k.i + 1)
+)"""
+
+
+def _all_kinds() -> str:
+    kinds = ("false_starts", "stutters", "fillers", "pause_cuts")
+    return "with recursive every as (" + " union all ".join(f"select {n} as priority, source_id, kind, confidence, start_us, end_us from ({ORACLES[k].replace('substr(word, 1, 1)', 'word')})" for n, k in enumerate(kinds)) + CHOSEN
+
+
+@query(_all_kinds() + """ select c.source_id, 'cut-' || printf('%03d', row_number() over (partition by c.source_id order by start_us, end_us, kind)) as cut_id, kind, confidence, start_us, end_us from c join k using (source_id, i) where stays""")
 def find_cut_candidates(spark, sf_dir):
     return _candidates(words(spark, sf_dir))
 

@@ -5,51 +5,32 @@ A query writes its rows into the shared folder and returns them as a table.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import table, words
 from ..registry import query
+from ..sources.shared import table_path
 from ..streaming import streams as S
 from .speech_queries import PHRASES, W
 
 ORIGIN = "2024-01-01 00:00:00"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one spark.checkpoint.dir names, gone when the application ends; where that is unset in local mode, one of our own. On a cluster it must be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tempora-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.mkdirs(path):
-        files.deleteOnExit(path)
-    return folder
-
-
 def replay(df: DataFrame, by: str) -> DataFrame:
     """df as a stream: written in order of event time, then read file by file. Where `by` is a time, one row of nulls a year after the last closes the stream:
     what is open before it comes out, what it opens stays open."""
     if dict(df.dtypes)[by] == "timestamp":
         late = df.agg((F.max(by) + F.expr("interval 365 days")).alias(by))
         df = df.unionByName(late.where(F.col(by).isNotNull()), allowMissingColumns=True)
-    path = f"{shared_dir(df.sparkSession)}/in"
+    path = f"{table_path(df.sparkSession, "streams")}/in"
     df.repartitionByRange(4, by).sortWithinPartitions(by).write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def drain(stream: DataFrame) -> DataFrame:
     """Everything the stream gives once its input is read, as a table."""
-    base = shared_dir(stream.sparkSession)
+    base = table_path(stream.sparkSession, "streams")
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
