@@ -58,14 +58,14 @@ def choose_apart(df: DataFrame, key: list[str], order: list[str], start: str = "
             # kept spans are disjoint: only the neighbours can overlap
             if all(r.hi <= a or r.lo >= b for a, b in kept[max(0, at - 1) : at + 2]):
                 insort(kept, (r.lo, r.hi))
-                yield *(getattr(r, k) for k in names), r.island, r.nth
+                yield *(getattr(r, k) for k in names), r.fold_island, r.fold_nth
 
-    names = [f"k{i}" for i in range(len(key))]
+    names = [f"fold_k{i}" for i in range(len(key))]
     kinds = dict(df.dtypes)
-    slim = crowded.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], F.col("_island").alias("island"), F.col("_nth").alias("nth"), F.col(start).alias("lo"), F.col(end).alias("hi"))
-    schema = ", ".join([*[f"{n} {kinds[k]}" for k, n in zip(key, names, strict=True)], "island long", "nth long"])
-    kept = fold(slim, [*names, "island"], ["nth"], keep, schema)
-    on = [F.col(k) == F.col(n) for k, n in zip(key, names, strict=True)] + [F.col("_island") == F.col("island"), F.col("_nth") == F.col("nth")]
+    slim = crowded.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], F.col("_island").alias("fold_island"), F.col("_nth").alias("fold_nth"), F.col(start).alias("lo"), F.col(end).alias("hi"))
+    schema = ", ".join([*[f"{n} {kinds[k]}" for k, n in zip(key, names, strict=True)], "fold_island long", "fold_nth long"])
+    kept = fold(slim, [*names, "fold_island"], ["fold_nth"], keep, schema)
+    on = [F.col(k) == F.col(n) for k, n in zip(key, names, strict=True)] + [F.col("_island") == F.col("fold_island"), F.col("_nth") == F.col("fold_nth")]
     condition = on[0]
     for c in on[1:]:
         condition = condition & c
