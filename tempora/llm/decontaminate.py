@@ -26,6 +26,8 @@ from .shared import BROADCAST_ROWS, materialise, sized
 WINDOW = 13
 #: Least share of words that are no placeholders in a template window.
 LITERALS = 0.5
+#: An item of fewer tokens is evidence only where it makes up a whole sentence or line: "yes" stands in many texts that never saw the question.
+EVIDENT = 8
 #: Texts of a batch are handled this many characters at a time.
 CHUNK_CHARS = 4_000_000
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£°]|[.!?\n]")
@@ -81,7 +83,8 @@ def rolling(ids: np.ndarray, widths: list[int]):
 
 
 def _tokens(texts, cache: Tokens):
-    """(owner, place, template ids, ids without case, roles, codes) of the tokens of texts; roles index MARKS, 0 for words."""
+    """(owner, place, template ids, ids without case, roles, codes, opens, closes) of the tokens of texts; roles index MARKS, 0 for words; a token opens or closes a
+    sentence or line, or doesn't."""
     if len(cache) > 500_000:
         cache.clear()
     codes, counts = array("I"), []
@@ -98,19 +101,23 @@ def _tokens(texts, cache: Tokens):
     unit = (flags & UNIT > 0) & ((before & NUMBER > 0) | (flags & SIGN > 0))
     name = ~unit & (flags & CAPITAL > 0) & (before & STOP == 0)
     keep = flags & STOP == 0
+    after = np.concatenate((flags[1:], np.full(min(1, len(flags)), STOP, np.uint8)))
+    after[:-1][owner[1:] != owner[:-1]] = STOP
+    opens, closes = (before & STOP > 0)[keep], (after & STOP > 0)[keep]
     role = np.select([number, unit, name], [1, 2, 3], 0)[keep]
     code, owner = code[keep], owner[keep]
     ids = np.where(role > 0, np.array([0, _NUMBER, _UNIT, _NAME], np.uint64)[role], np.array(cache.words, np.uint64)[code])
     place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(counts)))[owner]
-    return owner, place, ids, np.array(cache.plain, np.uint64)[code], role, code
+    return owner, place, ids, np.array(cache.plain, np.uint64)[code], role, code, opens, closes
 
 
 def _windows(keys, texts, widths, wanted, cache: Tokens):
-    """Rows (key, pos, hash, plain, slots) of all windows of the given widths: templates with enough words, and tokens as they are without case.
+    """Rows (key, pos, hash, plain, slots, alone) of all windows of the given widths: templates with enough words, and tokens as they are without case; alone: from the opening of
+    a sentence or line to the closing of one.
 
     wanted: sorted hashes to keep, None for all. Plain windows have no slots.
     """
-    owner, place, ids, bare, role, code = _tokens(texts, cache)
+    owner, place, ids, bare, role, code, opens, closes = _tokens(texts, cache)
     slots_before = np.concatenate(([0], np.cumsum(role > 0)))
     for plain, stream in ((False, ids), (True, bare)):
         for w, h in rolling(stream, widths):
@@ -126,7 +133,7 @@ def _windows(keys, texts, widths, wanted, cache: Tokens):
                 at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
             for i in at:
                 slots = [] if plain else [MARKS[role[j]] + cache.values[code[j]] for j in range(i, i + w) if role[j]]
-                yield keys[owner[i]], int(place[i]), int(h[i]), plain, slots
+                yield keys[owner[i]], int(place[i]), int(h[i]), plain, slots, bool(opens[i] and closes[i + w - 1])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -140,7 +147,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 n = len(_tokens([text], cache)[0])
                 w = min(n, window)
                 if w:
-                    rows += [(h, key, pos, w, plain, slots) for key, pos, h, plain, slots in _windows([key], [text], [w], None, cache)]
+                    rows += [(h, key, pos, w, plain, slots) for key, pos, h, plain, slots, _ in _windows([key], [text], [w], None, cache)]
             if rows:
                 yield pd.DataFrame(rows, columns=["h", "item_id", "item_pos", "width", "plain", "item_slots"])
 
@@ -183,9 +190,10 @@ def longest(windows: list[set[tuple[str, str]]]) -> tuple[int, int, bool]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, windows, slots, exact): a row per document and item that it repeats in one consistent stretch or more.
+    """(doc_id, item_id, windows, slots, exact, evident): a row per document and item that it repeats in one consistent stretch or more.
 
-    windows: windows of the longest consistent stretch at one offset; slots: different slot values in it; exact: whether all of them are equal. Null and
+    windows: windows of the longest consistent stretch at one offset; slots: different slot values in it; exact: whether all of them are equal; evident: whether the item has EVIDENT tokens
+    or more, or makes up a whole sentence or line (or several) of the document. Null and
     empty texts and items without tokens repeat nothing; an item shorter than a window is found where it stands whole. Rows of one doc_id (null too) count as one document, repeated ones
     once. Texts are read whole. Without documents or items the result is empty.
     """
@@ -208,13 +216,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                 if size >= CHUNK_CHARS or to == len(pdf) - 1:
                     rows = list(_windows(range(from_, to + 1), texts[from_ : to + 1], widths, wanted.value, cache))
                     if rows:
-                        got = pd.DataFrame(rows, columns=["n", "doc_pos", "h", "plain", "doc_slots"])
+                        got = pd.DataFrame(rows, columns=["n", "doc_pos", "h", "plain", "doc_slots", "alone"])
                         n = got["n"].to_numpy()
                         row = {k: xxhash.xxh3_64_intdigest(texts[k].encode("utf-8", "surrogatepass")) for k in np.unique(n)}
-                        yield got[["doc_pos", "h", "doc_slots"]].assign(doc_id=keys[n], row=np.array([row[k] for k in n], np.uint64).view(np.int64))
+                        yield got[["doc_pos", "h", "doc_slots", "alone"]].assign(doc_id=keys[n], row=np.array([row[k] for k in n], np.uint64).view(np.int64))
                     size, from_ = 0, to + 1
 
-    seen = docs.select("doc_id", "text").mapInPandas(run, "doc_pos int, h long, doc_slots array<string>, doc_id long, row long")
+    seen = docs.select("doc_id", "text").mapInPandas(run, "doc_pos int, h long, doc_slots array<string>, alone boolean, doc_id long, row long")
     both = seen.join(bench, "h").where(F.size("doc_slots") == F.size("item_slots"))
 
     @F.pandas_udf("windows long, slots long, exact boolean")
@@ -230,22 +238,22 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     # a group holds the windows of one item at most, twice each
     stretches = (
         both.groupBy("doc_id", "row", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("offset"))
-        .agg(F.collect_set(F.struct("item_pos", "item_slots", "doc_slots")).alias("w"))
-        .select("doc_id", "item_id", judge("w.item_pos", "w.item_slots", "w.doc_slots").alias("best"))
-        .select("doc_id", "item_id", "best.*")
+        .agg(F.collect_set(F.struct("item_pos", "item_slots", "doc_slots")).alias("w"), F.bool_or((F.col("width") >= EVIDENT) | F.col("alone")).alias("evident"))
+        .select("doc_id", "item_id", "evident", judge("w.item_pos", "w.item_slots", "w.doc_slots").alias("best"))
+        .select("doc_id", "item_id", "evident", "best.*")
         .where("windows > 0")
     )
     return (
         stretches.groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("exact", "windows", "slots")).alias("best"))
-        .select("doc_id", "item_id", "best.windows", "best.slots", "best.exact")
+        .agg(F.max(F.struct("exact", "windows", "slots")).alias("best"), F.bool_or("evident").alias("evident"))
+        .select("doc_id", "item_id", "best.windows", "best.slots", "best.exact", "evident")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without those that repeat an item; all columns stay, whatever their names.
+    """docs without those that evidently repeat an item; all columns stay, whatever their names.
 
     Rows with a null or empty text stay; all rows of a doc_id (null too) go if one of them repeats an item. Empty tables take nothing away.
     """
-    bad = sized(find(docs, benchmark, window).select(F.col("doc_id").alias("__llm_bad")).distinct(), "decon-found")
+    bad = sized(find(docs, benchmark, window).where("evident").select(F.col("doc_id").alias("__llm_bad")).distinct(), "decon-found")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__llm_bad"]), "left_anti")

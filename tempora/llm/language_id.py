@@ -12,10 +12,10 @@ training sample, not the number of possible contexts. Each different string of f
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,8 @@ SAMPLE_PER_LANG = 600
 SAMPLE_ALL = 60_000
 #: Bytes of a batch that are coded at a time.
 CHUNK = 1 << 21
-LETTER = re.compile(r"[^\W\d_]")
+#: Of the letter categories: marks and numbers like ² or Ⅷ aren't letters.
+LETTER = regex.compile(r"\p{L}")
 SPACE = 32
 
 _BLANKS = bytes(SPACE if b in b"\t\n\x0b\x0c\r" else b for b in range(256))

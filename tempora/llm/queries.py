@@ -103,7 +103,7 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as c from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, p.vec_id, list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2]))::bigint as score
+  select q.vec_id as query_id, p.vec_id, coalesce(list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2])), 0)::bigint as score
   from v q join v p on q.vec_id % 100 = 0 and q.vec_id <> p.vec_id
 )
 select query_id, rank, vec_id, score from (

@@ -2,46 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset in local mode, one of our own, set once. On a cluster it must be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tempora-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(base)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
 def table_path(spark: SparkSession, tag: str) -> str:
     """A new path in this application's folder, which goes when the application ends: results may be read until then."""
-    root = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.mkdirs(path):
-        files.deleteOnExit(path)
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
+    return shared.table_path(spark, tag, "llm")
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = table_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared.written(df, tag, "llm")
 
 
 def parts(spark: SparkSession) -> int:

@@ -31,11 +31,11 @@ _FOUND = "query_id long, vec_id long, score long"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v, dim, norm): components floor(scale * x). Null or empty vectors, and those with null or non-finite components or a null id, are left out."""
+    """(vec_id, v, dim, norm): components floor(scale * x). Null vectors, and those with null or non-finite components or a null id, are left out."""
     x = F.col(vec_col)
     fit = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (
-        df.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0))
+        df.where(F.col(id_col).isNotNull() & x.isNotNull())
         .where(fit)
         .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("v"))
         .withColumn("dim", F.size("v"))
@@ -124,7 +124,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows of df where the Column `is_query` holds, the k highest integer inner products with other rows.
 
-    Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of another dimension aren't candidates. Rows with the query's own id
+    Vectors that are null or hold null or non-finite components take no part; empty ones meet each other, with product 0. Vectors of another dimension aren't candidates. Rows with the query's own id
     aren't; a repeated candidate id counts once with its best score, a repeated query id gives the best over its rows. Fewer than k candidates: all of them. An empty table
     gives an empty result. Products outside the range of a long are held to its ends.
     """

@@ -177,3 +177,12 @@ def test_exact_copies_are_found_in_any_case(spark, make_docs):
     got = find(spark, make_docs, rows, items)
     assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)} and all(r["exact"] for r in got.values())
     assert {got[d, 1]["windows"] for d in (1, 2, 3)} == {17}
+
+
+def test_short_items_take_only_documents_that_hold_them_as_a_line(spark, make_docs):
+    rows = [(1, "oh yes, he said"), (2, "is it?\nYes\nfine then"), (3, "so what is 17 plus 5 then"), (4, "Well. What is 17 plus 5? I know"), (5, "no"), (6, "seven green bottles stood upon the old garden walls, he said"), (None, None)]
+    items = [(1, "Yes"), (2, "What is 17 plus 5?"), (3, "seven green bottles stood upon the old garden walls")]
+    got = find(spark, make_docs, rows, items)
+    assert {k: r["evident"] for k, r in got.items()} == {(1, 1): False, (2, 1): True, (3, 2): False, (4, 2): True, (6, 3): True}
+    bench = spark.createDataFrame([(i, t, 0, 0) for i, t in items], ITEMS)
+    assert {r.doc_id for r in D.drop_contaminated(make_docs(rows), bench).collect()} == {1, 3, 5, None}

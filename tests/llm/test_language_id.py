@@ -79,3 +79,7 @@ def test_awkward_rows(awkward, nothing):
     assert {got[d]["lang_pred"] for d in (3, 4, 5)} == {"und"} and got[1]["lang_pred"] in ("en", "de") and got[6]["lang_pred"] in ("en", "de")
     assert L.identify(nothing).count() == 0
     assert {r["lang_pred"] for r in L.identify(awkward, L.train(nothing)).collect()} == {"und"}
+
+
+def test_marks_and_numbers_are_no_letters():
+    assert not any(L.LETTER.search(t) for t in ("²", "½", "Ⅷ", "12 _ -", "́")) and all(L.LETTER.search(t) for t in ("a", "ß", "漢", "ª"))
