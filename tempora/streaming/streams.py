@@ -18,22 +18,45 @@ PHRASE = "source_id long, phrase_idx long, speaker string, start_us long, end_us
 PAUSE = "source_id long, start_us long, end_us long"
 
 
-def _in_order(rows: list[tuple], batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    """Buffered rows and those of this trigger, by idx."""
-    for pdf in batches:
-        rows.extend(tuple(x) for x in pdf[columns].itertuples(index=False))
-    return sorted(rows)
+#: A recording's open phrase is closed once the watermark is so far past its last word; what it takes to go on (its next index, number and last end) is kept for longer.
+SILENT_MS = 60_000
+KEPT_MS = 24 * 3_600_000
+
+
+def _arrived(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """Rows of this trigger that have an index: columns, then the event time in microseconds."""
+    return [(*x[:-1], x[-1].value // 1000) for pdf in batches for x in pdf.loc[pdf["idx"].notna(), [*columns, "ts"]].itertuples(index=False)]
+
+
+def _in_turn(rows: list[tuple], expect: int, watermark_us: int) -> tuple[list[tuple], list[tuple], int]:
+    """(rows whose turn it is, rows to hold, next index). A row waits for those before it until the watermark is past its own time: what hasn't come by then is lost."""
+    taken, held = [], []
+    for r in sorted(rows):
+        if r[0] < expect:
+            continue
+        if held or r[0] > expect and r[-1] > watermark_us:
+            held.append(r)
+        else:
+            taken.append(r)
+            expect = r[0] + 1
+    return taken, held, expect
+
+
+def _run_out(state, latest_us: int, closed: bool) -> None:
+    """Sets when a recording is looked at again: when it has been silent, then when it is forgotten. Its own latest word may be ahead of the watermark."""
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), latest_us // 1000, 0) + (KEPT_MS if closed else SILENT_MS))
 
 
 def stream_phrases(words: DataFrame, delay: str = "10 seconds", silence_us: int = 500_000, max_words: int = 28) -> DataFrame:
     """Phrases as `group_phrases` makes them: closed by a silence, a change of speaker or the word limit; the open one is closed once a recording is silent past the watermark.
 
-    State per recording: the words of the open phrase and those that came ahead of their turn. Words are taken in order of idx, without gaps.
+    State per recording: the words of the open phrase and those that came ahead of their turn. Words are taken in order of idx; one that hasn't come when the watermark passes the words behind it is lost,
+    and the recording goes on without it. After a silence, however long within a day, phrases are numbered on.
     """
     columns = ["idx", "word", "speaker", "start_us", "end_us"]
 
     def run(key, batches, state):
-        expect, number, buffer, current = (state.get if state.exists else (0, 0, [], []))
+        expect, number, latest, buffer, current = state.get if state.exists else (0, 0, 0, [], [])
         buffer, current, out = [tuple(x) for x in buffer], [tuple(x) for x in current], []
 
         def close():
@@ -42,58 +65,55 @@ def stream_phrases(words: DataFrame, delay: str = "10 seconds", silence_us: int
                 out.append((key[0], number, current[0][2], current[0][3], current[-1][4], len(current), " ".join(w[1] for w in current)))
                 number, current = number + 1, []
 
-        def take(w):
+        idle = state.hasTimedOut and not buffer and not current
+        rows = buffer + ([] if state.hasTimedOut else _arrived(batches, columns))
+        taken, held, expect = _in_turn(rows, expect, state.getCurrentWatermarkMs() * 1000)
+        for w in taken:
             if current and (w[3] - current[-1][4] >= silence_us or w[2] != current[0][2]):
                 close()
             current.append(w)
             if len(current) >= max_words:
                 close()
-
+        latest = max([latest, *(w[-1] for w in rows)])
         if state.hasTimedOut:
-            for w in sorted(buffer):
-                take(w)
             close()
+        if idle:
             state.remove()
         else:
-            held = []
-            for w in _in_order(buffer, batches, columns):
-                if w[0] == expect:
-                    take(w)
-                    expect += 1
-                elif w[0] > expect:
-                    held.append(w)
-            state.update((expect, number, [list(w) for w in held], [list(w) for w in current]))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 60_000)
+            state.update((expect, number, latest, [list(w) for w in held], [list(w) for w in current]))
+            _run_out(state, latest, not held and not current)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PHRASE.split(", ")])
 
-    item = "array<struct<idx:long,word:string,speaker:string,start_us:long,end_us:long>>"
+    item = "array<struct<idx:long,word:string,speaker:string,start_us:long,end_us:long,at:long>>"
     return words.withWatermark("ts", delay).groupBy("source_id").applyInPandasWithState(
-        run, PHRASE, f"expect long, number long, buffer {item}, current {item}", "append", GroupStateTimeout.EventTimeTimeout
+        run, PHRASE, f"expect long, number long, latest long, buffer {item}, current {item}", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def stream_pauses(words: DataFrame, delay: str = "10 seconds", minimum_us: int = 500_000) -> DataFrame:
-    """Gaps of `minimum_us` or more before a word, as `find_pauses` finds inside a recording. State: the last end, and words ahead of their turn."""
+    """Gaps of `minimum_us` or more before a word, as `find_pauses` finds inside a recording. State: the last end, and words ahead of their turn; lost words and long silences as in
+    `stream_phrases`."""
 
     def run(key, batches, state):
-        expect, last, buffer = (state.get if state.exists else (0, -1, []))
-        out, held = [], []
-        if state.hasTimedOut:
+        expect, last, latest, buffer = state.get if state.exists else (0, -1, 0, [])
+        out = []
+        idle = state.hasTimedOut and not buffer
+        rows = [tuple(x) for x in buffer] + ([] if state.hasTimedOut else _arrived(batches, ["idx", "start_us", "end_us"]))
+        taken, held, expect = _in_turn(rows, expect, state.getCurrentWatermarkMs() * 1000)
+        for w in taken:
+            if last >= 0 and w[1] - last >= minimum_us:
+                out.append((key[0], last, w[1]))
+            last = w[2]
+        latest = max([latest, *(w[-1] for w in rows)])
+        if idle:
             state.remove()
         else:
-            for w in _in_order([tuple(x) for x in buffer], batches, ["idx", "start_us", "end_us"]):
-                if w[0] == expect:
-                    if last >= 0 and w[1] - last >= minimum_us:
-                        out.append((key[0], last, w[1]))
-                    expect, last = expect + 1, w[2]
-                elif w[0] > expect:
-                    held.append(list(w))
-            state.update((expect, last, held))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 60_000)
+            state.update((expect, last, latest, [list(w) for w in held]))
+            _run_out(state, latest, not held)
         yield pd.DataFrame(out, columns=["source_id", "start_us", "end_us"])
 
     return words.withWatermark("ts", delay).groupBy("source_id").applyInPandasWithState(
-        run, PAUSE, "expect long, last long, buffer array<struct<idx:long,start_us:long,end_us:long>>", "append", GroupStateTimeout.EventTimeTimeout
+        run, PAUSE, "expect long, last long, latest long, buffer array<struct<idx:long,start_us:long,end_us:long,at:long>>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
