@@ -139,7 +139,7 @@ def keep_intervals(items: DataFrame, recordings: DataFrame) -> DataFrame:
     return explicit.unionByName(complement(drops, whole, ["edit_id", "source_id"], LEAST_CUT_US))
 
 
-def snap_ranges(ranges: DataFrame, words: DataFrame, recordings: DataFrame, key: list[str]) -> DataFrame:
+def snap_ranges(ranges: DataFrame, words: DataFrame, recordings: DataFrame, key: list[str] | None = None) -> DataFrame:
     """ranges with snap_start, snap_end: the nearest word start and end within 0.35 s, else the edge of the word around them, then
     padded by 80 ms as far as the neighbouring words allow. A range that would turn over stays as it is.
 
@@ -190,10 +190,13 @@ def compile_plan(items: DataFrame, cuts: DataFrame, words: DataFrame, recordings
     pieces under 80 ms left out. (edit_id, source_id, range_idx, start_us, end_us, cut_ids)."""
     kept = keep_intervals(items, recordings).withColumn("kept_no", F.row_number().over(Window.partitionBy("edit_id").orderBy("source_id", "start_us", "end_us")))
     snapped = snap_ranges(kept, words, recordings, ["edit_id", "kept_no"])
-    merged = snap_merge(snapped).withColumn("keep_no", F.row_number().over(Window.partitionBy("edit_id").orderBy("source_id", "start_us")))
-    pieces = subtract(merged, cuts, "source_id", ["edit_id", "keep_no"], PIECE_US)
+    merged = snap_merge(snapped)
+    # edits that keep the same span of a recording share its pieces
+    spans = merged.select("source_id", F.col("source_id").alias("of"), "start_us", "end_us", F.col("start_us").alias("low"), F.col("end_us").alias("high")).distinct()
+    pieces = subtract(spans, cuts, "source_id", ["of", "low", "high"], PIECE_US)
+    mine = merged.select("edit_id", "source_id", F.col("start_us").alias("low"), F.col("end_us").alias("high")).join(pieces, ["source_id", "low", "high"])
     order = Window.partitionBy("edit_id").orderBy("source_id", "start_us")
-    return pieces.select("edit_id", "source_id", (F.row_number().over(order) - 1).alias("range_idx"), "start_us", "end_us", F.array_join("cut_ids", ",").alias("cut_ids"))
+    return mine.select("edit_id", "source_id", (F.row_number().over(order) - 1).alias("range_idx"), "start_us", "end_us", F.array_join("cut_ids", ",").alias("cut_ids"))
 
 
 def allocate_frames(ranges: DataFrame, fps: int = 30) -> DataFrame:

@@ -14,6 +14,7 @@ PIECE_US = 50_000
 SHORT_US = 3_000_000
 SHEET = 12
 SEAM_LEFT_US = 40_000
+LEAST_LABEL_US = 500_000
 
 
 def spoken_key(c: Column) -> Column:
@@ -196,3 +197,45 @@ def align_running_seams(ranges: DataFrame, fps: int = 30) -> DataFrame:
 
     moved = fold(ranges.select("edit_id", "range_idx", "source_id", "start_us", "end_us", "speed_pct", "frames"), ["edit_id"], ["range_idx"], run, "edit_id long, range_idx long, start_us long, end_us long")
     return ranges.drop("start_us", "end_us").join(moved, ["edit_id", "range_idx"])
+
+
+def verbatim_first_caption(cues: DataFrame, words: DataFrame, lines: DataFrame) -> DataFrame:
+    """(edit_id, nth, start_us, end_us, text): the first caption of an edit cut down to an opening line that it says word for word; lines that it doesn't say are left out.
+
+    cues: (edit_id, cue_idx, start_us, end_us, text); words: (edit_id, idx, word, out_start, out_end) on the output; lines: (edit_id, nth, line). Words are compared by letters and digits without case. The caption keeps its start
+    and ends with the last word that is kept; the whole caption stays as it is. Of several places the first counts.
+    """
+    first = cues.groupBy("edit_id").agg(F.min_by(F.struct("start_us", "end_us", "text"), "cue_idx").alias("c")).select("edit_id", "c.*")
+    inside = words.join(first.select("edit_id", F.col("start_us").alias("c0"), F.col("end_us").alias("c1")), "edit_id").where("out_start >= c0 and out_end <= c1")
+    heard = inside.groupBy("edit_id").agg(F.array_sort(F.collect_list(F.struct("out_start", "idx", "out_end", "word"))).alias("ws"))
+    token = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]", "")
+    tokens = lambda c: F.filter(F.transform(F.split(c, r"\s+"), token), lambda t: t != "")
+    df = first.join(lines, "edit_id").join(heard, "edit_id", "left").withColumns({"wanted": tokens(F.col("line")), "said": F.filter("ws", lambda w: token(w["word"]) != "")})
+    m = F.size("wanted")
+    places = F.when(F.size("said") >= m, F.sequence(F.lit(0), F.size("said") - m))
+    at = F.get(F.filter(places, lambda o: F.transform(F.slice("said", o + 1, m), lambda w: token(w["word"])) == F.col("wanted")), F.lit(0))
+    whole = tokens(F.col("text")) == F.col("wanted")
+    df = df.where(m > 0).withColumns({"whole": whole, "at": at}).where("whole or at is not null")
+    # words of no letters between kept ones stay
+    lo, hi = F.get("said", F.col("at")), F.get("said", F.col("at") + m - 1)
+    kept = F.filter("ws", lambda w: (w["out_start"] >= lo["out_start"]) & (w["out_start"] <= hi["out_start"]))
+    return df.select(
+        "edit_id", "nth", "start_us", F.when(F.col("whole"), F.col("end_us")).otherwise(hi["out_end"]).alias("end_us"),
+        F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda w: w["word"]), " ")).alias("text"),
+    )
+
+
+def opening_label(labels: DataFrame, openings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels, displaced): labels with each edit's opening line (edit_id, line, end_us) over the beginning, and the text that stood there before.
+
+    labels: (edit_id, start_us, end_us, text, opening). Labels of an earlier opening go. One that is on before the line ends begins then, or goes where under half a second of it would be left. Edits without an opening line keep their labels.
+    displaced: (edit_id, before), before empty where nothing stood at the start.
+    """
+    asked = openings.select("edit_id", "line", F.col("end_us").alias("until"))
+    met = labels.join(asked, "edit_id", "left").where("until is null or not opening")
+    under = F.col("start_us") < F.col("until")
+    stays = met.where(F.col("until").isNull() | ~under | (F.col("end_us") - F.col("until") >= LEAST_LABEL_US))
+    moved = stays.select("edit_id", F.when(F.coalesce(under, F.lit(False)), F.col("until")).otherwise(F.col("start_us")).alias("start_us"), "end_us", "text", "opening")
+    added = asked.select("edit_id", F.lit(0).cast("long").alias("start_us"), F.col("until").alias("end_us"), F.col("line").alias("text"), F.lit(True).alias("opening"))
+    before = met.where("until > 0 and start_us = 0").groupBy("edit_id").agg(F.max("text").alias("before"))
+    return moved.unionByName(added), asked.select("edit_id").join(before, "edit_id", "left").select("edit_id", F.coalesce("before", F.lit("")).alias("before"))

@@ -38,16 +38,27 @@ def read_render_log(spark, sf_dir):
 
 @query("""with d as (select item_id, regexp_split_to_array(text, '\\s+')[1] as w1, regexp_split_to_array(text, '\\s+')[2] as w2, regexp_split_to_array(text, '\\s+')[3] as w3 from benchmark)
   select item_id, 1 as line_no, 0::bigint as start_ms, (1500 + item_id % 4 * 500)::bigint as end_ms, w1 as shot, w2 as said, w3 || '|' || w1 as on_screen, false as off_screen from d
-  union all select item_id, 2, 3000, 3100, w2, 'off: ' || w3, '', true from d""")
+  union all select item_id, 2, 3000, 3100, w2, 'off: ' || w3, '', true from d union all select item_id, 4, 4000, 5250, w3, w1, '', false from d""")
 def parse_brief_rows(spark, sf_dir):
     w = F.split("text", r"\s+")
     end = F.format_string("%.1f", 1.5 + (F.col("item_id") % 4) * 0.5)
     body = F.concat(
-        F.lit("Scenario\n- 0-"), end, F.lit(" s | "), w[0], F.lit(" | "), w[1], F.lit(" | "), w[2], F.lit(" / "), w[0], F.lit("\n3,0 - 2.5 s | "), w[1], F.lit(" | off: "), w[2], F.lit("\nno row here")
+        F.lit("Scenario\n- 0-"), end, F.lit(" s | "), w[0], F.lit(" | "), w[1], F.lit(" | "), w[2], F.lit(" / "), w[0], F.lit("\n3,0 - 2.5 s | "), w[1], F.lit(" | off: "), w[2], F.lit("\nno row here\n4s—5,25 | "), w[2], F.lit(" | "), w[0], F.lit("\n1-2-3 | a | b | c"),
     )
     return S.parse_brief_rows(table(spark, sf_dir, "benchmark").select("item_id", body.alias("text")), "item_id")
 
 
+@query("""with d as (select item_id, regexp_split_to_array(text, '\\s+')[1] as w1, regexp_split_to_array(text, '\\s+')[2] as w2 from benchmark)
+  select item_id, 1 as line_no, 'recording' as section, w1 as line from d union all select item_id, 2, 'recording', w2 || ': x' from d union all select item_id, 4, 'scenario', '0-1 s | ' || w1 from d
+  union all select item_id, 5, case when item_id % 2 = 0 then 'montage' else 'scenario' end, case when item_id % 2 = 0 then 'by ' || w1 else '# montażysta' end from d union all select item_id, 6, case when item_id % 2 = 0 then 'montage' else 'scenario' end, 'end' from d""")
+def brief_sections(spark, sf_dir):
+    w, even = F.split("text", r"\s+"), F.col("item_id") % 2 == 0
+    body = F.concat(
+        F.lit("a title\n## NAGRANIE (one): "), w[0], F.lit("\n"), w[1], F.lit(": x\nScenariusz:\n0-1 s | "), w[0], F.lit("\n"), F.when(even, F.concat(F.lit("Montaż by "), w[0])).otherwise("Montaż: "), F.lit("\nend"),
+    )
+    return S.brief_sections(table(spark, sf_dir, "benchmark").select("item_id", F.when(even, body).otherwise(F.replace(body, F.lit("\nMontaż: "), F.lit("\n# montażysta"))).alias("text")), "item_id")
+
+
 @query("""with d as (select item_id, regexp_split_to_array(text, '\\s+')[1] as w1, regexp_split_to_array(text, '\\s+')[2] as w2 from benchmark)
   select item_id, 0 as line_no, w1 || ' ' || w2 as sentence, 'clip' || item_id || '.mp4' as clip, 2500::bigint as at_ms, 1400::bigint as hold_ms from d union all select item_id, 2, w2, 'b.mp4', 0, null from d""")
 def parse_story_rows(spark, sf_dir):

@@ -185,3 +185,68 @@ def align_running_seams(spark, sf_dir):
     r = ranges(spark, sf_dir).select("edit_id", "range_idx", "source_id", "speed_pct", length.alias("len"), F.sum(length + gap).over(by).alias("end_us"))
     run = r.withColumn("start_us", F.col("end_us") - F.col("len")).drop("len")
     return D.align_running_seams(C.allocate_frames(T.range_durations(run))).select("edit_id", "range_idx", "start_us", "end_us")
+
+
+FIRST = r"""
+fw as (select source_id as edit_id, idx, word, start_us as out_start, end_us as out_end from words where idx < 12),
+fc as (select edit_id, 0 as cue_idx, min(out_start) as start_us, max(out_end) as end_us, string_agg(word, ' ' order by idx) as text from fw group by edit_id),
+lines as (
+  select edit_id, 0 as nth, string_agg(lower(word) || '!', ' ' order by idx) as line from fw where idx between 3 and 5 group by edit_id
+  union all select edit_id, 1, lower(text) from fc union all select edit_id, 2, string_agg(word, ' ' order by idx desc) from fw where idx between 5 and 7 group by edit_id union all select edit_id, 3, '...' from fc
+  union all select edit_id, 4, arg_min(word, idx) from fw group by edit_id
+)"""
+
+
+def _first_captions(spark, sf_dir):
+    """(cues, words, lines): the first twelve words of each conversation as a caption; of the lines one is a run of it, one is all of it, one turns words round, one has no letters and one is a single word."""
+    w = words(spark, sf_dir).where("idx < 12").select(F.col("source_id").alias("edit_id"), "idx", "word", F.col("start_us").alias("out_start"), F.col("end_us").alias("out_end"))
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "word")))
+    per = w.groupBy("edit_id").agg(F.min("out_start").alias("start_us"), F.max("out_end").alias("end_us"), ordered.alias("ws"))
+    said = lambda xs, f=lambda c: c: F.array_join(F.transform(xs, lambda x: f(x["word"])), " ")
+    part = lambda lo, hi: F.filter("ws", lambda x: x["idx"].between(lo, hi))
+    cues = per.select("edit_id", F.lit(0).alias("cue_idx"), "start_us", "end_us", said(F.col("ws")).alias("text"))
+    run, turned = part(3, 5), F.reverse(part(5, 7))
+    each = F.array(
+        F.when(F.size(run) > 0, said(run, lambda c: F.concat(F.lower(c), F.lit("!")))), F.lower(said(F.col("ws"))), F.when(F.size(turned) > 0, said(turned)), F.lit("..."), F.col("ws")[0]["word"]
+    )
+    return cues, w, per.select("edit_id", F.posexplode(each).alias("nth", "line")).where("line is not null")
+
+
+@query(W + "," + FIRST + r""", t as (
+  select edit_id, nth, line, start_us, end_us, text, list_filter(list_transform(regexp_split_to_array(line, '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}_]', '', 'g')), lambda x: x <> '') as wanted from lines join fc using (edit_id)
+), k as (select edit_id, list(struct_pack(word, out_start, out_end, k := key) order by idx) filter (key <> '') as said, list(struct_pack(word, out_start, out_end) order by idx) as ws from (select *, regexp_replace(lower(word), '[^\p{L}\p{N}_]', '', 'g') as key from fw) group by edit_id),
+p as (
+  select t.*, said, ws, list_filter(range(len(said) - len(wanted) + 1), lambda o: list_transform(said[o + 1:o + len(wanted)], lambda w: w.k) = wanted)[1] as spot, list_transform(said, lambda w: w.k) = wanted as whole from t join k using (edit_id) where len(wanted) > 0
+)
+select edit_id, nth, start_us, case when whole then end_us else said[spot + len(wanted)].out_end end as end_us,
+  case when whole then text else array_to_string(list_transform(list_filter(ws, lambda w: w.out_start >= said[spot + 1].out_start and w.out_start <= said[spot + len(wanted)].out_start), lambda w: w.word), ' ') end as text
+from p where whole or spot is not null""")
+def verbatim_first_caption(spark, sf_dir):
+    return D.verbatim_first_caption(*_first_captions(spark, sf_dir))
+
+
+LABELLED = "with " + RANGES_CTE + """, labels as (
+  select edit_id, range_idx * 1200000 as start_us, range_idx * 1200000 + 400000 + (end_us - start_us) // 2 as end_us, beat || range_idx as text, edit_id % 4 = 1 and range_idx = 0 as opening from ranges where edit_id % 5 > 0 or range_idx > 0
+), openings as (select edit_id, 'opens ' || max(beat) as line, 2000000 + edit_id % 4 * 500000 as end_us from ranges where edit_id % 3 > 0 group by edit_id),
+m as (select l.*, o.line, o.end_us as until from labels l left join openings o using (edit_id) where o.edit_id is null or not opening)"""
+
+
+def _labels(spark, sf_dir):
+    r, n = ranges(spark, sf_dir), F.col("range_idx")
+    labels = r.where("edit_id % 5 > 0 or range_idx > 0").select(
+        "edit_id", (n * 1_200_000).alias("start_us"), (n * 1_200_000 + 400_000 + F.floor((F.col("end_us") - F.col("start_us")) / 2)).alias("end_us"), F.concat("beat", n.cast("string")).alias("text"),
+        ((F.col("edit_id") % 4 == 1) & (n == 0)).alias("opening"),
+    )
+    opened = r.where("edit_id % 3 > 0").groupBy("edit_id").agg(F.concat(F.lit("opens "), F.max("beat")).alias("line"))
+    return labels, opened.withColumn("end_us", 2_000_000 + F.col("edit_id") % 4 * 500_000)
+
+
+@query(LABELLED + """ select edit_id, case when start_us < until then until else start_us end as start_us, end_us, text, opening from m where until is null or start_us >= until or end_us - until >= 500000
+  union all select edit_id, 0, end_us, line, true from openings""")
+def opening_label(spark, sf_dir):
+    return D.opening_label(*_labels(spark, sf_dir))[0]
+
+
+@query(LABELLED + " select edit_id, coalesce(before, '') as before from openings left join (select edit_id, max(text) as before from m where start_us = 0 and until > 0 group by edit_id) using (edit_id)")
+def displaced_label(spark, sf_dir):
+    return D.opening_label(*_labels(spark, sf_dir))[1]

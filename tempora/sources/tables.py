@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,19 +44,45 @@ def _number(c) -> F.Column:
     return F.replace(c, F.lit(","), F.lit(".")).cast("decimal(12,3)")
 
 
+def _time_ms(c) -> F.Column:
+    """Seconds, with a decimal comma or point, as milliseconds; null for anything else."""
+    return F.when(c.rlike("^[0-9]+([.,][0-9]+)?$"), (_number(c) * 1000).cast("long"))
+
+
+#: The first words of a brief's sections.
+BRIEF_SECTIONS = {"nagranie": "recording", "scenariusz": "scenario", "montaż": "montage", "montaz": "montage", "okładka": "cover", "okladka": "cover"}
+
+
+def brief_sections(texts: DataFrame, key: str, sections: dict[str, str] | None = None) -> DataFrame:
+    """(key, line_no, section, line): the lines of each section of a text. A line whose first word, whatever its case and any # before it, is one of `sections` opens one; what follows its colon, or without one the word,
+    is the section's first line, if there is any. Lines before the first such line are in none."""
+    names = BRIEF_SECTIONS if sections is None else sections
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    rows = texts.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    plain = F.ltrim(F.regexp_replace(F.ltrim("line"), "^#+", ""))
+    word = F.lower(F.element_at(F.split(plain, r"[^\p{L}\p{N}_]"), 1))
+    opened = rows.withColumn("opens", known[word])
+    colon = F.instr("line", ":")
+    rest = F.when(colon > 0, F.substring(F.col("line"), colon + 1, F.length("line"))).otherwise(F.substring(plain, F.length(word) + 1, F.length("line")))
+    order = Window.partitionBy(key).orderBy("line_no")
+    line = F.when(F.col("opens").isNull(), F.col("line")).otherwise(F.trim(rest))
+    placed = opened.select(key, "line_no", F.last("opens", ignorenulls=True).over(order).alias("section"), line.alias("line"), F.col("opens").isNotNull().alias("head"))
+    return placed.where("section is not null and not (head and line = '')").drop("head")
+
+
 def parse_brief_rows(texts: DataFrame, key: str) -> DataFrame:
     """(key, line_no, start_ms, end_ms, shot, said, on_screen, off_screen) of timed rows `a-b s | shot | said | on screen`.
 
-    A row lasts 100 ms at least; on-screen text is split at ` / `; a said part that begins with `off` and a colon isn't heard in the picture. Other lines are left out.
+    The first cell is two times with a dash of any length between them, each with or without its unit. A row lasts 100 ms at least; on-screen text is split at ` / `; a said part that begins with `off` and a colon
+    isn't heard in the picture. Other lines are left out.
     """
     rows = texts.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^[-*•|\s]+|[|\s]+$", ""), r"\|"), lambda x: F.trim(x))
-    timed = rows.withColumn("c", cells).where(F.size("c") >= 3).withColumn("a", F.regexp_extract(F.col("c")[0], r"^(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)\s*s\b", 1))
-    b = F.regexp_extract(F.col("c")[0], r"^(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)\s*s\b", 2)
-    start = (_number(F.col("a")) * 1000).cast("long")
+    ends = F.transform(F.split(F.translate(F.col("c")[0], "–—", "--"), "-"), lambda x: _time_ms(F.trim(F.regexp_replace(F.trim(x), "s$", ""))))
+    timed = rows.withColumn("c", cells).where(F.size("c") >= 3).withColumn("t", ends).where((F.size("t") == 2) & F.col("t")[0].isNotNull() & F.col("t")[1].isNotNull())
     screen = F.filter(F.transform(F.split(F.coalesce(F.try_element_at("c", F.lit(4)), F.lit("")), " / "), lambda x: F.trim(x)), lambda x: x != "")
-    return timed.where("a <> ''").select(
-        key, "line_no", start.alias("start_ms"), F.greatest((_number(b) * 1000).cast("long"), start + 100).alias("end_ms"), F.col("c")[1].alias("shot"), F.col("c")[2].alias("said"),
+    return timed.select(
+        key, "line_no", F.col("t")[0].alias("start_ms"), F.greatest(F.col("t")[1], F.col("t")[0] + 100).alias("end_ms"), F.col("c")[1].alias("shot"), F.col("c")[2].alias("said"),
         F.array_join(screen, "|").alias("on_screen"), F.lower(F.col("c")[2]).rlike(r"^off\s*:").alias("off_screen"),
     )
 
@@ -84,9 +110,8 @@ def parse_story_rows(texts: DataFrame, key: str) -> DataFrame:
     told = sides.where("size(t) > 0 and said <> ''").select(key, "line_no", "said", F.col("t")[0].alias("clip"), F.filter(loose, lambda x: x != "").alias("t"))
     has_at = F.coalesce(F.try_element_at("t", F.lit(1)) == "@", F.lit(False))
     parted = told.withColumn("hold", F.when(has_at, F.slice("t", F.lit(3), F.greatest(F.size("t") - 2, F.lit(0)))).otherwise(F.col("t")))
-    time = lambda c: F.when(c.rlike("^[0-9]+([.,][0-9]+)?$"), (_number(c) * 1000).cast("long"))
-    at = F.when(has_at, time(F.try_element_at("t", F.lit(2)))).otherwise(F.lit(0).cast("long"))
-    held = F.when((F.size("hold") == 2) & (F.try_element_at("hold", F.lit(2)) == "s"), time(F.try_element_at("hold", F.lit(1))))
+    at = F.when(has_at, _time_ms(F.try_element_at("t", F.lit(2)))).otherwise(F.lit(0).cast("long"))
+    held = F.when((F.size("hold") == 2) & (F.try_element_at("hold", F.lit(2)) == "s"), _time_ms(F.try_element_at("hold", F.lit(1))))
     out = parted.select(
         key, "line_no", F.trim(F.regexp_replace(_without_quote(F.col("said")), r"\s+", " ")).alias("sentence"), "clip", at.alias("at_ms"), held.alias("hold_ms"), F.size("hold").alias("n"),
     )
