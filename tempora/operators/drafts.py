@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ends_clause, ends_sentence, first_sentence, normalise
-from .folds import fold
+from .folds import choose_apart, fold
 from .speech import synthesize_spacing
 
 RUN = 3
@@ -15,6 +15,8 @@ SHORT_US = 3_000_000
 SHEET = 12
 SEAM_LEFT_US = 40_000
 LEAST_LABEL_US = 500_000
+#: Stills of a recording: how many, how far apart, how long and how densely the opening is sampled, how far behind a cut and before the end.
+STILLS, STILL_GAP_US, OPENING_US, OPENING_STEP_US, AFTER_CUT_US, LAST_US = 40, 150_000, 3_000_000, 500_000, 50_000, 250_000
 
 
 def spoken_key(c: Column) -> Column:
@@ -239,3 +241,34 @@ def opening_label(labels: DataFrame, openings: DataFrame) -> tuple[DataFrame, Da
     added = asked.select("edit_id", F.lit(0).cast("long").alias("start_us"), F.col("until").alias("end_us"), F.col("line").alias("text"), F.lit(True).alias("opening"))
     before = met.where("until > 0 and start_us = 0").groupBy("edit_id").agg(F.max("text").alias("before"))
     return moved.unionByName(added), asked.select("edit_id").join(before, "edit_id", "left").select("edit_id", F.coalesce("before", F.lit("")).alias("before"))
+
+
+def editorial_stills(cuts: DataFrame, recordings: DataFrame, limit: int = STILLS) -> DataFrame:
+    """(source_id, at_us, reason): where to look at a recording: its first frame, each half second of its first three, just behind each cut, the middle of each shot, its last frame.
+
+    cuts: (source_id, at_us). No two are closer than 0.15 s; first, opening and last come first, then cuts, then middles, each by time. Where there are more of the latter than `limit` leaves room for, they are
+    thinned evenly, the cuts alone if these would do. Spacing is a choice by islands.
+    """
+    lengths = recordings.select("source_id", "duration_us", F.greatest(F.lit(0).cast("long"), F.col("duration_us") - LAST_US).alias("last"))
+    steps = F.filter(F.sequence(F.lit(OPENING_STEP_US), F.lit(OPENING_US), F.lit(OPENING_STEP_US)), lambda t: t <= F.col("last"))
+    early = F.concat(F.array(F.lit(0).cast("long")), F.transform(steps, lambda t: t.cast("long")))
+    lone = F.forall(early, lambda t: F.col("last") - t >= STILL_GAP_US)
+    base = lengths.withColumn("fixed", F.when(lone, F.concat(early, F.array("last"))).otherwise(early)).withColumn("lone", lone)
+    reason = lambda t: F.when(t == 0, "first").when(F.col("lone") & (t == F.col("last")), "last").otherwise("opening")
+    fixed = base.select("source_id", "last", "lone", F.explode("fixed").alias("at_us")).select("source_id", "at_us", reason(F.col("at_us")).alias("reason"))
+
+    inside = cuts.join(base, "source_id").where("at_us > 0 and at_us < duration_us").select("source_id", "at_us", "duration_us", "last", "fixed")
+    behind = inside.select("source_id", "fixed", F.lit("cut").alias("reason"), F.least(F.col("at_us") + AFTER_CUT_US, F.col("last")).alias("at_us"))
+    edges = inside.select("source_id", "at_us", "duration_us", "fixed").unionByName(base.select("source_id", F.lit(0).cast("long").alias("at_us"), "duration_us", "fixed"))
+    until = F.coalesce(F.lead("at_us").over(Window.partitionBy("source_id").orderBy("at_us")), F.col("duration_us"))
+    middles = edges.withColumn("until", until).select("source_id", "fixed", F.lit("middle").alias("reason"), F.floor((F.col("at_us") + F.col("until")) / 2).alias("at_us"))
+    far = behind.unionByName(middles).where(F.forall("fixed", lambda t: F.abs(F.col("at_us") - t) >= STILL_GAP_US))
+    whole = Window.partitionBy("source_id")
+    order = whole.orderBy("reason", "at_us")  # cut comes before middle
+    counted = far.withColumns({"room": F.greatest(F.lit(0), F.lit(limit) - F.size("fixed")), "nth": F.row_number().over(order), "n": F.count("*").over(whole), "n_cuts": F.sum((F.col("reason") == "cut").cast("long")).over(whole)})
+    pool = F.when(F.col("n_cuts") >= F.col("room"), F.col("n_cuts")).otherwise(F.col("n"))
+    place = lambda i: F.bround(i * (pool - 1) / F.greatest(F.col("room") - 1, F.lit(1)).cast("double")).cast("long") + 1
+    picks = F.when(F.col("room") > 0, F.transform(F.sequence(F.lit(0), F.col("room") - 1), place)).otherwise(F.array().cast("array<bigint>"))
+    thinned = counted.where((F.col("n") <= F.col("room")) | F.array_contains(picks, F.col("nth").cast("long")))
+    spans = thinned.select("source_id", "nth", "reason", "at_us", (F.col("at_us") + STILL_GAP_US).alias("end_us"))
+    return fixed.unionByName(choose_apart(spans, ["source_id"], ["nth"], "at_us", "end_us").select("source_id", "at_us", "reason"))

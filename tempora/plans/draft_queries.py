@@ -250,3 +250,30 @@ def opening_label(spark, sf_dir):
 @query(LABELLED + " select edit_id, coalesce(before, '') as before from openings left join (select edit_id, max(text) as before from m where start_us = 0 and until > 0 group by edit_id) using (edit_id)")
 def displaced_label(spark, sf_dir):
     return D.opening_label(*_labels(spark, sf_dir))[1]
+
+
+@query("with recursive " + WR.removeprefix("with ") + """, g as (select source_id, duration_us, greatest(0, duration_us - 250000) as last from recordings where source_id % 4 > 0
+  union all select source_id, 600000 + source_id * 1000, 350000 + source_id * 1000 from recordings where source_id % 4 = 0),
+fx as (select source_id, unnest([0] || list_filter([500000, 1000000, 1500000, 2000000, 2500000, 3000000], lambda t: t <= last))::bigint as at_us, last from g),
+fl as (select source_id, at_us, case at_us when 0 then 'first' else 'opening' end as reason from fx union all select source_id, last, 'last' from g where not exists (from fx where fx.source_id = g.source_id and g.last - fx.at_us < 150000)),
+cu as (select w.source_id, start_us as c, duration_us, last from words w join g using (source_id) where (word like '%.' or idx % 3 = 0) and start_us > 0 and start_us < duration_us),
+ed as (select source_id, c, duration_us from cu union all select source_id, 0, duration_us from g),
+op as (
+  select source_id, 'cut' as reason, least(c + 50000, last) as at_us from cu
+  union all select source_id, 'middle', (c + coalesce(lead(c) over (partition by source_id order by c), duration_us)) // 2 from ed
+), fr as (select * from op where not exists (from fl where fl.source_id = op.source_id and abs(fl.at_us - op.at_us) < 150000)),
+ct as (
+  select fr.*, greatest(0, 40 - k) as room, row_number() over (partition by fr.source_id order by reason, at_us) as nth, count(*) over (partition by fr.source_id) as n, count(*) filter (reason = 'cut') over (partition by fr.source_id) as nc
+  from fr join (select source_id, count(*) as k from fl group by all) using (source_id)
+), th as (
+  select * from ct where n <= room or list_contains(list_transform(range(room), lambda i: round_even(i * (case when nc >= room then nc else n end - 1) / greatest(room - 1, 1)::double, 0)::bigint + 1), nth)
+), c as (select source_id, reason, at_us, row_number() over (partition by source_id order by nth) as i from th), k as (
+  select source_id, i, [at_us] as kept, true as stays from c where i = 1
+  union all select source_id, i, case when ok then list_append(kept, a) else kept end, ok from (
+    select c.source_id, c.i, c.at_us as a, kept, len(list_filter(kept, lambda x: abs(x - c.at_us) < 150000)) = 0 as ok from k join c on c.source_id = k.source_id and c.i = k.i + 1)
+) select source_id, at_us, reason from fl union all select source_id, at_us, reason from c join k using (source_id, i) where stays""")
+def editorial_stills(spark, sf_dir):
+    """Sentence ends and every third word stand for cuts; every fourth recording is cut short."""
+    w = words(spark, sf_dir)
+    r = recordings(w).withColumn("duration_us", F.when(F.col("source_id") % 4 == 0, 600_000 + F.col("source_id") * 1000).otherwise(F.col("duration_us")))
+    return D.editorial_stills(w.where(F.col("word").endswith(".") | (F.col("idx") % 3 == 0)).select("source_id", F.col("start_us").alias("at_us")), r)
