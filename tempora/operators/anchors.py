@@ -148,6 +148,17 @@ def translation_problems(cues: DataFrame, translated: DataFrame, max_chars: int)
     return df.select("edit_id", "cue_idx", F.explode(problems).alias("problem"))
 
 
+def apply_translation(cues: DataFrame, translated: DataFrame, max_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(cues, problems): tracks in another language on the times of the original, for edits whose translation has no problem at all; see `translation_problems`.
+
+    White space in translations is evened out first. cues: (edit_id, cue_idx, start_us, end_us, text); their words get times by `estimated_words`.
+    """
+    even = translated.withColumn("text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    problems = translation_problems(cues, even, max_chars).join(even.select("edit_id").distinct(), "edit_id", "left_semi")
+    sound = even.join(problems.select("edit_id").distinct(), "edit_id", "left_anti").select("edit_id", "cue_idx", "text")
+    return cues.select("edit_id", "cue_idx", "start_us", "end_us").join(sound, ["edit_id", "cue_idx"]), problems
+
+
 def weak_sources(sources: DataFrame) -> DataFrame:
     """(source_id, cover_pct, bpp_milli): recordings enlarged 1.5 times or more, or under 0.05 bits a pixel. sources: (source_id, width, height, canvas_w, canvas_h, bit_rate, fps)."""
     cover = F.floor(F.greatest(F.col("canvas_w") * 100 / F.col("width"), F.col("canvas_h") * 100 / F.col("height")))

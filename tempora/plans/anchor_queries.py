@@ -222,6 +222,16 @@ def translation_problems(spark, sf_dir):
     return A.translation_problems(c, t, 900)
 
 
+@query(CUES + """, t as (select edit_id, cue_idx + case when edit_id % 10 = 0 then 1 else 0 end as cue_idx, start_us + edit_id % 3 * 900 as s, end_us as e, case when cue_idx = 2 and edit_id % 4 = 1 then '' else 'x ' || trim(text) end as t from cues where edit_id % 7 > 0),
+  j as (select coalesce(c.edit_id, t.edit_id) as edit_id, start_us is null or s is null or abs(start_us - s) > 1000 or t = '' or length(t) > 900 as bad from cues c full join t on c.edit_id = t.edit_id and c.cue_idx = t.cue_idx)
+  select c.edit_id, c.cue_idx, c.start_us, c.end_us, t as text from cues c join t on c.edit_id = t.edit_id and c.cue_idx = t.cue_idx where c.edit_id not in (select edit_id from j where bad)""")
+def apply_translation(spark, sf_dir):
+    c, e = _cues(spark, sf_dir), F.col("edit_id")
+    text = F.when((F.col("cue_idx") == 2) & (e % 4 == 1), " ").otherwise(F.concat(F.lit(" x  "), F.col("text")))
+    t = c.where("edit_id % 7 > 0").select("edit_id", (F.col("cue_idx") + (e % 10 == 0).cast("long")).alias("cue_idx"), (F.col("start_us") + e % 3 * 900).alias("start_us"), "end_us", text.alias("text"))
+    return A.apply_translation(c, t, 900)[0]
+
+
 @query("""with s as (select p_partkey as source_id, 640 + p_partkey % 5 * 320 as w, 360 + p_partkey % 7 * 180 as h, (p_retailprice * 1000)::bigint as b from part),
   x as (select source_id, floor(greatest(108000 / w, 192000 / h))::bigint as cover_pct, floor(b * 1000 / (w * h * 30))::bigint as bpp_milli from s) select * from x where cover_pct >= 150 or bpp_milli < 50""")
 def weak_sources(spark, sf_dir):

@@ -101,6 +101,30 @@ def build_phrase_cues(spark, sf_dir):
     return T.build_cues(_placed(spark, sf_dir), frozenset(("and", "und", "et")), frozenset(("the", "of", "die", "de", "la")), max_words=8, max_chars=48, phrase=True)
 
 
+@query()
+def build_opening_cues(spark, sf_dir):
+    return T.build_opening_cues(_placed(spark, sf_dir), LEANING)
+
+
+LEANING = frozenset(("the", "of", "die", "de", "la", "und", "and", "y"))
+
+
+@query(W + r""", p as (
+  select source_id as edit_id, idx, word, speaker, start_us, end_us, row_number() over o - 1 as pos, coalesce(start_us - lag(end_us) over o > 1000000 or start_us < lag(end_us) over o or speaker is distinct from lag(speaker) over o, false) as parts,
+    regexp_matches(regexp_replace(word, '["'')\]}}]*$', ''), '[.!?…]$') as stop,
+    regexp_replace(lower(word), '[^\p{L}\p{N}]', '', 'g') in ('the', 'of', 'die', 'de', 'la', 'und', 'and', 'y') and not regexp_matches(regexp_replace(word, '["'')\]}}]*$', ''), '[.!?…,;:\-–—]$') as leans
+  from words window o as (partition by source_id order by start_us, idx)
+), m as (
+  select edit_id, least(min(pos + 1) filter (stop), min(pos) filter (parts and pos > 0), count(*)) as least, bool_or(leans and pos = 7) as l1, bool_or(leans and pos = 6) as l2 from p where pos <= 8 group by edit_id
+), c as (select edit_id, case when least <= 8 then least when not l1 then 8 when l2 then 6 else 7 end as cut from m)
+select edit_id, 0::bigint as cue_idx, 0::bigint as start_us, greatest(max(end_us), min(start_us) + 300000) as end_us, arg_min(speaker, pos) as speaker, count(*) as n_words, string_agg(word, ' ' order by pos) as text
+from p join c using (edit_id) where pos < cut group by edit_id""")
+def opening_cue(spark, sf_dir):
+    """A conversation as an edit of one range."""
+    w = words(spark, sf_dir).select(F.col("source_id").alias("edit_id"), "idx", "word", "speaker", F.col("start_us").alias("out_start"), F.col("end_us").alias("out_end"))
+    return T.opening_cue(w, LEANING)[0]
+
+
 # cues of the caption queries: one per conversation turn, of its first words, stretched into the next
 CUES = W + """, cues as (
   select source_id as edit_id, row_number() over (partition by source_id order by turn) - 1 as cue_idx, min(start_us) as start_us,
