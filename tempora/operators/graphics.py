@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .intervals import overlap_join, range_join
 
 TICK_US, REACH_US = 500_000, 260_000
@@ -190,7 +191,7 @@ def motion_audit(graphics: DataFrame, cues: DataFrame, words: DataFrame, faces:
     graphics, cues, words (also idx, key, stop), faces, edits (also duration_us, sensitive): see the functions above. moves: (edit_id, move_id, kind, start_us, end_us, loud) of the
     kinds punch_in, shake, effect and transition. changes: (edit_id, at_us) of cuts and of points that enter. energies: a row an energy (energy, accents and transitions in tenths a
     minute, changes per 30 s, stickers, icons), a fixed table of a few rows. Edits that aren't in edits have no verdicts about graphics and rates; an energy that isn't listed allows
-    nothing. Rows without times are no graphics or moves. Empty tables give what the others allow.
+    nothing. The verdicts about single graphics are written to the shared folder first. Rows without times are no graphics or moves. Empty tables give what the others allow.
     """
     timed = "start_us is not null and end_us is not null"
     g, m = graphics.where(timed), moves.where(timed)
@@ -201,8 +202,9 @@ def motion_audit(graphics: DataFrame, cues: DataFrame, words: DataFrame, faces:
     points = [changes.select("edit_id", "at_us"), g.select("edit_id", both), m.where("kind in ('punch_in', 'effect')").select("edit_id", both), cut]
     still = longest_still(reduce(DataFrame.unionByName, points), edits, STILL_LIMIT).select("edit_id", F.lit("something changes").alias("rule"), F.lit(None).cast("string").alias("ref"), "at_us", "passed", "measured", F.lit(STILL_LIMIT).cast("long").alias("expected"))
     spans = words.select("edit_id", "w_start", "w_end")
+    single = written(graphic_rules(g, cues, spans, faces, edits, energies), "graphic-rules")  # its plan is as large as that of all other rules
     parts = [
-        graphic_rules(g, cues, spans, faces, edits, energies), no_faces, transition_rules(m, spans, faces), rates(g, m, edits, energies), still,
+        single, no_faces, transition_rules(m, spans, faces), rates(g, m, edits, energies), still,
         effect_rules(m, cues, words, edits), marked_words(words, listed, m),
     ]
     return reduce(DataFrame.unionByName, [p.select(*OUT) for p in parts])

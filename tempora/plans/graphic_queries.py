@@ -62,7 +62,9 @@ def screen(spark, sf_dir):
     )
     changes = w.groupBy("edit_id", "turn").agg(F.min("w_start").alias("at_us")).select("edit_id", "at_us")
     listed = w.where("n = 7 and edit_id % 2 = 0").select("edit_id", "key").distinct()
-    return graphics, cues, w.select("edit_id", "idx", "w_start", "w_end", "key", "stop"), one.unionByName(two), moves, changes, listed, edits, energies
+    spoken = w.select("edit_id", "idx", "w_start", "w_end", "key", "stop")
+    graphics, cues, spoken, faces, moves = (written(t, n) for t, n in ((graphics, "graphics"), (cues, "cues"), (spoken, "spoken"), (one.unionByName(two), "faces"), (moves, "moves")))
+    return graphics, cues, spoken, faces, moves, changes, listed, edits, energies
 
 
 MOTION = SCREEN + """, share as (select *, greatest(0, least(fx1, x1) - greatest(fx0, x0)) * greatest(0, least(fy1, y1) - greatest(fy0, y0)) as both_,
