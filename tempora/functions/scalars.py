@@ -78,6 +78,13 @@ def aspect_label(w: Column, h: Column) -> Column:
     return out
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double at so many places, half away from zero. It is scaled, rounded and scaled back in doubles; Spark's own `round` goes by the decimal digits."""
+    scaled = F.abs(c * float(10**places))
+    whole = F.floor(scaled)
+    return F.signum(c) * (whole + (scaled - whole >= 0.5).cast("int")) / float(10**places)
+
+
 def leans_forward(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """words with `leans`: listed (lexicon: key) and no mark after it. The lexicon is a small table of its own."""
     listed = lexicon.select(F.col("key").alias("_key")).distinct()

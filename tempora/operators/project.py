@@ -152,6 +152,6 @@ def crop_path(positions: DataFrame, alpha: float = 0.3, dead_zone: int = 20) ->
         for r, x in zip(rows, out, strict=True):
             if abs(x - held) >= dead_zone:
                 held = x
-            yield r.series, r.step, round(held, 6)
+            yield r.series, r.step, held
 
     return fold(positions, ["series"], ["step"], run, "series long, step long, x double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import RANGES_CTE, TURNS_CTE, ranges, table, turns, words
+from ..fixtures import RANGES_CTE, TURNS_CTE, ranges, scaled, table, turns, words
 from ..functions.scalars import leans_forward as leans
 from ..operators import anchors as A
 from ..operators import timeline as T
@@ -260,7 +260,7 @@ def sample_times(spark, sf_dir):
   floor(sum(case when greatest(r, g, b) - least(r, g, b) <= 40 then r - b end) * 1000 / sum(case when greatest(r, g, b) - least(r, g, b) <= 40 then 255 end))::bigint as cast_milli from px group by all""")
 def luma_stats(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("source_id"), F.explode("embedding").alias("x"))
-    part = lambda k: F.floor(F.abs("x") * k)
+    part = lambda k: scaled(F.abs("x"), k)
     return A.luma_stats(e.select("source_id", part(500).alias("r"), part(450).alias("g"), part(400).alias("b")))
 
 
@@ -276,7 +276,7 @@ def voice_measures(spark, sf_dir):
   select source_id, track_id, sample_idx, floor(list_sum(list_transform(list_zip(p, q), lambda z: abs(z[1] - z[2]))) / 16)::bigint as motion from l where q is not null""")
 def mouth_motion(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    patch = F.transform(F.slice("embedding", 1, 16), lambda x: F.floor(x * 1000))
+    patch = F.transform(F.slice("embedding", 1, 16), lambda x: scaled(x))
     return A.mouth_motion(e.select(F.col("label").alias("source_id"), (F.col("vec_id") % 3).alias("track_id"), F.col("vec_id").alias("sample_idx"), patch.alias("patch")))
 
 

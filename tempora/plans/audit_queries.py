@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import RANGES_CTE, ranges, recordings, table, words
-from ..fixtures import SEGMENTS_CTE, segments
-from ..functions.scalars import word_key
+from ..fixtures import SEGMENTS_CTE, scaled, segments
+from ..functions.scalars import rounded, word_key
 from ..operators import accents as A
 from ..operators import audits as Q
 from ..operators import project as J
@@ -404,7 +404,7 @@ def primary_face(spark, sf_dir):
   select source_id, case when r >= 0.15 and r - nxt >= 0.08 then track_id end::integer as track_id, r, round(r - nxt, 9) as margin from b where nth = 1""")
 def choose_speaker(spark, sf_dir):
     """Stretches of the embeddings as recordings: seven mouths that move by nine components each, the last component as sound."""
-    e = segments(spark, sf_dir).select("source_id", F.col("vec_id").alias("sample_idx"), F.transform("embedding", lambda x: F.floor(x * 1000)).alias("v"))
+    e = segments(spark, sf_dir).select("source_id", F.col("vec_id").alias("sample_idx"), F.transform("embedding", lambda x: scaled(x)).alias("v"))
     moves = F.array(*[F.aggregate(F.slice("v", 9 * k + 1, 9), F.lit(0).cast("long"), lambda a, x: a + x) for k in range(7)])
     t = e.select("source_id", "sample_idx", F.posexplode(moves).alias("track_id", "motion"))
     return J.choose_speaker(t, e.select("source_id", "sample_idx", F.col("v")[63].alias("level")))
@@ -423,7 +423,7 @@ def crop_size(spark, sf_dir):
     union all select b.series, b.step, b.n, case when b.v[b.best] * 100 > b.v[r.held] * 125 then b.best else r.held end from r join b on b.series = r.series and b.n = r.n + 1
   ) select series, step, (held - 1)::integer as chosen from r""")
 def choose_with_hysteresis(spark, sf_dir):
-    v = F.transform("embedding", lambda x: F.abs(F.floor(x * 1000)))
+    v = F.transform("embedding", lambda x: F.abs(scaled(x)))
     return J.hysteresis(segments(spark, sf_dir).select(F.col("source_id").alias("series"), F.col("vec_id").alias("step"), v.alias("values")))
 
 
@@ -434,6 +434,6 @@ def choose_with_hysteresis(spark, sf_dir):
   h as (select series, n, x from g where n = 1 union all select g.series, g.n, case when abs(g.x - h.x) >= 20 then g.x else h.x end from h join g on g.series = h.series and g.n = h.n + 1)
   select series, step, round(h.x, 3) as x from h join p using (series, n)""")
 def crop_path(spark, sf_dir):
-    """Positions are the sums of the components."""
-    x = F.aggregate(F.transform("embedding", lambda v: F.floor(v * 100)), F.lit(0).cast("long"), lambda a, v: a + v)
-    return J.crop_path(segments(spark, sf_dir).select(F.col("source_id").alias("series"), F.col("vec_id").alias("step"), x.alias("x"))).withColumn("x", F.round("x", 3))
+    """Positions are the sums of the components. They are rounded once, half away from zero, in doubles: a second rounding, or one by decimal digits, moves those next to a half."""
+    x = F.aggregate(F.transform("embedding", lambda v: scaled(v, 100)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return J.crop_path(segments(spark, sf_dir).select(F.col("source_id").alias("series"), F.col("vec_id").alias("step"), x.alias("x"))).withColumn("x", rounded(F.col("x"), 3))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import RECORDINGS_CTE, SEGMENTS_CTE, WORDS_CTE, recordings, segments, table, turns, words
+from ..fixtures import RECORDINGS_CTE, SEGMENTS_CTE, WORDS_CTE, recordings, scaled, segments, table, turns, words
 from ..operators import accents as A
 from ..operators import audits as Q
 from ..operators import framing as G
@@ -21,7 +21,7 @@ def _faces(spark, sf_dir):
     from pyspark.sql import Window
 
     e = segments(spark, sf_dir).withColumn("sample_idx", F.row_number().over(Window.partitionBy("source_id").orderBy("vec_id")).cast("long"))
-    v = F.transform("embedding", lambda x: F.floor(x * 1000))
+    v = F.transform("embedding", lambda x: scaled(x))
     each = e.select("source_id", "sample_idx", v.alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("face_idx"))
     at = lambda k: F.col("v")[(8 * F.col("face_idx") + k).cast("int")]
     return each.select(
@@ -98,7 +98,7 @@ def onsets(spark, sf_dir):
   select stream_id, shift::integer as shift, diff from (select *, row_number() over (partition by stream_id order by diff, abs(shift), shift) as nth from m) where nth = 1""")
 def frame_offset(spark, sf_dir):
     """Each stream against itself, two frames later; frames with a large first component are busy."""
-    f = _frames(spark, sf_dir).select("stream_id", "frame_no", F.transform("embedding", lambda x: F.floor(x * 1000)).alias("vec"))
+    f = _frames(spark, sf_dir).select("stream_id", "frame_no", F.transform("embedding", lambda x: scaled(x)).alias("vec"))
     return G.frame_offset(f, f.withColumn("frame_no", F.col("frame_no") + 2), f.where(F.col("vec")[0] >= 200).select("stream_id", "frame_no"))
 
 
