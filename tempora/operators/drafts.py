@@ -171,7 +171,8 @@ def variant_lines(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("brief_id").agg(F.min_by(F.struct("on_screen", "said"), "row_idx").alias("r"))
     lines = F.array(F.trim(F.coalesce(F.try_element_at("r.on_screen", F.lit(1)), F.lit(""))), F.trim(first_sentence(F.coalesce("r.said", F.lit("")))))
     each = first.select("brief_id", F.posexplode(lines).alias("pos", "line")).where("line <> ''")
-    same = Window.partitionBy("brief_id", F.lower("line")).orderBy("pos")
+    # a sharp s is two in capitals
+    same = Window.partitionBy("brief_id", F.replace(F.lower("line"), F.lit("ß"), F.lit("ss"))).orderBy("pos")
     once = each.withColumn("k", F.row_number().over(same)).where("k = 1")
     return once.select("brief_id", F.row_number().over(Window.partitionBy("brief_id").orderBy("pos")).cast("long").alias("nth"), "line")
 

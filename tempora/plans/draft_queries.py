@@ -152,12 +152,12 @@ def review_moments(spark, sf_dir):
   select brief_id, 1::bigint as nth, case when trim(a) <> '' then trim(a) else s end as line from t where trim(a) <> '' or s <> ''
   union all select brief_id, 2, s from t where trim(a) <> '' and s <> '' and lower(trim(a)) <> lower(s)""")
 def variant_lines(spark, sf_dir):
-    """Items as briefs: on screen the sentence in capitals, its first word, or nothing."""
+    """Items as briefs: on screen the sentence in capitals (a capital sharp s, not two), its first word, or nothing."""
     from ..functions.scalars import first_sentence
 
     b = table(spark, sf_dir, "benchmark")
     k = F.col("item_id") % 3
-    shown = F.when(k == 0, F.upper(first_sentence(F.col("text")))).when(k == 1, F.split("text", " ")[0]).otherwise("")
+    shown = F.when(k == 0, F.upper(F.translate(first_sentence(F.col("text")), "ß", "ẞ"))).when(k == 1, F.split("text", " ")[0]).otherwise("")
     rows = b.select(F.col("item_id").alias("brief_id"), F.lit(0).alias("row_idx"), F.array(shown).alias("on_screen"), F.col("text").alias("said"))
     later = rows.withColumns({"row_idx": F.lit(1), "said": F.lit("never the first row")})
     return D.variant_lines(rows.unionByName(later))
