@@ -23,7 +23,7 @@ def accept_moves(chosen: DataFrame, proposed: DataFrame, plan: DataFrame) -> tup
     """(log, plan): each chosen move with its outcome, and the plan with what was accepted.
 
     chosen: (edit_id, seq, move_id); proposed: (edit_id, move_id, kind, start_us, end_us, look); plan: (edit_id, kind, start_us, end_us, look). Kinds are element, title, punch, transition and effect;
-    proposed moves can be zooms as well. A transition or zoom is at its start_us. A move chosen again counts once, at its first place.
+    proposed moves can be zooms as well. A transition or zoom is at its start_us. A move chosen again counts once, at its first place; moves of equal seq come by the length of their names, then the names: m-2 before m-13.
 
     Outcomes: `unknown` (no such proposal); `present` (an element or title equal to one there; a transition within 50 ms of one there); `overlaps` (a punch or effect over one of its kind); `under_title` (an effect over a
     title); else `accepted`. There is what the plan had or has accepted before. A zoom removes the transitions within 50 ms of it that are there then.
@@ -31,7 +31,9 @@ def accept_moves(chosen: DataFrame, proposed: DataFrame, plan: DataFrame) -> tup
     log: (edit_id, move_id, seq, kind, outcome). What doesn't depend on other choices is settled by joins; the ordered rule sees only moves that meet other choices in time.
     """
     key = ["edit_id", "move_id"]
-    asked = chosen.groupBy(*key).agg(F.min("seq").cast("long").alias("seq")).join(proposed, key, "left")
+    first = chosen.groupBy(*key).agg(F.min("seq").cast("long").alias("seq"))
+    place = F.row_number().over(Window.partitionBy("edit_id").orderBy("seq", F.length(F.col("move_id").cast("string")), "move_id"))
+    asked = first.withColumn("place", place.cast("long")).join(proposed, key, "left")
     real = asked.where("kind is not null")
 
     # elements and titles: equal ones
@@ -41,7 +43,7 @@ def accept_moves(chosen: DataFrame, proposed: DataFrame, plan: DataFrame) -> tup
     equal = F.lit(True)
     for c in same:
         equal = equal & F.col(c).eqNullSafe(F.col(f"p_{c}"))
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("seq"))
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("place"))
     fresh = shown.join(there, equal, "left_anti").withColumn("nth", nth).where("nth = 1").drop("nth")
 
     # punches and effects: spans of a kind, and titles over effects
@@ -49,19 +51,19 @@ def accept_moves(chosen: DataFrame, proposed: DataFrame, plan: DataFrame) -> tup
     over = (F.col("start_us") < F.col("o_end")) & (F.col("o_start") < F.col("end_us"))
 
     def met(moves: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
-        before = F.col("since").isNull() | (F.col("since") < F.col("seq"))
-        return range_join(moves.select(*key, "seq", "kind", "start_us", "end_us"), others, on, ("start_us", "end_us"), ("o_start", "o_end"), over & before).select(*key).distinct()
+        before = F.col("since").isNull() | (F.col("since") < F.col("place"))
+        return range_join(moves.select(*key, "place", "kind", "start_us", "end_us"), others, on, ("start_us", "end_us"), ("o_start", "o_end"), over & before).select(*key).distinct()
 
     def others(df: DataFrame, since: Column, *columns: str) -> DataFrame:
         return df.select("edit_id", *columns, F.col("start_us").alias("o_start"), F.col("end_us").alias("o_end"), since.alias("since"))
 
     never = F.lit(None).cast("long")
-    titles = others(plan.where("kind = 'title'"), never).unionByName(others(fresh.where("kind = 'title'"), F.col("seq")))
+    titles = others(plan.where("kind = 'title'"), never).unionByName(others(fresh.where("kind = 'title'"), F.col("place")))
     titled = met(spans.where("kind = 'effect'"), titles, ["edit_id"])
     taken = met(spans, others(plan, never, "kind"), ["edit_id", "kind"])
     free = spans.join(taken, key, "left_anti").join(titled, key, "left_anti")
-    apart = choose_apart(free, ["edit_id", "kind"], ["seq"])
-    also_over = met(spans.join(titled, key, "left_semi"), others(apart, F.col("seq"), "kind"), ["edit_id", "kind"])
+    apart = choose_apart(free, ["edit_id", "kind"], ["place"])
+    also_over = met(spans.join(titled, key, "left_semi"), others(apart, F.col("place"), "kind"), ["edit_id", "kind"])
     under = titled.join(taken, key, "left_anti").join(also_over, key, "left_anti")
 
     turns, live = _transitions(real.where(F.col("kind").isin("transition", "zoom")), plan.where("kind = 'transition'"))
@@ -80,7 +82,7 @@ def accept_moves(chosen: DataFrame, proposed: DataFrame, plan: DataFrame) -> tup
 
 def _transitions(moves: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted transitions, the plan's transitions afterwards). Moments less than 50 ms apart, one by one, form a stretch; only stretches with a choice go through the ordered rule."""
-    every = moves.select(*_PLAN, "seq", "move_id").unionByName(plan.select(*_PLAN, F.lit(-1).cast("long").alias("seq"), F.lit(None).cast(moves.schema["move_id"].dataType).alias("move_id")))
+    every = moves.select(*_PLAN, F.col("place").alias("seq"), "move_id").unionByName(plan.select(*_PLAN, F.lit(-1).cast("long").alias("seq"), F.lit(None).cast(moves.schema["move_id"].dataType).alias("move_id")))
     by_time = Window.partitionBy("edit_id").orderBy("start_us")
     apart = F.col("start_us") - F.lag("start_us").over(by_time) >= SAME_CUT_US
     placed = every.withColumn("_opens", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("stretch", F.sum("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")

@@ -77,3 +77,18 @@ def test_events_of_a_days_last_half_second(spark, tmp_path):
     e = pa.table({"event_id": pa.array(range(5), pa.int64()), "ts": pa.array(at, pa.timestamp("us")), "user_id": pa.array([1] * 5, pa.int64()), "event_type": ["view"] * 5, "value": [10.0, 50.0, 10.0, 50.0, 39.0], "props": ["{}"] * 5})
     got, want = both(spark, tmp_path, "stream_qa_rollup", events=e)
     assert got == want == [(19723, "view", 2, 1), (19724, "view", 3, 1)]
+
+
+def test_moves_of_one_place_in_turn(spark):
+    from tempora.operators import moves
+
+    # m-2 and m-13 have the same seq, as have a title and the effect under it; the names decide, whatever the order of the rows
+    chosen = [(1, 4, "m-13"), (1, 4, "m-2"), (2, 7, "m-12"), (2, 7, "m-1"), (3, 5, "m-15"), (3, 5, "m-4")]
+    proposed = [(1, "m-13", "punch", 0, 90, None), (1, "m-2", "punch", 50, 120, None), (2, "m-1", "effect", 0, 90, None), (2, "m-12", "title", 50, 120, None), (3, "m-4", "transition", 90_000, 90_000, None), (3, "m-15", "transition", 60_000, 60_000, None)]
+    kinds = "edit_id long, {}kind string, start_us long, end_us long, look string"
+    log, plan = moves.accept_moves(
+        spark.createDataFrame(chosen, "edit_id long, seq long, move_id string"), spark.createDataFrame(proposed, kinds.format("move_id string, ")), spark.createDataFrame([], kinds.format(""))
+    )
+    told = {(r["edit_id"], r["move_id"]): r["outcome"] for r in log.collect()}
+    assert told == {(1, "m-2"): "accepted", (1, "m-13"): "overlaps", (2, "m-1"): "accepted", (2, "m-12"): "accepted", (3, "m-4"): "accepted", (3, "m-15"): "present"}
+    assert {tuple(r)[:3] for r in plan.collect()} == {(1, "punch", 50), (2, "effect", 0), (2, "title", 50), (3, "transition", 90_000)}
