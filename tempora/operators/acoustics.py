@@ -23,29 +23,80 @@ def _frame(c: Column) -> Column:
     return F.floor((c + FRAME_US // 2) / FRAME_US)
 
 
-def voiced(windows: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
-    """(key, frame_no, run_end): frames with voice in each window (key, source_id, w_lo, w_hi), and where their run ends.
+#: Frames are kept in blocks of so many, an array each.
+BLOCK = 100
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is found once: a plain column would be worked out anew for each element of an array that f goes over."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _blocks(windows: DataFrame, frames: DataFrame) -> DataFrame:
+    """(source_id, block, levels): the frames of the blocks that windows (source_id, lo_frame, hi_frame) touch, as arrays of (frame_no, level).
+
+    Which blocks of a recording are asked for is a list of flags from its first on, so frames (of which most are in no window) meet it one by one, where they are, and only those asked for are sorted and
+    sent on.
+    """
+    asked = windows.select("source_id", F.explode(F.sequence(F.floor(F.col("lo_frame") / BLOCK), F.floor((F.col("hi_frame") - 1) / BLOCK))).alias("b"))
+    listed = asked.groupBy("source_id").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    since = lambda bs, b, i: b - F.coalesce(F.get(bs, i - 1), b - 1) - 1
+    flags = _let(F.col("bs"), lambda bs: F.flatten(F.transform(bs, lambda b, i: F.concat(F.array_repeat(F.lit(False), since(bs, b, i).cast("int")), F.array(F.lit(True))))))
+    wanted = listed.select("source_id", F.col("bs")[0].alias("first_block"), flags.alias("asked"))
+    each = frames.select("source_id", "frame_no", "level_db10", F.floor(F.col("frame_no") / BLOCK).alias("block")).join(wanted.hint("shuffle_hash"), "source_id")
+    kept = each.where(F.get("asked", (F.col("block") - F.col("first_block")).cast("int")))
+    return kept.groupBy("source_id", "block").agg(F.collect_list(F.struct("frame_no", "level_db10")).alias("levels"))
+
+
+def _share(c: Column, share: float) -> Column:
+    """The given share of a sorted array, between two of its values in proportion."""
+    at = (F.size(c) - 1) * F.lit(share)
+    low, high = F.get(c, F.floor(at).cast("int")).cast("double"), F.get(c, F.ceil(at).cast("int")).cast("double")
+    return low * (1 - (at - F.floor(at))) + high * (at - F.floor(at))
+
+
+def voice_runs(windows: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
+    """(key, runs): the runs of frames with voice in each window (key, source_id, w_lo, w_hi), in time, as an array of (first, last).
 
     frames: (source_id, frame_no, level_db10), 10 ms each. The threshold is measured inside the window: a fifth of the way from the floor (10th percentile) to the peaks (95th), 8 dB above the floor at
-    least; where both lie within 10 dB there is no voice. Runs have three frames at least. A window holds some hundred frames, whatever the recording's length.
+    least; where both lie within 10 dB there is no voice. Runs have three frames at least. A window holds some hundred frames, whatever the recording's length: they travel as arrays, a row a block and a
+    window, and are looked at in one row.
     """
-    at = frames.select("source_id", "frame_no", "level_db10", (F.col("frame_no") * FRAME_US).alias("f0"), (F.col("frame_no") * FRAME_US + FRAME_US - 1).alias("f1"))
-    met = range_join(windows, at, ["source_id"], ("w_lo", "w_hi"), ("f0", "f1"), (F.col("frame_no") >= _frame(F.col("w_lo"))) & (F.col("frame_no") < F.floor(F.col("w_hi") / FRAME_US)))
-    whole = Window.partitionBy(*key)
-    floor, peak = F.expr("percentile(level_db10, 0.1)").over(whole), F.expr("percentile(level_db10, 0.95)").over(whole)
-    span = F.col("peak") - F.col("low")
-    loud = met.withColumns({"low": floor, "peak": peak}).where((span >= 100) & (F.col("level_db10") - F.col("low") > F.greatest(F.lit(80.0), span / 5)))
-    run = F.col("frame_no") - F.row_number().over(whole.orderBy("frame_no"))
-    by_run = Window.partitionBy(*key, "run")
-    return loud.withColumn("run", run).withColumns({"size": F.count("*").over(by_run), "run_end": F.max("frame_no").over(by_run) + 1}).where(F.col("size") >= MIN_RUN).select(*key, "frame_no", "run_end")
+    spans = windows.select(*key, "source_id", _frame(F.col("w_lo")).alias("lo_frame"), F.floor(F.col("w_hi") / FRAME_US).alias("hi_frame")).where("lo_frame < hi_frame")
+    each = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo_frame") / BLOCK), F.floor((F.col("hi_frame") - 1) / BLOCK))))
+    met = each.join(_blocks(spans, frames), ["source_id", "block"])
+    inside = F.filter("levels", lambda x: (x["frame_no"] >= F.col("lo_frame")) & (x["frame_no"] < F.col("hi_frame")))
+    held = met.select(*key, inside.alias("levels")).groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("levels"))).alias("levels"))
+    level = lambda x: x["level_db10"]
+    edges = lambda v: F.struct(_share(v, 0.1).alias("low"), (_share(v, 0.95) - _share(v, 0.1)).alias("span"))
+    over = lambda t, x: (t["e"]["span"] >= 100) & (level(x) - t["e"]["low"] > F.greatest(F.lit(80.0), t["e"]["span"] / 5))
+    with_edges = lambda v: F.struct(v.alias("v"), _let(F.array_sort(F.transform(v, level)), edges).alias("e"))
+    loud = _let(_let(F.col("levels"), with_edges), lambda t: F.transform(F.filter(t["v"], lambda x: over(t, x)), lambda x: x["frame_no"]))
+    return held.select(*key, _let(loud, _runs).alias("runs"))
+
+
+def _runs(loud: Column) -> Column:
+    """Sorted frame numbers as runs (first, last) of MIN_RUN or more."""
+    firsts = F.filter(loud, lambda x, i: ~F.coalesce(F.get(loud, i - 1) == x - 1, F.lit(False)))
+    lasts = F.filter(loud, lambda x, i: ~F.coalesce(F.get(loud, i + 1) == x + 1, F.lit(False)))
+    return F.filter(F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), lambda r: r["last"] - r["first"] + 1 >= MIN_RUN)
+
+
+def voiced(windows: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
+    """(key, frame_no, run_end): frames with voice in each window as in `voice_runs`, a row each, and where their run ends."""
+    each = voice_runs(windows, frames, key).select(*key, F.explode("runs").alias("r"))
+    return each.select(*key, F.explode(F.sequence("r.first", "r.last")).alias("frame_no"), (F.col("r.last") + 1).alias("run_end"))
 
 
 def check_tail(edits: DataFrame, frames: DataFrame, recordings: DataFrame) -> DataFrame:
     """(edit_id, tail_us): speech right behind each edit's last word (edit_id, source_id, end_us), up to 0.3 s; above 0 a word is cut."""
     w = edits.join(recordings.select("source_id", "duration_us"), "source_id")
     w = w.withColumns({"w_lo": F.greatest(F.lit(0).cast("long"), F.col("end_us") - CONTEXT_US), "w_hi": F.least(F.col("duration_us"), F.col("end_us") + CONTEXT_US), "at": _frame(F.col("end_us"))})
-    heard = voiced(w.where(F.col("end_us") < F.col("duration_us") - FRAME_US).select("edit_id", "source_id", "w_lo", "w_hi", "at"), frames, ["edit_id", "at"]).where("frame_no = at")
-    tail = F.least(F.col("run_end") - F.col("at"), F.lit(TAIL_US // FRAME_US)) * FRAME_US
+    heard = voice_runs(w.where(F.col("end_us") < F.col("duration_us") - FRAME_US).select("edit_id", "source_id", "w_lo", "w_hi", "at"), frames, ["edit_id", "at"])
+    around = F.filter("runs", lambda r: (r["first"] <= F.col("at")) & (F.col("at") <= r["last"]))
+    last = F.get(around, F.lit(0))["last"]
+    heard = heard.select("edit_id", "at", last.alias("last"))
+    tail = F.when(F.col("last").isNotNull(), F.least(F.col("last") + 1 - F.col("at"), F.lit(TAIL_US // FRAME_US)) * FRAME_US)
     return edits.select("edit_id").join(heard.select("edit_id", tail.alias("tail_us")), "edit_id", "left").select("edit_id", F.coalesce("tail_us", F.lit(0)).cast("long").alias("tail_us"))
 
 
@@ -73,8 +124,10 @@ def acoustic_edges(ranges: DataFrame, words: DataFrame, frames: DataFrame, recor
     spans = ends.select(*key, "source_id", "duration_us", F.col("b.next_start").alias("next_start"), F.explode(sides).alias("s")).select(*key, "source_id", "duration_us", "next_start", "s.*")
     spans = spans.where((F.col("side") == "in") | (F.col("hi") - F.col("lo") >= FRAME_US * MIN_RUN))
     windows = spans.select(*key, "side", "source_id", F.greatest(F.lit(0).cast("long"), F.col("lo") - CONTEXT_US).alias("w_lo"), (F.col("hi") + CONTEXT_US).alias("w_hi"))
-    inside = spans.join(voiced(windows, frames, [*key, "side"]), [*key, "side"]).where((F.col("frame_no") >= _frame(F.col("lo"))) & (F.col("frame_no") < _frame(F.col("hi"))))
-    found = inside.groupBy(*key, "side", "lo", "hi", "next_start", "duration_us").agg((F.min("frame_no") * FRAME_US).alias("onset"), ((F.max("frame_no") + 1) * FRAME_US).alias("offset"))
+    heard = spans.withColumns({"lo_frame": _frame(F.col("lo")), "hi_frame": _frame(F.col("hi"))}).join(voice_runs(windows, frames, [*key, "side"]), [*key, "side"])
+    inside = heard.withColumn("runs", F.filter("runs", lambda r: (r["last"] >= F.col("lo_frame")) & (r["first"] < F.col("hi_frame")))).where("size(runs) > 0 and lo_frame < hi_frame")
+    onset, offset = F.greatest(F.col("runs")[0]["first"], "lo_frame"), F.least(F.element_at("runs", -1)["last"] + 1, "hi_frame")
+    found = inside.withColumns({"onset": onset * FRAME_US, "offset": offset * FRAME_US})
     new_in = F.when(F.floor(F.col("onset") / FRAME_US) > _frame(F.col("lo")), F.greatest(F.lit(0).cast("long"), F.col("onset") - F.least(F.lit(breath), F.col("onset") - F.col("lo"))))
     room = F.when(F.col("next_start").isNotNull(), F.greatest(F.lit(0).cast("long"), F.col("hi") - F.col("offset"))).otherwise(breath)
     new_out = F.least(F.col("offset") + F.least(F.lit(breath).cast("long"), room), "duration_us", F.coalesce("next_start", "duration_us"))

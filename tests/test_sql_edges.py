@@ -92,3 +92,17 @@ def test_moves_of_one_place_in_turn(spark):
     told = {(r["edit_id"], r["move_id"]): r["outcome"] for r in log.collect()}
     assert told == {(1, "m-2"): "accepted", (1, "m-13"): "overlaps", (2, "m-1"): "accepted", (2, "m-12"): "accepted", (3, "m-4"): "accepted", (3, "m-15"): "present"}
     assert {tuple(r)[:3] for r in plan.collect()} == {(1, "punch", 50), (2, "effect", 0), (2, "title", 50), (3, "transition", 90_000)}
+
+
+def test_frames_travel_as_blocks(spark):
+    from tempora.operators import acoustics as X
+
+    # loud from 0.9 s to 1.1 s, over the edge of a block, and for two frames at 1.5 s, which is no run
+    rows = [(1, n, -200 if 90 <= n < 110 or n in (150, 151) else -600) for n in range(300)] + [(2, n, -600) for n in range(300)]
+    frames = spark.createDataFrame(rows, "source_id long, frame_no long, level_db10 long")
+    windows = spark.createDataFrame([(7, 1, 0, 2_000_000), (8, 1, 950_000, 2_000_000), (9, 2, 0, 2_000_000), (10, 1, 2_990_000, 2_990_000), (11, 1, 600_000, 5_000_000)], "k long, source_id long, w_lo long, w_hi long")
+    got = {r["k"]: [tuple(x) for x in r["runs"]] for r in X.voice_runs(windows, frames, ["k"]).collect()}
+    assert got == {7: [(90, 109)], 8: [(95, 109)], 9: [], 11: [(90, 109)]}
+    plan = X.voice_runs(windows, frames, ["k"])._jdf.queryExecution().executedPlan().toString()
+    # what meets windows are blocks, not frames
+    assert "collect_list" in plan and "ShuffledHashJoin" in plan and "_bin" not in plan
