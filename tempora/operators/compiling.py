@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -43,65 +45,96 @@ def compile_items(
     (edit_id, item_idx, problem, at_least_us, at_most_pct): no_transcript, voice_outlasts_picture (with the end, and the speed if one is slow enough, that would do), nothing_left (no item). An edit
     with a refusal has no ranges.
 
-    Edits share the work on a recording: instants are snapped, spans cut and pieces quoted once each, whatever number of items ask for them.
+    Edits share the work on a recording: what becomes of a stretch of it (`_stretches`) is found once, whatever number of items ask for it. Items then meet their stretches, go to their edit once, and all
+    that concerns a whole edit is windows there.
     """
-    kept = items.where(F.col("action").isin("keep", "tighten")).withColumns(
-        {
-            "heard": F.coalesce("audio_source", "source_id"),
-            "lo": F.when(F.col("audio_source").isNotNull(), F.col("audio_start")).otherwise(F.col("start_us")),
-            "hi": F.when(F.col("audio_source").isNotNull(), F.col("audio_end")).otherwise(F.col("end_us")),
-        }
-    )
-    known = kept.join(recordings.select(F.col("source_id").alias("heard")), "heard", "left_semi")
-    missing = kept.join(recordings.select(F.col("source_id").alias("heard")), "heard", "left_anti")
-    spoken = known.select("edit_id", F.col("item_idx").alias("range_idx"), F.col("heard").alias("source_id"), F.col("lo").alias("start_us"), F.col("hi").alias("end_us"))
-    snapped = snap_ranges(spoken, words, recordings, ["edit_id", "range_idx"]).select("edit_id", "range_idx", "source_id", F.col("snap_start").alias("start_us"), F.col("snap_end").alias("end_us"))
-    if frames is not None:
-        snapped = acoustic_edges(snapped, words, frames, recordings, padding_us)
-    held = known.join(snapped.select("edit_id", F.col("range_idx").alias("item_idx"), F.col("start_us").alias("low"), F.col("end_us").alias("high")), ["edit_id", "item_idx"])
-
     picture = F.floor((F.col("end_us") - F.col("start_us")) * 100 / F.col("speed_pct"))
-    if frames is not None:
-        held = held.withColumn("high", F.when(F.col("audio_source").isNotNull(), F.least("high", F.col("low") + picture)).otherwise(F.col("high")))
-    held = written(held, "compiled-items")
-    dubbed = held.where("audio_source is not null").withColumn("voice", F.col("high") - F.col("low"))
-    outlasts = F.col("voice") > picture + VOICE_TOLERANCE_US
-    slower = F.floor((F.col("end_us") - F.col("start_us")) * 100 / F.col("voice"))
-    item = ["edit_id", "item_idx", F.coalesce("order_no", "item_idx").alias("place"), "source_id", "speed_pct", "zoom_pct", "beat"]
-    voices = dubbed.where(~outlasts).select(
-        *item, "start_us", (F.col("start_us") + F.floor(F.col("voice") * F.col("speed_pct") / 100)).alias("end_us"), "audio_source", F.col("low").alias("audio_start"), F.col("high").alias("audio_end"),
-        "heard", F.lit(0).cast("long").alias("piece"), F.lit("").alias("cut_ids"), F.col("low").alias("s_start"), F.col("high").alias("s_end"),
+    voiced = F.col("audio_source").isNotNull()
+    kept = items.where(F.col("action").isin("keep", "tighten")).select(
+        "edit_id", "item_idx", F.coalesce("order_no", "item_idx").alias("place"), "source_id", "start_us", "end_us", "audio_source", "speed_pct", "zoom_pct", "beat",
+        F.coalesce("audio_source", "source_id").alias("heard"), F.when(voiced, F.col("audio_start")).otherwise(F.col("start_us")).alias("lo"), F.when(voiced, F.col("audio_end")).otherwise(F.col("end_us")).alias("hi"),
+        (~voiced).alias("own"), F.when(voiced & F.lit(frames is not None), picture).cast("long").alias("most"),
     )
+    kept = written(kept, "kept-items")
+    asked = _stretches(kept.select(*ASKED).distinct(), words, recordings, frames, padding_us)
 
-    own = held.where("audio_source is null")
-    spans = own.select("source_id", F.col("source_id").alias("of"), F.col("low").alias("start_us"), F.col("high").alias("end_us"), "low", "high").distinct()
-    pieces = subtract(spans, disjoint_cuts(cuts), "source_id", ["of", "low", "high"], PIECE_US)
-    pieces = pieces.select("source_id", "low", "high", "piece", F.col("start_us").alias("s_start"), F.col("end_us").alias("s_end"), F.array_join("cut_ids", ",").alias("cut_ids"))
-    plain = own.drop("start_us", "end_us").join(pieces, ["source_id", "low", "high"]).select(
-        *item, F.col("s_start").alias("start_us"), F.col("s_end").alias("end_us"), "audio_source", F.lit(None).cast("long").alias("audio_start"), F.lit(None).cast("long").alias("audio_end"),
-        "heard", "piece", "cut_ids", "s_start", "s_end",
-    )
+    voice = F.col("high") - F.col("low")
+    outlasts = ~F.col("own") & (voice > picture + VOICE_TOLERANCE_US)
+    until = F.col("start_us") + F.floor(voice * F.col("speed_pct") / 100)
+    slower = F.floor((F.col("end_us") - F.col("start_us")) * 100 / voice)
+
+    def held(pieces: DataFrame) -> DataFrame:
+        """Items with the pieces of their stretch and with their problem, if there is one."""
+        of = pieces.select(*[F.col(c).alias("_" + c) for c in ASKED], "known", "low", "high", "pieces")
+        alike = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_" + c)) for c in ASKED])
+        problem = F.when(~F.col("known"), "no_transcript").when(outlasts, "voice_outlasts_picture")
+        return kept.join(of, alike).select(*kept.columns, "low", "high", "pieces", problem.alias("problem"))
 
     none = F.lit(None).cast("long")
-    refusals = missing.select("edit_id", "item_idx", F.lit("no_transcript").alias("problem"), none.alias("at_least_us"), none.alias("at_most_pct")).unionByName(
-        dubbed.where(outlasts).select(
-            "edit_id", "item_idx", F.lit("voice_outlasts_picture").alias("problem"), (F.col("start_us") + F.floor(F.col("voice") * F.col("speed_pct") / 100)).alias("at_least_us"),
-            F.when(slower >= SLOWEST_PCT, slower).alias("at_most_pct"),
-        )
-    )
-    every = written(plain.unionByName(voices).join(refusals.select("edit_id").distinct(), "edit_id", "left_anti"), "compiled-pieces")
-    left = items.select("edit_id").distinct().join(every.select("edit_id").unionByName(refusals.select("edit_id")).distinct(), "edit_id", "left_anti")
-    refusals = refusals.unionByName(left.select("edit_id", none.alias("item_idx"), F.lit("nothing_left").alias("problem"), none.alias("at_least_us"), none.alias("at_most_pct")))
-
-    asked = every.select(F.col("heard").alias("source_id"), "s_start", "s_end").distinct().withColumn("span_id", F.concat_ws("-", "source_id", "s_start", "s_end"))
-    quotes = words_in(asked, words).select("span_id", F.substring("quote", 1, QUOTE_CHARS).alias("quote"))
-    order = Window.partitionBy("edit_id").orderBy("place", "item_idx", "piece")
-    told = every.withColumn("span_id", F.concat_ws("-", "heard", "s_start", "s_end")).join(quotes, "span_id", "left").withColumns(
-        {"range_idx": (F.row_number().over(order) - 1).cast("long"), "quote": F.coalesce("quote", F.lit("")), "_speed": F.col("speed_pct")}
-    )
-    # a range with another's voice, like one at another speed, is no part of a take
-    seams = join_seams(told.withColumn("speed_pct", F.when(F.col("audio_source").isNull(), F.col("speed_pct")).otherwise(0)), min_gap_us)
-    ranges = seams.withColumn("speed_pct", F.col("_speed")).select(
+    told = held(_cut(asked, cuts))
+    late = F.col("problem") == "voice_outlasts_picture"
+    refused = told.where("problem is not null").select("edit_id", "item_idx", "problem", F.when(late, until).alias("at_least_us"), F.when(late & (slower >= SLOWEST_PCT), slower).alias("at_most_pct"))
+    settled = told.where("problem is not null or size(pieces) > 0").select("edit_id").distinct()
+    left = items.select("edit_id").distinct().join(settled, "edit_id", "left_anti")
+    refusals = refused.unionByName(left.select("edit_id", none.alias("item_idx"), F.lit("nothing_left").alias("problem"), none.alias("at_least_us"), none.alias("at_most_pct")))
+
+    edit, order = Window.partitionBy("edit_id"), Window.partitionBy("edit_id").orderBy("place", "item_idx", "piece")
+    every = held(_quoted(_cut(asked, cuts), words)).withColumn("refused", F.max(F.col("problem").isNotNull()).over(edit)).where("not refused")
+    each = every.withColumn("p", F.explode("pieces")).select("*", F.col("p.piece").alias("piece"))
+    told = each.select(
+        "edit_id", "item_idx", "source_id", F.when(F.col("own"), F.col("p.s_start")).otherwise(F.col("start_us")).alias("start_us"), F.when(F.col("own"), F.col("p.s_end")).otherwise(until).alias("end_us"),
+        "audio_source", F.when(~F.col("own"), F.col("low")).alias("audio_start"), F.when(~F.col("own"), F.col("high")).alias("audio_end"), F.col("speed_pct").alias("_speed"), "zoom_pct", "beat",
+        F.coalesce("p.quote", F.lit("")).alias("quote"), F.col("p.cut_ids").alias("cut_ids"), (F.row_number().over(order) - 1).cast("long").alias("range_idx"),
+        # a range with another's voice, like one at another speed, is no part of a take
+        F.when(F.col("own"), F.col("speed_pct")).otherwise(0).alias("speed_pct"),
+    )
+    ranges = join_seams(told, min_gap_us).withColumn("speed_pct", F.col("_speed")).select(
         "edit_id", "range_idx", "item_idx", "source_id", "start_us", "end_us", "audio_source", "audio_start", "audio_end", "speed_pct", "zoom_pct", "beat", "quote", "cut_ids", "transition_in"
     )
     return ranges, refusals
+
+
+#: What tells stretches of recordings apart: whose, from where to where, whether seen too, and the most that a voice under a picture may last.
+ASKED = ["heard", "lo", "hi", "own", "most"]
+
+
+def _stretches(asked: DataFrame, words: DataFrame, recordings: DataFrame, frames: DataFrame | None, padding_us: int) -> DataFrame:
+    """asked (ASKED) with known, low and high: whether the recording is known, and the stretch after snapping."""
+    spans = asked.select(F.col("heard").alias("source_id"), F.col("lo").alias("start_us"), F.col("hi").alias("end_us")).where("start_us is not null and end_us is not null").distinct()
+    spans = spans.join(recordings.select("source_id"), "source_id", "left_semi")
+    met = words.join(spans.select("source_id").distinct(), "source_id", "left_semi")
+    snapped = snap_ranges(spans, met, recordings)
+    moved = snapped.select(F.col("source_id").alias("heard"), F.col("start_us").alias("lo"), F.col("end_us").alias("hi"), F.col("snap_start").alias("low"), F.col("snap_end").alias("high"))
+    if frames is not None:
+        id = F.concat_ws("-", "heard", "lo", "hi")
+        ranges = moved.select(id.alias("edit_id"), F.lit(0).cast("long").alias("range_idx"), F.col("heard").alias("source_id"), F.col("low").alias("start_us"), F.col("high").alias("end_us"))
+        edges = acoustic_edges(ranges, met, frames, recordings, padding_us).select("edit_id", F.col("start_us").alias("low"), F.col("end_us").alias("high"))
+        moved = moved.drop("low", "high").withColumn("edit_id", id).join(edges, "edit_id").drop("edit_id")
+    ids = recordings.select(F.col("source_id").alias("heard"), F.lit(True).alias("_known")).distinct()
+    out = asked.join(moved, ["heard", "lo", "hi"], "left").join(ids, "heard", "left")
+    high = F.when(F.col("most").isNotNull(), F.least("high", F.col("low") + F.col("most"))).otherwise(F.col("high"))
+    return written(out.select(*ASKED, F.coalesce("_known", F.lit(False)).alias("known"), "low", high.alias("high")), "compiled-stretches")
+
+
+def _cut(stretches: DataFrame, cuts: DataFrame) -> DataFrame:
+    """stretches with pieces (piece, s_start, s_end, cut_ids): what the cuts leave of one that is seen too, a voice as a whole."""
+    spans = stretches.where("own and known and low is not null").select("heard", "low", "high").distinct()
+    whole = spans.select(F.col("heard").alias("source_id"), F.col("heard").alias("of"), F.col("low").alias("start_us"), F.col("high").alias("end_us"), "low", "high")
+    left = subtract(whole, disjoint_cuts(cuts), "source_id", ["of", "low", "high"], PIECE_US)
+    piece = F.struct("piece", F.col("start_us").alias("s_start"), F.col("end_us").alias("s_end"), F.array_join("cut_ids", ",").alias("cut_ids"))
+    per = left.groupBy(F.col("source_id").alias("heard"), "low", "high").agg(F.array_sort(F.collect_list(piece)).alias("_left"))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("piece"), F.col("low").alias("s_start"), F.col("high").alias("s_end"), F.lit("").alias("cut_ids")))
+    none = F.array().cast("array<struct<piece:bigint,s_start:bigint,s_end:bigint,cut_ids:string>>")
+    pieces = F.when(~F.col("known") | F.col("low").isNull(), none).when(F.col("own"), F.coalesce("_left", none)).otherwise(one)
+    return stretches.join(per, ["heard", "low", "high"], "left").select(*ASKED, "known", "low", "high", pieces.alias("pieces"))
+
+
+def _quoted(stretches: DataFrame, words: DataFrame) -> DataFrame:
+    """stretches with what is said in each of their pieces."""
+    rows = stretches.select("*", F.explode("pieces").alias("p")).select("heard", "p.s_start", "p.s_end").distinct()
+    asked = rows.select(F.col("heard").alias("source_id"), "s_start", "s_end", F.concat_ws("-", "heard", "s_start", "s_end").alias("span_id"))
+    met = words.join(asked.select("source_id").distinct(), "source_id", "left_semi")
+    quotes = words_in(asked, met).select("span_id", F.substring("quote", 1, QUOTE_CHARS).alias("quote"))
+    each = stretches.select(*ASKED, "known", "low", "high", F.explode_outer("pieces").alias("p")).withColumn("span_id", F.concat_ws("-", "heard", "p.s_start", "p.s_end")).join(quotes, "span_id", "left")
+    piece = F.when(F.col("p").isNotNull(), F.struct("p.piece", "p.s_start", "p.s_end", "p.cut_ids", "quote"))
+    return each.groupBy(*ASKED, "known", "low", "high").agg(F.collect_list(piece).alias("pieces"))

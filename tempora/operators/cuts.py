@@ -214,28 +214,31 @@ def allocate_frames(ranges: DataFrame, fps: int = 30) -> DataFrame:
 
 def join_seams(ranges: DataFrame, min_gap_us: int = 300_000) -> DataFrame:
     """ranges with transition_in: neighbours of one take that lie closer than `min_gap_us`, or overlap, meet in the middle: `continuous` where
-    they look the same, else `punch`. A moved start counts for the next seam's guard, so the rule runs in order per edit."""
-
-    def run(rows):
-        rows = list(rows)  # ranges of one edit
-        start, end, how = [r.start_us for r in rows], [r.end_us for r in rows], [None] * len(rows)
-        for i, (p, r) in enumerate(zip(rows, rows[1:], strict=False), 1):
-            if r.source_id != p.source_id or r.speed_pct != 100 or p.speed_pct != 100:
-                continue
-            if start[i] - end[i - 1] >= min_gap_us or start[i] <= start[i - 1] or end[i] <= end[i - 1]:
-                continue
-            seam = (end[i - 1] + start[i]) // 2
-            if seam - start[i - 1] < PIECE_US or end[i] - seam < PIECE_US:
-                continue
-            end[i - 1] = start[i] = seam
-            how[i] = "continuous" if r.zoom_pct == p.zoom_pct else "punch"
-        return [(r.edit_id, r.range_idx, a, b, t) for r, a, b, t in zip(rows, start, end, how, strict=True)]
-
-    moved = fold(
-        ranges.select("edit_id", "range_idx", "source_id", "start_us", "end_us", "zoom_pct", "speed_pct"), ["edit_id"], ["range_idx"], run,
-        "edit_id long, range_idx long, start_us long, end_us long, transition_in string",
+    they look the same, else `punch`.
+
+    A moved start counts for the next seam's guard. So whether a range meets the one before follows from whether that one did, as one of four rules: yes, no, the same, the opposite.
+    Since the last plain yes or no only the opposites count, which windows find without going through the ranges in order.
+    """
+    order = Window.partitionBy("edit_id").orderBy("range_idx")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = {c: F.lag(c).over(order) for c in ("source_id", "start_us", "end_us", "speed_pct", "zoom_pct")}
+    seen = ranges.withColumns({"_" + c: v for c, v in before.items()}).withColumn("_mid", F.shiftright(F.col("_end_us") + F.col("start_us"), 1))
+    seen = seen.withColumn("_before_mid", F.lag("_mid").over(order))
+    near = (
+        F.col("source_id").eqNullSafe(F.col("_source_id")) & (F.col("speed_pct") == 100) & (F.col("_speed_pct") == 100)
+        & (F.col("start_us") - F.col("_end_us") < min_gap_us) & (F.col("end_us") > F.col("_end_us")) & (F.col("end_us") - F.col("_mid") >= PIECE_US)
+    )
+    meets = lambda start: F.coalesce(near & (F.col("start_us") > start) & (F.col("_mid") - start >= PIECE_US), F.lit(False))
+    ruled = seen.withColumns({"_moved": meets(F.col("_before_mid")), "_plain": meets(F.col("_start_us"))})
+    ruled = ruled.withColumn("_turns", F.sum((~F.col("_moved") & F.col("_plain")).cast("long")).over(upto))
+    fixed = F.when(F.col("_moved") == F.col("_plain"), F.struct(F.col("_plain").alias("meets"), F.col("_turns").alias("turns")))
+    ruled = ruled.withColumn("_fixed", F.last(fixed, ignorenulls=True).over(upto))
+    ruled = ruled.withColumn("_meets", F.col("_fixed.meets") != ((F.col("_turns") - F.col("_fixed.turns")) % 2 == 1))
+    seam = F.when(F.col("_meets"), F.col("_mid"))
+    return ruled.select(
+        "edit_id", "range_idx", *[c for c in ranges.columns if c not in ("edit_id", "range_idx", "start_us", "end_us")], F.coalesce(seam, "start_us").alias("start_us"),
+        F.coalesce(F.lead(seam).over(order), "end_us").alias("end_us"), F.when(F.col("_meets"), F.when(F.col("zoom_pct").eqNullSafe(F.col("_zoom_pct")), "continuous").otherwise("punch")).alias("transition_in"),
     )
-    return ranges.drop("start_us", "end_us").join(moved, ["edit_id", "range_idx"])
 
 
 def fit_to_picture(ranges: DataFrame, pictures: DataFrame) -> DataFrame:

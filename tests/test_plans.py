@@ -143,3 +143,36 @@ def test_accepted_moves_depend_on_their_order(spark):
     log, after = outcomes(["e1", "h", "e2", "t2", "z"])
     assert log == {"e1": "accepted", "h": "accepted", "e2": "overlaps", "t2": "present", "z": "accepted"}
     assert after == [("effect", 1_500_000), ("punch", 900_000), ("title", 0)]
+
+
+def _seams(rows):
+    """The rule gone through in order: (start, end, how) of ranges (start, end, speed, zoom, source)."""
+    start, end, how = [r[0] for r in rows], [r[1] for r in rows], [None] * len(rows)
+    for i in range(1, len(rows)):
+        p, r = rows[i - 1], rows[i]
+        seam = (end[i - 1] + start[i]) // 2
+        if r[4] == p[4] and r[2] == p[2] == 100 and start[i] - end[i - 1] < 300_000 and start[i] > start[i - 1] and end[i] > end[i - 1] and seam - start[i - 1] >= 80_000 and end[i] - seam >= 80_000:
+            end[i - 1] = start[i] = seam
+            how[i] = "continuous" if r[3] == p[3] else "punch"
+    return list(zip(start, end, how, strict=True))
+
+
+def test_seams_follow_from_the_one_before_without_another_shuffle(spark):
+    import random
+
+    from tempora.operators.cuts import join_seams
+
+    rng, edits = random.Random(5), {}
+    for e in range(300):
+        at, rows = rng.randrange(100_000), []
+        for _ in range(rng.randrange(1, 12)):
+            rows.append((at, at + rng.randrange(60_000, 260_000, 10_000), rng.choice([100] * 9 + [125]), rng.choice([100, 120]), rng.choice([0] * 9 + [1])))
+            at += rng.randrange(20_000, 260_000, 10_000)
+        edits[e] = rows
+    table = spark.createDataFrame([(e, i, r[4], *r[:4]) for e, rows in edits.items() for i, r in enumerate(rows)], "edit_id long, range_idx long, source_id long, start_us long, end_us long, speed_pct int, zoom_pct int")
+    out = join_seams(table.repartition("edit_id"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.edit_id, r.range_idx)):
+        got.setdefault(r.edit_id, []).append((r.start_us, r.end_us, r.transition_in))
+    assert got == {e: _seams(rows) for e, rows in edits.items()}
