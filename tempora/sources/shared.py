@@ -6,8 +6,11 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Tables of at most so many rows, elements of arrays counted singly, are sent to every executor.
+SENT_ROWS = 500_000
 #: Folders of our own by application, where none is named.
 _OWN: dict[str, str] = {}
 
@@ -39,3 +42,9 @@ def written(df: DataFrame, tag: str, kind: str = "tables") -> DataFrame:
     path = table_path(df.sparkSession, tag, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """A table read from files as a broadcast one if its rows, each counted `size` times, are SENT_ROWS at most; else as it is."""
+    rows = df.agg(F.sum(F.lit(1) if size is None else size)).first()[0] or 0
+    return F.broadcast(df) if rows <= SENT_ROWS else df
