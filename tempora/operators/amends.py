@@ -30,7 +30,8 @@ def snap_to_word(points: DataFrame, words: DataFrame, prefer: str = "nearest") -
     Points of a recording without words stay. Edges and points meet in time bins; only one row a bin is carried over the recording.
     """
     kinds = {"start": [("start_us", 0)], "end": [("end_us", 1)]}.get(prefer, [("start_us", 0), ("end_us", 1)])
-    each = [words.select("source_id", F.col(c).alias("at_us"), F.lit(rank).alias("rank")) for c, rank in kinds]
+    met = words.join(points.select("source_id").distinct(), "source_id", "left_semi")  # recordings without points need no edges
+    each = [met.select("source_id", F.col(c).alias("at_us"), F.lit(rank).alias("rank")) for c, rank in kinds]
     edges = each[0] if len(each) == 1 else each[0].unionByName(each[1])
     edges = edges.groupBy("source_id", "at_us").agg(F.min("rank").alias("rank")).withColumn("edge", F.struct("at_us", "rank"))
     asked = points.select("source_id", "at_us").distinct().withColumn("edge", F.lit(None).cast("struct<at_us:bigint,rank:int>"))

@@ -176,3 +176,12 @@ def test_seams_follow_from_the_one_before_without_another_shuffle(spark):
     for r in sorted(out.collect(), key=lambda r: (r.edit_id, r.range_idx)):
         got.setdefault(r.edit_id, []).append((r.start_us, r.end_us, r.transition_in))
     assert got == {e: _seams(rows) for e, rows in edits.items()}
+
+
+def test_snapping_sorts_only_recordings_that_are_asked_for(spark):
+    from tempora.operators.amends import snap_to_word
+
+    w = spark.createDataFrame([(s, i * 1000, i * 1000 + 600) for s in range(3) for i in range(5)], "source_id long, start_us long, end_us long")
+    out = snap_to_word(spark.createDataFrame([(1, 1100), (1, 1500), (7, 40)], "source_id long, at_us long"), w)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, 1100, 1000), (1, 1500, 1600), (7, 40, 40)]
