@@ -23,8 +23,8 @@ def _frame(c: Column) -> Column:
     return F.floor((c + FRAME_US // 2) / FRAME_US)
 
 
-#: Frames are kept in blocks of so many, an array each.
-BLOCK = 100
+#: Frames are kept in bins of so many times the widest window, an array of stretches each; a bin also holds what windows that begin in it reach behind its end.
+BIN_WINDOWS = 10
 
 
 def _let(value: Column, f) -> Column:
@@ -32,20 +32,26 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _blocks(windows: DataFrame, frames: DataFrame) -> DataFrame:
-    """(source_id, block, levels): the frames of the blocks that windows (source_id, lo_frame, hi_frame) touch, as arrays of (frame_no, level).
+def _cut(first: Column, levels: Column, lo: Column, hi: Column) -> Column:
+    """What of a stretch (number of its first frame, levels) lies in frames lo to hi, hi left out, as a stretch; they share a frame at least."""
+    start, end = F.greatest(first, lo), F.least(first + F.size(levels), hi)
+    return F.struct(start.cast("long").alias("first"), F.slice(levels, (start - first + 1).cast("int"), (end - start).cast("int")).alias("levels"))
 
-    Which blocks of a recording are asked for is a list of flags from its first on, so frames (of which most are in no window) meet it one by one, where they are, and only those asked for are sorted and
-    sent on.
+
+def _bins(frames: DataFrame, reach: int) -> DataFrame:
+    """(source_id, bin, stretches): the frames that windows of up to `reach` frames which begin in a bin may hold.
+
+    Frames come as stretches (source_id, frame_no of the first, levels), or a row each (source_id, frame_no, level_db10).
     """
-    asked = windows.select("source_id", F.explode(F.sequence(F.floor(F.col("lo_frame") / BLOCK), F.floor((F.col("hi_frame") - 1) / BLOCK))).alias("b"))
-    listed = asked.groupBy("source_id").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    since = lambda bs, b, i: b - F.coalesce(F.get(bs, i - 1), b - 1) - 1
-    flags = _let(F.col("bs"), lambda bs: F.flatten(F.transform(bs, lambda b, i: F.concat(F.array_repeat(F.lit(False), since(bs, b, i).cast("int")), F.array(F.lit(True))))))
-    wanted = listed.select("source_id", F.col("bs")[0].alias("first_block"), flags.alias("asked"))
-    each = frames.select("source_id", "frame_no", "level_db10", F.floor(F.col("frame_no") / BLOCK).alias("block")).join(wanted.hint("shuffle_hash"), "source_id")
-    kept = each.where(F.get("asked", (F.col("block") - F.col("first_block")).cast("int")))
-    return kept.groupBy("source_id", "block").agg(F.collect_list(F.struct("frame_no", "level_db10")).alias("levels"))
+    size = BIN_WINDOWS * reach
+    levels = F.col("levels") if "levels" in frames.columns else F.array("level_db10")
+    runs = frames.select("source_id", F.col("frame_no").alias("first"), levels.alias("levels")).where("size(levels) > 0")
+    bins = F.sequence(F.floor((F.col("first") - reach) / size), F.floor((F.col("first") + F.size("levels") - 1) / size))
+    each = runs.select("source_id", "first", "levels", F.explode(bins).alias("bin"))
+    # a stretch that begins past the reach of the bin before its own is in it by rounding only
+    lo, hi = F.col("bin") * size, (F.col("bin") + 1) * size + reach
+    each = each.where((F.col("first") < hi) & (F.col("first") + F.size("levels") > lo))
+    return each.select("source_id", "bin", _cut(F.col("first"), F.col("levels"), lo, hi).alias("s")).groupBy("source_id", "bin").agg(F.collect_list("s").alias("stretches"))
 
 
 def _share(c: Column, share: float) -> Column:
@@ -55,18 +61,21 @@ def _share(c: Column, share: float) -> Column:
     return low * (1 - (at - F.floor(at))) + high * (at - F.floor(at))
 
 
-def voice_runs(windows: DataFrame, frames: DataFrame, key: list[str]) -> DataFrame:
+def voice_runs(windows: DataFrame, frames: DataFrame, key: list[str], widest_us: int | None = None) -> DataFrame:
     """(key, runs): the runs of frames with voice in each window (key, source_id, w_lo, w_hi), in time, as an array of (first, last).
 
-    frames: (source_id, frame_no, level_db10), 10 ms each. The threshold is measured inside the window: a fifth of the way from the floor (10th percentile) to the peaks (95th), 8 dB above the floor at
-    least; where both lie within 10 dB there is no voice. Runs have three frames at least. A window holds some hundred frames, whatever the recording's length: they travel as arrays, a row a block and a
-    window, and are looked at in one row.
+    frames: (source_id, frame_no, level_db10), 10 ms each, or stretches of them (source_id, frame_no of the first, levels). The threshold is measured inside the window: a fifth of the way from the floor
+    (10th percentile) to the peaks (95th), 8 dB above the floor at least; where both lie within 10 dB there is no voice. Runs have three frames at least. A window holds some hundred frames, whatever the
+    recording's length, and is looked at in one row: it meets the one bin of frames that it begins in, which holds all of it. widest_us: what no window is longer than; without it, they are looked through.
     """
     spans = windows.select(*key, "source_id", _frame(F.col("w_lo")).alias("lo_frame"), F.floor(F.col("w_hi") / FRAME_US).alias("hi_frame")).where("lo_frame < hi_frame")
-    each = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo_frame") / BLOCK), F.floor((F.col("hi_frame") - 1) / BLOCK))))
-    met = each.join(_blocks(spans, frames), ["source_id", "block"])
-    inside = F.filter("levels", lambda x: (x["frame_no"] >= F.col("lo_frame")) & (x["frame_no"] < F.col("hi_frame")))
-    held = met.select(*key, inside.alias("levels")).groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("levels"))).alias("levels"))
+    reach = spans.agg(F.max(F.col("hi_frame") - F.col("lo_frame"))).first()[0] or 1 if widest_us is None else widest_us // FRAME_US + 1
+    # windows are the small side: bins aren't sorted
+    met = _bins(frames, reach).join(spans.withColumn("bin", F.floor(F.col("lo_frame") / (BIN_WINDOWS * reach))).hint("shuffle_hash"), ["source_id", "bin"])
+    shares = lambda s: (s["first"] < F.col("hi_frame")) & (s["first"] + F.size(s["levels"]) > F.col("lo_frame"))
+    inside = F.transform(F.filter("stretches", shares), lambda s: _cut(s["first"], s["levels"], F.col("lo_frame"), F.col("hi_frame")))
+    each = F.flatten(F.transform(inside, lambda s: F.transform(s["levels"], lambda x, i: F.struct((s["first"] + i).alias("frame_no"), x.alias("level_db10")))))
+    held = met.select(*key, F.array_sort(each).alias("levels"))
     level = lambda x: x["level_db10"]
     edges = lambda v: F.struct(_share(v, 0.1).alias("low"), (_share(v, 0.95) - _share(v, 0.1)).alias("span"))
     over = lambda t, x: (t["e"]["span"] >= 100) & (level(x) - t["e"]["low"] > F.greatest(F.lit(80.0), t["e"]["span"] / 5))
@@ -92,7 +101,7 @@ def check_tail(edits: DataFrame, frames: DataFrame, recordings: DataFrame) -> Da
     """(edit_id, tail_us): speech right behind each edit's last word (edit_id, source_id, end_us), up to 0.3 s; above 0 a word is cut."""
     w = edits.join(recordings.select("source_id", "duration_us"), "source_id")
     w = w.withColumns({"w_lo": F.greatest(F.lit(0).cast("long"), F.col("end_us") - CONTEXT_US), "w_hi": F.least(F.col("duration_us"), F.col("end_us") + CONTEXT_US), "at": _frame(F.col("end_us"))})
-    heard = voice_runs(w.where(F.col("end_us") < F.col("duration_us") - FRAME_US).select("edit_id", "source_id", "w_lo", "w_hi", "at"), frames, ["edit_id", "at"])
+    heard = voice_runs(w.where(F.col("end_us") < F.col("duration_us") - FRAME_US).select("edit_id", "source_id", "w_lo", "w_hi", "at"), frames, ["edit_id", "at"], 2 * CONTEXT_US)
     around = F.filter("runs", lambda r: (r["first"] <= F.col("at")) & (F.col("at") <= r["last"]))
     last = F.get(around, F.lit(0))["last"]
     heard = heard.select("edit_id", "at", last.alias("last"))
@@ -124,7 +133,7 @@ def acoustic_edges(ranges: DataFrame, words: DataFrame, frames: DataFrame, recor
     spans = ends.select(*key, "source_id", "duration_us", F.col("b.next_start").alias("next_start"), F.explode(sides).alias("s")).select(*key, "source_id", "duration_us", "next_start", "s.*")
     spans = spans.where((F.col("side") == "in") | (F.col("hi") - F.col("lo") >= FRAME_US * MIN_RUN))
     windows = spans.select(*key, "side", "source_id", F.greatest(F.lit(0).cast("long"), F.col("lo") - CONTEXT_US).alias("w_lo"), (F.col("hi") + CONTEXT_US).alias("w_hi"))
-    heard = spans.withColumns({"lo_frame": _frame(F.col("lo")), "hi_frame": _frame(F.col("hi"))}).join(voice_runs(windows, frames, [*key, "side"]), [*key, "side"])
+    heard = spans.withColumns({"lo_frame": _frame(F.col("lo")), "hi_frame": _frame(F.col("hi"))}).join(voice_runs(windows, frames, [*key, "side"], 2 * CONTEXT_US + SEARCH_US + LONG_WORD_US), [*key, "side"])
     inside = heard.withColumn("runs", F.filter("runs", lambda r: (r["last"] >= F.col("lo_frame")) & (r["first"] < F.col("hi_frame")))).where("size(runs) > 0 and lo_frame < hi_frame")
     onset, offset = F.greatest(F.col("runs")[0]["first"], "lo_frame"), F.least(F.element_at("runs", -1)["last"] + 1, "hi_frame")
     found = inside.withColumns({"onset": onset * FRAME_US, "offset": offset * FRAME_US})

@@ -24,11 +24,11 @@ def voiced_sql(key: str) -> str:
 
 
 def _frames(w):
+    """Stretches of frames, one for each word and the time before it."""
     before = F.lag("end_us").over(Window.partitionBy("source_id").orderBy("idx"))
     tiled = w.withColumns({"f0": F.floor(F.col("start_us") / 10_000) + 5, "f1": F.floor(F.col("end_us") / 10_000) + 5, "fb": F.coalesce(F.floor(before / 10_000) + 6, F.lit(0))}).where("fb <= f1")
-    f = F.col("frame_no")
-    each = tiled.select("source_id", "f0", F.explode(F.sequence("fb", "f1")).alias("frame_no"))
-    return each.select("source_id", "frame_no", F.when(f >= F.col("f0"), -200 - f % 7 * 10).otherwise(-600 + f % 5 * 8).alias("level_db10"))
+    level = lambda f: F.when(f >= F.col("f0"), -200 - f % 7 * 10).otherwise(-600 + f % 5 * 8).cast("int")
+    return tiled.select("source_id", F.col("fb").alias("frame_no"), F.transform(F.sequence("fb", "f1"), level).alias("levels"))
 
 
 def _turns(w):

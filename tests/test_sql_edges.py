@@ -122,3 +122,17 @@ def test_a_replay_has_as_many_files_as_its_rows_need(spark):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert len(files) > 4
+
+
+def test_stretches_of_frames_are_read_like_single_ones(spark):
+    from tempora.operators import acoustics as X
+
+    level = [-200 if n % 97 < 25 else -600 + n % 5 for n in range(2_000)]
+    rows = spark.createDataFrame([(1, n, v) for n, v in enumerate(level)], "source_id long, frame_no long, level_db10 long")
+    edges = [0, 1, 450, 1400, 1401, 2000]  # stretches of a frame and over several bins
+    runs = spark.createDataFrame([(1, a, level[a:b]) for a, b in zip(edges, edges[1:])], "source_id long, frame_no long, levels array<int>")
+    windows = spark.createDataFrame([(k, 1, k * 170_000, k * 170_000 + 900_000) for k in range(110)], "k long, source_id long, w_lo long, w_hi long")
+    a, b, c = (X.voice_runs(windows, f, ["k"], widest) for f, widest in ((rows, None), (runs, None), (runs, 900_000)))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) == sorted(map(str, c.collect())) and a.where("size(runs) > 0").count() > 90
+    # levels go to their windows once and aren't gathered by window again
+    assert c._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
