@@ -29,21 +29,34 @@ def by_word():
     return Window.partitionBy("source_id").orderBy("idx")
 
 
+def _spaced(words: DataFrame) -> DataFrame:
+    """words with the end and the speaker of the one before in time, and whether a gap of 10 ms or more lies between."""
+    order = Window.partitionBy("source_id").orderBy("start_us", "end_us")
+    after = words.withColumns({"prev_end": F.lag("end_us").over(order), "prev_speaker": F.lag("speaker").over(order)})
+    return after.withColumn("spaced", F.coalesce(F.col("start_us") - F.col("prev_end") >= SPACING_US, F.lit(False)))
+
+
 def synthesize_spacing(words: DataFrame) -> DataFrame:
     """A `spacing` token for each gap of 10 ms or more before a word, owned by the speaker before it."""
-    order = Window.partitionBy("source_id").orderBy("start_us", "end_us")
-    return (
-        words.withColumns({"prev_end": F.lag("end_us").over(order), "prev_speaker": F.lag("speaker").over(order)})
-        .where(F.col("start_us") - F.col("prev_end") >= SPACING_US)
-        .select("source_id", F.lit("spacing").alias("kind"), F.lit("").alias("text"), F.col("prev_end").alias("start_us"), F.col("start_us").alias("end_us"), F.col("prev_speaker").alias("speaker"))
+    return _spaced(words).where("spaced").select(
+        "source_id", F.lit("spacing").alias("kind"), F.lit("").alias("text"), F.col("prev_end").alias("start_us"), F.col("start_us").alias("end_us"), F.col("prev_speaker").alias("speaker")
     )
 
 
 def build_tokens(words: DataFrame) -> DataFrame:
-    """Words and the spacing between them, numbered in time."""
-    spoken = words.select("source_id", F.lit("word").alias("kind"), F.col("word").alias("text"), "start_us", "end_us", "speaker")
-    order = Window.partitionBy("source_id").orderBy("start_us", "end_us", "kind")
-    return spoken.unionByName(synthesize_spacing(words)).withColumn("token_idx", (F.row_number().over(order) - 1).cast("long"))
+    """Words and the spacing between them, numbered in time. No word ends before it starts.
+
+    A spacing stands right before its word, so tokens are numbered while words are in order, and are never sorted themselves.
+    """
+    slim = _spaced(words.select("source_id", "word", "start_us", "end_us", "speaker"))
+    order = Window.partitionBy("source_id").orderBy("start_us", "end_us")
+    upto = F.row_number().over(order) + F.sum(F.col("spaced").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    token = lambda kind, text, start, end, speaker, n: F.struct(
+        F.lit(kind).alias("kind"), text.alias("text"), F.col(start).alias("start_us"), F.col(end).alias("end_us"), F.col(speaker).alias("speaker"), n.cast("long").alias("token_idx")
+    )
+    said = token("word", F.col("word"), "start_us", "end_us", "speaker", F.col("_upto"))
+    gap = token("spacing", F.lit(""), "prev_end", "start_us", "prev_speaker", F.col("_upto") - 1)
+    return slim.withColumn("_upto", upto).select("source_id", F.explode(F.when(F.col("spaced"), F.array(gap, said)).otherwise(F.array(said))).alias("t")).select("source_id", "t.*")
 
 
 def has_word_timestamps(words: DataFrame) -> DataFrame:

@@ -136,3 +136,18 @@ def test_stretches_of_frames_are_read_like_single_ones(spark):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) == sorted(map(str, c.collect())) and a.where("size(runs) > 0").count() > 90
     # levels go to their windows once and aren't gathered by window again
     assert c._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_tokens_are_numbered_without_sorting_them(spark):
+    from tempora.operators import speech as P
+
+    rows = [(1, "a", 0, 0, "x"), (1, "b", 10_000, 30_000, "y"), (1, "c", 39_999, 60_000, "y"), (1, "d", 50_000, 55_000, None), (1, None, 90_000, None, "x"), (1, "f", 200_000, 210_000, "x"), (1, "g", None, 5, "x"), (2, "h", 7, 9, "z")]
+    words = spark.createDataFrame(rows, "source_id long, word string, start_us long, end_us long, speaker string")
+    tokens = P.build_tokens(words)
+    got = sorted(tuple(r) for r in tokens.where("source_id = 1").select("token_idx", "kind", "text", "start_us", "end_us", "speaker").collect())
+    assert got == [
+        (0, "word", "g", None, 5, "x"), (1, "word", "a", 0, 0, "x"), (2, "spacing", "", 0, 10_000, "x"), (3, "word", "b", 10_000, 30_000, "y"), (4, "word", "c", 39_999, 60_000, "y"), (5, "word", "d", 50_000, 55_000, None),
+        (6, "spacing", "", 55_000, 90_000, None), (7, "word", None, 90_000, None, "x"), (8, "word", "f", 200_000, 210_000, "x"),
+    ]
+    plan = tokens._jdf.queryExecution().sparkPlan().toString()
+    assert "Union" not in plan and plan.count("Scan ExistingRDD") == 1
