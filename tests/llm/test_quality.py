@@ -108,3 +108,20 @@ def test_awkward_rows(spark, awkward, nothing):
     odd = spark.createDataFrame([(1, 1, 0, 0.1), (2, None, 0, 0.1), (None, 1, 1, 0.1), (7, 0, 0, 0.1), (7, 1, 0, 0.1), (9, 5, None, None)], LABELS)
     assert {r["score"] for r in quality.score(awkward, none).collect()} == {quality.CUT}
     assert quality.score(awkward, odd).count() == 12 and quality.keep_good(awkward, none).count() == 12 and quality.score(nothing, odd).count() == 0
+
+
+def test_every_labelled_document_counts(spark, make_docs):
+    """20,000 good documents: the model is that of all of them, not of some."""
+    rng = np.random.default_rng(3)
+    rows = [(d, ("good plain words here " * (1 + d % 7)).strip() if d % 2000 else "### $$ %%% 12 " * (1 + d % 5)) for d in range(20_000)]
+    labels = [(d, int(d % 2000 > 0), 0, 0.5) for d, _ in rows]
+    ranker = quality.train(make_docs(rows), spark.createDataFrame(labels, LABELS))
+    x = np.array([quality.features(t) for d, t in rows if zlib.crc32(str(d).encode()) % 4 != 2])
+    assert np.allclose(ranker.mean, x.mean(axis=0), rtol=1e-9) and len(x) > 14_000
+    s, q = rng.normal(size=30_000).round(3), (rng.random(30_000) < 0.8).astype(int)
+    share = float((q == 0).mean())
+    weight = (share / (q == 0).sum(), (1 - share) / q.sum())
+    order = np.argsort(s, kind="stable")
+    below = int(np.searchsorted(np.cumsum(np.where(q == 1, weight[1], weight[0])[order]), share - 1e-9))
+    strengths = spark.createDataFrame(list(zip(s.tolist(), q.tolist())), "s double, quality int")
+    assert abs(quality._threshold(strengths, weight, share) - s[order][max(below - 1, 0) : below + 2].mean()) < 2e-3
