@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 CHUNK = 20_000
 
 
@@ -41,15 +43,17 @@ def choose_apart(df: DataFrame, key: list[str], order: list[str], start: str = "
     """The rows of df that stay if, in `order` (which tells a key's rows apart), each goes that overlaps one that stayed: spans (start, end) that share more than a point.
 
     Spans that overlap, directly or through others, form an island; what stays of an island depends on nothing else. Spans alone on theirs stay at once, only islands of two or more
-    go through the ordered rule. An empty span overlaps what it lies inside of.
+    go through the ordered rule. An empty span overlaps what it lies inside of. Placed rows are written to the shared folder once, as three readings follow.
     """
     by_time = Window.partitionBy(*key).orderBy(start, end)
     ahead = F.max(end).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
     placed = df.withColumn("_opens", (ahead.isNull() | (F.col(start) >= ahead)).cast("long"))
     island = F.sum("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("_island", island).withColumn("_size", F.count("*").over(Window.partitionBy(*key, "_island")))
+    of_island = Window.partitionBy(*key, "_island")
+    placed = placed.withColumn("_island", island).withColumn("_nth", F.row_number().over(of_island.orderBy(*order)).cast("long")).withColumn("_size", F.count("*").over(of_island))
+    placed = written(placed.drop("_opens"), "islands")
     alone = placed.where("_size = 1").select(*df.columns)
-    crowded = placed.where("_size > 1").withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "_island").orderBy(*order)).cast("long"))
+    crowded = placed.where("_size > 1")
 
     def keep(rows):
         kept: list[tuple[int, int]] = []

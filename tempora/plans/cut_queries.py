@@ -9,6 +9,7 @@ from ..functions.scalars import normalise
 from ..operators import cuts as C
 from ..operators import intervals as I
 from ..registry import ORACLES, query
+from ..sources.shared import written
 from .speech_queries import NORM, PAUSES, W, WR
 
 # Fixture lexicons: the most frequent words stand for hesitations, as the test texts are invented.
@@ -26,7 +27,7 @@ def _lexicons(w):
     f = w.select(normalise(F.col("word")).alias("key")).where("key <> ''").groupBy("key").count().orderBy(F.desc("count"), "key").limit(20)
     from pyspark.sql import Window
 
-    r = f.withColumn("r", F.row_number().over(Window.orderBy(F.desc("count"), "key")))
+    r = written(f.withColumn("r", F.row_number().over(Window.orderBy(F.desc("count"), "key"))), "lexicon")  # 20 rows, read more than once
     return r.where("r <= 10").select("key", (F.col("r") % 2 == 0).alias("ambiguous")), r.where("r > 10").select("key")
 
 
@@ -82,7 +83,9 @@ def false_starts(spark, sf_dir):
 
 
 def _candidates(w):
-    return C.find_cut_candidates([C.false_starts(w), C.stutters(w, *_lexicons(w)), C.fillers(w, _lexicons(w)[0]), C.pause_cuts(w, recordings(w))])
+    w = written(w, "words")
+    hesitations, deliberate = _lexicons(w)
+    return C.find_cut_candidates([C.false_starts(w), C.stutters(w, hesitations, deliberate), C.fillers(w, hesitations), C.pause_cuts(w, recordings(w))])
 
 
 CHOSEN = """), c as (select *, row_number() over (partition by source_id order by priority, start_us, end_us, confidence) as i from every), k as (
