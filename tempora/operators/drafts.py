@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ends_clause, ends_sentence, first_sentence, normalise
+from ..sources.shared import written
 from .folds import choose_apart, fold
 from .speech import synthesize_spacing
 
@@ -254,7 +255,7 @@ def editorial_stills(cuts: DataFrame, recordings: DataFrame, limit: int = STILLS
     steps = F.filter(F.sequence(F.lit(OPENING_STEP_US), F.lit(OPENING_US), F.lit(OPENING_STEP_US)), lambda t: t <= F.col("last"))
     early = F.concat(F.array(F.lit(0).cast("long")), F.transform(steps, lambda t: t.cast("long")))
     lone = F.forall(early, lambda t: F.col("last") - t >= STILL_GAP_US)
-    base = lengths.withColumn("fixed", F.when(lone, F.concat(early, F.array("last"))).otherwise(early)).withColumn("lone", lone)
+    base = written(lengths.withColumn("fixed", F.when(lone, F.concat(early, F.array("last"))).otherwise(early)).withColumn("lone", lone), "stills")
     reason = lambda t: F.when(t == 0, "first").when(F.col("lone") & (t == F.col("last")), "last").otherwise("opening")
     fixed = base.select("source_id", "last", "lone", F.explode("fixed").alias("at_us")).select("source_id", "at_us", reason(F.col("at_us")).alias("reason"))
 

@@ -10,6 +10,7 @@ from ..operators import cuts as C
 from ..operators import drafts as D
 from ..operators import timeline as T
 from ..registry import query
+from ..sources.shared import written
 from .audit_queries import COMMON, MOVES, _common, _moves
 from .speech_queries import BARE, NORM, SPACING, W, WR
 from .timeline_queries import CUES, R, _cues, _line
@@ -274,6 +275,6 @@ ct as (
 ) select source_id, at_us, reason from fl union all select source_id, at_us, reason from c join k using (source_id, i) where stays""")
 def editorial_stills(spark, sf_dir):
     """Sentence ends and every third word stand for cuts; every fourth recording is cut short."""
-    w = words(spark, sf_dir)
+    w = written(words(spark, sf_dir).select("source_id", "idx", "word", "start_us", "end_us"), "words")
     r = recordings(w).withColumn("duration_us", F.when(F.col("source_id") % 4 == 0, 600_000 + F.col("source_id") * 1000).otherwise(F.col("duration_us")))
     return D.editorial_stills(w.where(F.col("word").endswith(".") | (F.col("idx") % 3 == 0)).select("source_id", F.col("start_us").alias("at_us")), r)
