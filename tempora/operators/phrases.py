@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import word_key
+from ..sources.shared import written
 from .folds import fold
 from .intervals import range_join
 
@@ -58,7 +59,8 @@ def replacements(words: DataFrame, sentences: DataFrame, recordings: DataFrame,
     """
     marks = match_phrases(words, phrases).groupBy("source_id", "idx").pivot("kind", ["from", "with", "alone"]).agg(F.max("size"))
     size = lambda c: F.coalesce(c, F.lit(0))
-    marked = words.join(marks, ["source_id", "idx"], "left").withColumns({"f": size("from"), "w": size("with"), "a": size("alone")})
+    marked = words.select("source_id", "idx", "word", "start_us", "end_us").join(marks, ["source_id", "idx"], "left").withColumns({"f": size("from"), "w": size("with"), "a": size("alone")})
+    marked = written(marked.select("source_id", "idx", "word", "start_us", "end_us", "f", "w", "a"), "marked-words")
     opens = (F.col("f") > 0) | (F.col("a") > 0) | (F.col("w") > 0) & F.col("word").rlike(r":\s*$")
     openings = marked.where(opens).select("source_id", F.col("idx").alias("at"), F.col("f").alias("of"), F.col("start_us").alias("at_us"))
 
@@ -111,7 +113,7 @@ def replacements(words: DataFrame, sentences: DataFrame, recordings: DataFrame,
     timed = (F.col("start_us") < F.col("strike_us")) & (F.col("strike_us") < F.col("replace_us")) & (F.col("replace_us") < F.col("end_us"))
     good = F.coalesce(pairs & (F.size("instead") > 0) & fits & timed, F.lit(False))
     onward = F.when(~pairs, F.col("at") + 1).when(good, F.col("at") + F.col("upto")).otherwise(F.greatest(F.col("at") + F.col("said"), F.col("at") + 1))
-    told = df.select("source_id", "at", good.alias("good"), onward.alias("onward"), "start_us", "end_us", "text", "replacement", "strike_us", "replace_us")
+    told = written(df.select("source_id", "at", good.alias("good"), onward.alias("onward"), "start_us", "end_us", "text", "replacement", "strike_us", "replace_us"), "habits")
 
     def read_on(rows):
         free = 0

@@ -10,6 +10,7 @@ from ..functions.scalars import word_key
 from ..operators import phrases as H
 from ..operators import speech as P
 from ..registry import query
+from ..sources.shared import written
 from .speech_queries import KEY, W
 
 #: The most frequent words and pairs stand for phrases, as the test texts are invented.
@@ -29,7 +30,7 @@ def _phrases(w: DataFrame) -> DataFrame:
     ones = k.where("key <> ''").groupBy(F.col("key").alias("phrase")).count().orderBy(F.desc("count"), "phrase").limit(13)
     twos = k.where("key <> '' and k2 <> ''").groupBy(F.concat_ws(" ", "key", "k2").alias("phrase")).count().orderBy(F.desc("count"), "phrase").limit(40)
     r = F.row_number().over(Window.orderBy(F.desc("count"), "phrase"))  # 13 and 40 rows
-    one, two = ones.withColumn("r", r), twos.withColumn("r", r)
+    one, two = written(ones.withColumn("r", r), "phrases"), written(twos.withColumn("r", r), "phrases")
     return (
         one.where("r between 3 and 12").select("phrase", F.when(F.col("r") % 2 == 0, "from").otherwise("with").alias("kind"))
         .unionByName(two.select("phrase", F.when(F.col("r") % 2 == 0, "with").otherwise("from").alias("kind")))
@@ -40,11 +41,11 @@ def _phrases(w: DataFrame) -> DataFrame:
 @query(W + "," + PHRASES_CTE + """ select source_id, idx, kind, max(size)::integer as size from (
   select source_id, idx, kind, 1 as size from kw join phrases on phrase = key union all select source_id, idx, kind, 2 from kw join phrases on phrase = key || ' ' || k2 where k2 is not null) group by all""")
 def match_phrases(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = written(words(spark, sf_dir), "words")
     return H.match_phrases(w, _phrases(w))
 
 
 @query()
 def replacements(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = written(words(spark, sf_dir), "words")
     return H.replacements(w, P.sentences(w), recordings(w), _phrases(w))

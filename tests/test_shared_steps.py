@@ -15,6 +15,6 @@ def test_choose_apart_reads_its_input_once(spark, tmp_path):
     assert {tuple(r) for r in out.collect()} == {(1, 0, 0, 10), (1, 2, 12, 20), (1, 3, 30, 40), (2, 0, 5, 5)}
 
 
-@pytest.mark.parametrize("name", ["find_cut_candidates", "editorial_stills"])
+@pytest.mark.parametrize("name", ["find_cut_candidates", "editorial_stills", "match_phrases", "replacements"])
 def test_words_are_made_once(spark, sf, name):
     assert not any("conversations.parquet" in f for f in plans.QUERIES[name](spark, sf).inputFiles())
