@@ -161,14 +161,15 @@ def carry_fixes(cues: DataFrame, fixes: DataFrame) -> DataFrame:
     """Earlier fixes on a rebuilt track, in order of fix_id, each on what the ones before it left.
 
     Rows of two kinds: word (edit_id, n = cue_idx, pos, text, start_us, end_us) and fix (n = fix_id, text = applied, moved, done or lost). A fix goes to the cue at its old time, else to the one
-    cue that says the old words; where some cue says the new ones it is done. Each depends on the ones before: a fold over one edit's track.
+    cue that says the old words; where some cue says the new ones it is done. Each depends on the ones before: a fold over one edit's track, a row a cue.
     """
-    w = cues.select("edit_id", F.lit(0).alias("kind"), F.col("cue_idx").alias("n"), F.col("start_us").alias("c0"), F.col("end_us").alias("c1"), F.posexplode("words").alias("pos", "w")).select(
-        "edit_id", "kind", "n", "c0", "c1", F.col("pos").cast("long").alias("pos"), F.col("w.text").alias("old"), F.lit("").alias("new"), F.col("w.start_us").alias("a"), F.col("w.end_us").alias("b")
+    said = F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["start_us"].alias("a"), w["end_us"].alias("b")))
+    w = cues.where(F.size("words") > 0).select(
+        "edit_id", F.lit(0).alias("kind"), F.col("cue_idx").alias("n"), F.col("start_us").alias("c0"), F.col("end_us").alias("c1"), F.lit("").alias("old"), F.lit("").alias("new"), said.alias("ws")
     )
     f = fixes.select(
-        "edit_id", F.lit(1).alias("kind"), F.col("fix_id").alias("n"), F.col("at_us").alias("c0"), F.col("at_us").alias("c1"), F.lit(0).cast("long").alias("pos"), F.col("old"), F.col("new"),
-        F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
+        "edit_id", F.lit(1).alias("kind"), F.col("fix_id").alias("n"), F.col("at_us").alias("c0"), F.col("at_us").alias("c1"), F.col("old"), F.col("new"),
+        F.lit(None).cast(w.schema["ws"].dataType).alias("ws"),
     )
 
     def carry(rows):
@@ -176,7 +177,7 @@ def carry_fixes(cues: DataFrame, fixes: DataFrame) -> DataFrame:
         for r in rows:
             edit = r.edit_id
             if not r.kind:
-                track.setdefault(r.n, (r.c0, r.c1, []))[2].append((r.old, r.a, r.b))
+                track.setdefault(r.n, (r.c0, r.c1, []))[2].extend((x["text"], x["a"], x["b"]) for x in r.ws)
                 continue
             old, new = r.old.split(), r.new.split()
             away = {n: max(c0 - r.c0, r.c0 - c1, 0) for n, (c0, c1, _) in track.items()}
@@ -195,7 +196,7 @@ def carry_fixes(cues: DataFrame, fixes: DataFrame) -> DataFrame:
             for k, (t, a, b) in enumerate(words):
                 yield edit, "word", n, k, t, a, b
 
-    return fold(w.unionByName(f), ["edit_id"], ["kind", "n", "pos"], carry, "edit_id long, kind string, n long, pos long, text string, start_us long, end_us long")
+    return fold(w.unionByName(f), ["edit_id"], ["kind", "n"], carry, "edit_id long, kind string, n long, pos long, text string, start_us long, end_us long")
 
 
 def fit_check(cues: DataFrame, size_px: int, width_px: int, max_lines: int) -> DataFrame:

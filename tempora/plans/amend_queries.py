@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import RANGES_CTE, WORDS_CTE, ranges, table, words
 from ..operators import amends as M
 from ..registry import query
+from ..sources.shared import written
 from .speech_queries import W
 
 KEYED = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
@@ -100,6 +101,7 @@ def _track(spark, sf_dir, fixed):
     c = w.groupBy(F.col("source_id").alias("edit_id"), F.floor(F.col("idx") / 6).alias("cue_idx")).agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.transform(F.array_sort(F.collect_list(word)), lambda x: x["w"]).alias("words")
     )
+    c = written(c, "track")  # read as cues and for the fixes
     case = (F.col("edit_id") + F.floor(F.col("cue_idx") / 3)) % 4
     a, b, new = F.get("words", F.lit(1))["text"], F.get("words", F.lit(2))["text"], (F.col("edit_id") + F.col("cue_idx")) % 3
     f = c.where(fixed).where(F.size("words") == 6).select(
