@@ -151,3 +151,13 @@ def test_tokens_are_numbered_without_sorting_them(spark):
     ]
     plan = tokens._jdf.queryExecution().sparkPlan().toString()
     assert "Union" not in plan and plan.count("Scan ExistingRDD") == 1
+
+
+def test_voice_is_looked_for_in_whole_vectors_and_runs_of_three(spark, tmp_path):
+    # a stream of two vectors: quiet, but for two loud frames, then four over the seam of the vectors, then three at the end
+    row = [-0.4] * 128
+    for k in (10, 11, 62, 63, 64, 65, 125, 126, 127):
+        row[k] = 0.3
+    got, want = both(spark, tmp_path, "speech_mask", embeddings=vectors([row[:64], row[64:]]))
+    assert got == want and len(got) == 128
+    assert sorted(r[1] for r in got if r[3]) == [62, 63, 64, 65, 125, 126, 127]
