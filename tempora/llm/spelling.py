@@ -136,12 +136,13 @@ def near_pairs(found: DataFrame, prune: int = PRUNE, most: int = FREQUENT) -> Da
     ordered = (F.length("b") > F.length("a")) | (F.col("a") < F.col("b"))
     short = F.length("b") <= SUBSTRINGS
     lists = listed.where(short).select("b", "b_n", F.length("b").alias("n"), g).select("b", "b_n", key)
-    met = probes.where(n <= SUBSTRINGS).join(lists, "key").where(ordered & _one_edit(F.col("a"), F.col("b"))).select("a", "a_n", "b", "b_n")
+    # Spark sizes what is exploded or stands compressed in files far too low: none of it is to be broadcast
+    met = probes.where(n <= SUBSTRINGS).join(lists.hint("merge"), "key").where(ordered & _one_edit(F.col("a"), F.col("b"))).select("a", "a_n", "b", "b_n")
     # very long words aren't carried along with each of their grams
     lists = listed.where(~short).select(F.xxhash64("b").alias("id_b"), F.length("b").alias("n"), g).select("id_b", key)
-    some = probes.where(n >= SUBSTRINGS).select(F.xxhash64("a").alias("id_a"), "key").join(lists, "key").select("id_a", "id_b").distinct()
+    some = probes.where(n >= SUBSTRINGS).select(F.xxhash64("a").alias("id_a"), "key").join(lists.hint("merge"), "key").select("id_a", "id_b").distinct()
     asking = found.where(F.length("word") >= SUBSTRINGS).select(F.xxhash64("word").alias("id_a"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    far = some.join(asking, "id_a").join(listed.where(~short).withColumn("id_b", F.xxhash64("b")), "id_b").where(ordered & _one_edit(F.col("a"), F.col("b")))
+    far = some.join(asking.hint("merge"), "id_a").join(listed.where(~short).withColumn("id_b", F.xxhash64("b")).hint("merge"), "id_b").where(ordered & _one_edit(F.col("a"), F.col("b")))
     return met.unionByName(far.select("a", "a_n", "b", "b_n")).distinct()
 
 
@@ -164,13 +165,13 @@ def variants(docs: DataFrame, text: str = "text") -> DataFrame:
     lead = near.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
         onward = lead.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        lead = materialise(lead.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-roots")
+        lead = materialise(lead.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling-roots")
         moved = lead.where("moved").limit(1).count()
         lead = lead.drop("moved")
         if not moved:
             break
     return (
-        found.join(near, "word", "left")
-        .join(lead, "word", "left")
+        found.join(near.hint("merge"), "word", "left")
+        .join(lead.hint("merge"), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
     )

@@ -105,3 +105,14 @@ def test_awkward_rows(awkward, nothing, make_docs):
     assert spelling.variants(nothing).count() == 0
     rows = [(None, "unnamed " * 9), (None, "unnamed " * 9), (3, "Unnamed×÷ ÀÉÎÕÜß éééééé " * 5), (4, "x" * 100_000 + " "), (4, ("y" * 2_000 + " ") * 5), (5, ("y" * 2_001 + " ") * 30)]
     same(spelling.variants(make_docs(rows)), rows)
+
+
+def test_lists_and_words_are_not_broadcast(spark, make_docs):
+    # a small file of words whose lists, once exploded, are fifty times as large
+    text = " ".join(f"common{a}{b}stem " * 5 for a in "abcdefghij" for b in "abcdefghij") + "rarerword " * 25 + "rareword " * 5
+    docs = make_docs([(1, text)])
+    found = spelling.words(docs)
+    for df in (spelling.near_pairs(spelling.materialise(found, "test-words")), spelling.variants(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    same(spelling.variants(docs), [(1, text)])
