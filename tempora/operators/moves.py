@@ -5,10 +5,13 @@ Times are microseconds of output, but for the spans of ranges and items, which a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .folds import choose_apart, fold
 from .intervals import range_join
 
 #: Transitions nearer than this are one; a jump takes the place of those around it.
@@ -28,87 +31,143 @@ def accept_moves(chosen: DataFrame, proposed: DataFrame, plan: DataFrame) -> tup
     Outcomes: `unknown` (no such proposal); `present` (an element or title equal to one there; a transition within 50 ms of one there); `overlaps` (a punch or effect over one of its kind); `under_title` (an effect over a
     title); else `accepted`. There is what the plan had or has accepted before. A zoom removes the transitions within 50 ms of it that are there then.
 
-    log: (edit_id, move_id, seq, kind, outcome). What doesn't depend on other choices is settled by joins; the ordered rule sees only moves that meet other choices in time.
+    log: (edit_id, move_id, seq, kind, outcome). All rows go to their edit once, where windows put them in turn; no table is joined or written on the way, so what a run leaves on disk is one shuffle.
     """
-    key = ["edit_id", "move_id"]
-    first = chosen.groupBy(*key).agg(F.min("seq").cast("long").alias("seq"))
-    place = F.row_number().over(Window.partitionBy("edit_id").orderBy("seq", F.length(F.col("move_id").cast("string")), "move_id"))
-    asked = first.withColumn("place", place.cast("long")).join(proposed, key, "left")
-    real = asked.where("kind is not null")
-
-    # elements and titles: equal ones
-    same = [*_PLAN]
-    shown = real.where(F.col("kind").isin("element", "title"))
-    there = plan.select(*[F.col(c).alias(f"p_{c}") for c in same])
-    equal = F.lit(True)
-    for c in same:
-        equal = equal & F.col(c).eqNullSafe(F.col(f"p_{c}"))
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("place"))
-    fresh = shown.join(there, equal, "left_anti").withColumn("nth", nth).where("nth = 1").drop("nth")
-
-    # punches and effects: spans of a kind, and titles over effects
-    spans = real.where(F.col("kind").isin("punch", "effect"))
-    over = (F.col("start_us") < F.col("o_end")) & (F.col("o_start") < F.col("end_us"))
-
-    def met(moves: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
-        before = F.col("since").isNull() | (F.col("since") < F.col("place"))
-        return range_join(moves.select(*key, "place", "kind", "start_us", "end_us"), others, on, ("start_us", "end_us"), ("o_start", "o_end"), over & before).select(*key).distinct()
-
-    def others(df: DataFrame, since: Column, *columns: str) -> DataFrame:
-        return df.select("edit_id", *columns, F.col("start_us").alias("o_start"), F.col("end_us").alias("o_end"), since.alias("since"))
-
-    never = F.lit(None).cast("long")
-    titles = others(plan.where("kind = 'title'"), never).unionByName(others(fresh.where("kind = 'title'"), F.col("place")))
-    titled = met(spans.where("kind = 'effect'"), titles, ["edit_id"])
-    taken = met(spans, others(plan, never, "kind"), ["edit_id", "kind"])
-    free = spans.join(taken, key, "left_anti").join(titled, key, "left_anti")
-    apart = choose_apart(free, ["edit_id", "kind"], ["place"])
-    also_over = met(spans.join(titled, key, "left_semi"), others(apart, F.col("place"), "kind"), ["edit_id", "kind"])
-    under = titled.join(taken, key, "left_anti").join(also_over, key, "left_anti")
-
-    turns, live = _transitions(real.where(F.col("kind").isin("transition", "zoom")), plan.where("kind = 'transition'"))
-
-    told = (
-        fresh.select(*key, F.lit("accepted").alias("told"))
-        .unionByName(apart.select(*key, F.lit("accepted").alias("told")))
-        .unionByName(under.select(*key, F.lit("under_title").alias("told")))
-        .unionByName(turns.select(*key, F.lit("accepted").alias("told")))
+    dealt = _in_turn(chosen, proposed, plan)
+
+    def gone_through(step, columns: list[str], *more: StructField) -> DataFrame:
+        return dealt.mapInArrow(step, StructType([*(StructField(c, dealt.schema[c].dataType) for c in columns), *more]))
+
+    log = gone_through(_log, _LOG, StructField("outcome", StringType()))
+    return log, gone_through(_updated, _PLAN)
+
+
+_LOG = ["edit_id", "move_id", "seq", "kind"]
+
+
+def _in_turn(chosen: DataFrame, proposed: DataFrame, plan: DataFrame) -> DataFrame:
+    """(edit_id, move_id, seq, kind, start_us, end_us, look, asked, place): of each edit what its plan holds, then its chosen moves in their order, as windows leave them: an edit's rows together and by place."""
+    none = lambda c, like: F.lit(None).cast(like.schema[c].dataType).alias(c)
+    seq = F.col("seq").cast("long")
+    rows = (
+        plan.select("edit_id", none("move_id", proposed), F.lit(None).cast("long").alias("seq"), *_PLAN[1:], F.lit(0).alias("part"))
+        .unionByName(proposed.select("edit_id", "move_id", F.lit(None).cast("long").alias("seq"), *_PLAN[1:], F.lit(1).alias("part")))
+        .unionByName(chosen.select("edit_id", "move_id", seq.alias("seq"), *[none(c, proposed) for c in _PLAN[1:]], F.lit(2).alias("part")))
+        .withColumn("asked", F.col("part") > 0)
     )
-    rest = F.when(F.col("kind").isNull(), "unknown").when(F.col("kind").isin("punch", "effect"), "overlaps").when(F.col("kind") == "zoom", "accepted").otherwise("present")
-    log = asked.join(told, key, "left").select(*key, "seq", "kind", F.coalesce("told", rest).alias("outcome"))
-    updated = plan.where("kind <> 'transition'").select(*_PLAN).unionByName(fresh.select(*_PLAN)).unionByName(apart.select(*_PLAN)).unionByName(live.select(*_PLAN))
-    return log, updated
-
-
-def _transitions(moves: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted transitions, the plan's transitions afterwards). Moments less than 50 ms apart, one by one, form a stretch; only stretches with a choice go through the ordered rule."""
-    every = moves.select(*_PLAN, F.col("place").alias("seq"), "move_id").unionByName(plan.select(*_PLAN, F.lit(-1).cast("long").alias("seq"), F.lit(None).cast(moves.schema["move_id"].dataType).alias("move_id")))
-    by_time = Window.partitionBy("edit_id").orderBy("start_us")
-    apart = F.col("start_us") - F.lag("start_us").over(by_time) >= SAME_CUT_US
-    placed = every.withColumn("_opens", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("stretch", F.sum("_opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
-    placed = placed.withColumn("asked", F.max((F.col("seq") >= 0).cast("int")).over(Window.partitionBy("edit_id", "stretch")))
-    quiet, busy = placed.where("asked = 0"), placed.where("asked = 1")
-    busy = busy.withColumn("nth", F.row_number().over(Window.partitionBy("edit_id", "stretch").orderBy("seq", "start_us", "look")).cast("long"))
-
-    def run(rows):
-        live: dict[int, int] = {}
-        accepted, key = [], None
-        for r in rows:
-            key = r.edit_id, r.stretch
-            near = [n for n, at in live.items() if abs(at - r.start_us) < SAME_CUT_US]
-            if r.kind == "zoom":
-                for n in near:
-                    del live[n]
-            elif r.seq < 0 or not near:
-                live[r.nth] = r.start_us
-                if r.seq >= 0:
-                    accepted.append(r.nth)
-        for n in {*live, *accepted}:
-            yield *key, n, n in live, n in accepted
-
-    told = fold(busy.select("edit_id", "stretch", "nth", "kind", "seq", "start_us"), ["edit_id", "stretch"], ["nth"], run, "edit_id long, stretch long, nth long, is_live boolean, taken boolean")
-    known = busy.join(told, ["edit_id", "stretch", "nth"])
-    return known.where("taken"), quiet.select(*_PLAN).unionByName(known.where("is_live").select(*_PLAN))
+    # all by edit, so that nothing is dealt again: the rows of a move are those of equal rank in its edit
+    listed = Window.partitionBy("edit_id").orderBy("asked", "move_id", "part", "seq")
+    move = Window.partitionBy("edit_id").orderBy("asked", "move_id").rangeBetween(Window.currentRow, Window.currentRow)
+    same = F.lag("move_id").over(listed).eqNullSafe(F.col("move_id")) & F.lag("asked").over(listed)
+    told = rows.withColumn("again", F.coalesce(same, F.lit(False))).withColumns({"seq": F.min("seq").over(move), "picked": F.max("part").over(move) == 2})
+    # a move stands in its proposal, or where there is none in the first row that chose it
+    turns = told.where("not asked or part = 1 and picked or part = 2 and not again")
+    order = Window.partitionBy("edit_id").orderBy("asked", "seq", F.length(F.col("move_id").cast("string")), "move_id", *_PLAN[1:])
+    return turns.withColumn("place", F.row_number().over(order)).select("edit_id", "move_id", "seq", *_PLAN[1:], "asked", "place")
+
+
+class _Spans:
+    """Spans that were added, those that share more than a point as one: sorted, and only neighbours of a span can meet it."""
+
+    def __init__(self):
+        self.kept: list[tuple[int, int]] = []
+
+    def meets(self, a: int | None, b: int | None) -> bool:
+        if a is None or b is None:
+            return False
+        at = bisect_left(self.kept, (a, b))
+        return any(lo < b and a < hi for lo, hi in self.kept[max(0, at - 1) : at + 1])
+
+    def add(self, a: int | None, b: int | None) -> None:
+        if a is None or b is None:
+            return
+        at = to = bisect_left(self.kept, (a, b))
+        while at and self.kept[at - 1][0] < b and a < self.kept[at - 1][1]:
+            at -= 1
+        while to < len(self.kept) and self.kept[to][0] < b and a < self.kept[to][1]:
+            to += 1
+        met = self.kept[at:to]
+        self.kept[at:to] = [(min(a, *[s[0] for s in met]), max(b, *[s[1] for s in met])) if met else (a, b)]
+
+
+class _Edit:
+    """What the plan of an edit holds while its moves are gone through. Transitions stay until the end, as a zoom may remove them; of the rest only what later moves may meet is kept."""
+
+    def __init__(self):
+        self.shown: set[tuple] = set()
+        self.spans = {"title": _Spans(), "punch": _Spans(), "effect": _Spans()}
+        self.cuts: list[tuple] = []
+
+    def take(self, asked: bool, edit_id, kind: str | None, start, end, look) -> str:
+        """The outcome of a move; a row of the plan is there whatever it meets."""
+        if kind in ("element", "title"):
+            row = kind, start, end, look
+            if asked and row in self.shown:
+                return "present"
+            self.shown.add(row)
+            if kind == "title":
+                self.spans[kind].add(start, end)
+        elif kind in ("punch", "effect"):
+            if asked and self.spans[kind].meets(start, end):
+                return "overlaps"
+            if asked and kind == "effect" and self.spans["title"].meets(start, end):
+                return "under_title"
+            self.spans[kind].add(start, end)
+        elif kind == "transition" or kind == "zoom" and asked:
+            near = slice(0, 0)
+            if start is not None:
+                near = slice(bisect_left(self.cuts, (start - SAME_CUT_US + 1,)), bisect_left(self.cuts, (start + SAME_CUT_US,)))
+            if kind == "zoom":
+                del self.cuts[near]
+            elif asked and self.cuts[near]:
+                return "present"
+            else:
+                at = float("-inf") if start is None else start
+                self.cuts.insert(bisect_left(self.cuts, (at + 1,)), (at, (edit_id, kind, start, end, look)))
+        elif asked:
+            return "unknown" if kind is None else "present"
+        return "accepted"
+
+
+def _outcomes(batches):
+    """Each batch with (edit, outcome, its plan row) of its rows; an edit begins at place 1, and an edit of None ends the last one."""
+    edit, last = None, None
+    for batch in batches:
+        told = []
+        for place, asked, *row in zip(*(batch.column(c).to_pylist() for c in ("place", "asked", *_PLAN)), strict=True):
+            if place == 1:
+                edit = _Edit()
+            elif last != (row[0], place - 1):
+                raise RuntimeError("the rows of an edit don't stand together and in turn")
+            last = row[0], place
+            told.append((edit, asked, edit.take(asked, *row), row))
+        yield batch, told
+
+
+def _log(batches):
+    for batch, told in _outcomes(batches):
+        outcome = pa.array([o if asked else None for _, asked, o, _ in told], pa.string())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _LOG), outcome], [*_LOG, "outcome"]).filter(batch.column("asked"))
+
+
+def _updated(batches):
+    edit, kinds = None, None
+    for batch, told in _outcomes(batches):
+        kinds = pa.schema([batch.schema.field(c) for c in _PLAN])
+        ended, stays = [], []
+        for of, asked, outcome, row in told:
+            if of is not edit and edit:
+                ended += [r for _, r in edit.cuts]
+            edit = of
+            stays.append(outcome == "accepted" and row[1] not in ("transition", *["zoom"] * asked))
+        yield batch.select(_PLAN).filter(pa.array(stays, pa.bool_()))
+        yield _rows(ended, kinds)
+    if edit:
+        yield _rows([r for _, r in edit.cuts], kinds)
+
+
+def _rows(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], f.type) for n, f in enumerate(kinds)], kinds.names)
 
 
 def _owners(items: DataFrame, ranges: DataFrame) -> DataFrame:

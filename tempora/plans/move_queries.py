@@ -21,9 +21,10 @@ def _moves(spark, sf_dir):
     ).withColumn("end_us", F.when(F.col("kind") == "transition", F.col("start_us")).when(F.col("kind").isin("element", "title"), F.col("start_us") + F.col("len") % 2 * 60_000 + 60_000).otherwise(F.col("start_us") + F.col("len")))
     plan = each.where("n % 5 = 1 and kind <> 'zoom'").select("edit_id", "kind", "start_us", "end_us", "look")
     proposed = each.where("n % 5 <> 1").select("edit_id", F.concat(F.lit("m-"), F.col("n").cast("string")).alias("move_id"), "kind", "start_us", "end_us", "look")
-    chosen = each.select("edit_id", ((F.col("n") * 5 + F.col("edit_id")) % 11).alias("seq"), F.concat(F.lit("m-"), F.col("n").cast("string")).alias("move_id"))
-    again = chosen.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 20)
-    return chosen.unionByName(again), proposed, plan
+    seq = (F.col("n") * 5 + F.col("edit_id")) % 11
+    twice = F.explode(F.when(seq % 3 == 0, F.array(seq, seq + 20)).otherwise(F.array(seq)))
+    chosen = each.select("edit_id", twice.alias("seq"), F.concat(F.lit("m-"), F.col("n").cast("string")).alias("move_id"))
+    return chosen, proposed, plan
 
 
 MOVES = "with recursive " + RANGES_CTE + """, each as (

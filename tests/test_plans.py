@@ -185,3 +185,59 @@ def test_snapping_sorts_only_recordings_that_are_asked_for(spark):
     out = snap_to_word(spark.createDataFrame([(1, 1100), (1, 1500), (7, 40)], "source_id long, at_us long"), w)
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(1, 1100, 1000), (1, 1500, 1600), (7, 40, 40)]
+
+
+def _accepted(chosen, proposed, plan):
+    """The rule gone through in order, every move against all that is there: ({move_id: (seq, kind, outcome)}, plan) of an edit."""
+    live, log, seqs = list(plan), {}, {}
+    for seq, m in chosen:
+        seqs[m] = min(seq, seqs.get(m, seq))
+    for m in sorted(seqs, key=lambda m: (seqs[m], len(m), m)):
+        if m not in proposed:
+            log[m] = seqs[m], None, "unknown"
+            continue
+        kind, a, b, look = row = proposed[m]
+        near = [x for x in live if x[0] == "transition" and abs(x[1] - a) < 50_000]
+        over = lambda k: any(x[0] == k and x[1] < b and a < x[2] for x in live)  # noqa: B023, E731
+        if kind in ("element", "title"):
+            told = "present" if row in live else "accepted"
+        elif kind == "transition":
+            told = "present" if near else "accepted"
+        elif kind == "zoom":
+            told, live = "accepted", [x for x in live if x not in near]
+        else:
+            told = "overlaps" if over(kind) else "under_title" if kind == "effect" and over("title") else "accepted"
+        if told == "accepted" and kind != "zoom":
+            live.append(row)
+        log[m] = seqs[m], kind, told
+    return log, live
+
+
+def test_moves_are_dealt_once(spark):
+    dice = random.Random(7)
+    kinds = ["element", "title", "punch", "transition", "effect", "zoom"]
+
+    def some():
+        kind, a = dice.choice(kinds), dice.randrange(0, 400_000, 5_000)
+        return kind, a, a if kind in ("transition", "zoom") else a + dice.choice([0, 5_000, 60_000, 200_000]), dice.choice(["x", None])
+
+    edits = {e: ([(dice.randrange(9), f"m-{dice.randrange(30)}") for _ in range(30)], {f"m-{n}": some() for n in range(25)}, [r for r in (some() for _ in range(6)) if r[0] != "zoom"]) for e in range(60)}
+    rows = "edit_id long, {}kind string, start_us long, end_us long, look string"
+    log, after = moves.accept_moves(
+        spark.createDataFrame([(e, *c) for e, x in edits.items() for c in x[0]], "edit_id long, seq long, move_id string"),
+        spark.createDataFrame([(e, m, *r) for e, x in edits.items() for m, r in x[1].items()], rows.format("move_id string, ")),
+        spark.createDataFrame([(e, *r) for e, x in edits.items() for r in x[2]], rows.format("")),
+    )
+    told, plans = {e: {} for e in edits}, {e: [] for e in edits}
+    for r in log.collect():
+        assert r["move_id"] not in told[r["edit_id"]]
+        told[r["edit_id"]][r["move_id"]] = r["seq"], r["kind"], r["outcome"]
+    for e, *row in after.collect():
+        plans[e].append(tuple(row))
+    for e, x in edits.items():
+        log_e, live = _accepted(*x)
+        assert told[e] == log_e and sorted(plans[e], key=str) == sorted(live, key=str)
+    assert {o for t in told.values() for *_, o in t.values()} == {"accepted", "present", "overlaps", "under_title", "unknown"}
+    for df in (log, after):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+        assert plan.count("Exchange") == 1 and "Join" not in plan and "FileScan" not in plan

@@ -161,3 +161,10 @@ def test_voice_is_looked_for_in_whole_vectors_and_runs_of_three(spark, tmp_path)
     got, want = both(spark, tmp_path, "speech_mask", embeddings=vectors([row[:64], row[64:]]))
     assert got == want and len(got) == 128
     assert sorted(r[1] for r in got if r[3]) == [62, 63, 64, 65, 125, 126, 127]
+
+
+def test_accepted_moves_shuffle_their_lines_once(spark, sf):
+    for name in ("accept_moves", "accepted_plan"):
+        plan = driver.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+        # lines are dealt by order to be numbered; neither the union of what is made of them nor the moves deal them again
+        assert plan.count("Exchange") == plan.count("hashpartitioning(l_orderkey") > 0
