@@ -65,7 +65,7 @@ refusals as (
 
 @query(COMPILED + " select * from refusals")
 def compile_refusals(spark, sf_dir):
-    return _compiled(spark, sf_dir)[1]
+    return K.compile_refusals(*_given(spark, sf_dir))
 
 
 @query(COMPILED + """, q as (
@@ -79,10 +79,10 @@ def compile_refusals(spark, sf_dir):
 ) select f.edit_id, (f.i - 1)::bigint as range_idx, item_idx, source_id, a as start_us, coalesce(lead(seam) over (partition by f.edit_id order by f.i), b) as end_us, audio_source, audio_start, audio_end, speed_pct, zoom_pct, beat,
   coalesce(quote, '') as quote, cut_ids, how as transition_in from f join e using (edit_id, i) left join q using (heard, s0, s1)""")
 def compile_items(spark, sf_dir):
-    return _compiled(spark, sf_dir)[0]
+    return K.compile_items(*_given(spark, sf_dir))[0]
 
 
-def _compiled(spark, sf_dir):
+def _given(spark, sf_dir):
     w = words(spark, sf_dir)
     r = recordings(w)
-    return K.compile_items(_items(spark, sf_dir, r), _cuts(w), w, r)
+    return _items(spark, sf_dir, r), _cuts(w), w, r

@@ -241,3 +241,19 @@ def test_moves_are_dealt_once(spark):
     for df in (log, after):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
         assert plan.count("Exchange") == 1 and "Join" not in plan and "FileScan" not in plan
+
+
+def test_items_stay_with_their_edit(spark, spoken, monkeypatch):
+    items = [(e, i, None if e % 2 else 9 - i, "keep", (e + i) % 2 if i < 4 or e % 5 else 7, 100_000 + i * 1_000_000, 1_900_000 + i * 1_000_000, None if i % 3 else 1, 100_000, 900_000, 100, 100, "") for e in range(20) for i in range(6)]
+    cuts = [(1, "c1", 2_950_000, 3_050_000), (0, "c2", 5_900_000, 6_050_000)]
+    got = compiled(spark, spoken, items, cuts)
+    assert len(got[0]) > 60 and {r[2] for r in got[1]} == {"no_transcript"} and any(r[13] for r in got[0])
+    c = spark.createDataFrame(cuts, "source_id long, cut_id string, cut_start long, cut_end long")
+    plan = lambda: compiling.compile_items(spark.createDataFrame(items, ITEM), c, *spoken)[0]._jdf.queryExecution().executedPlan().toString()
+    # light stretches come to the items, which go to their edit once; heavy ones are never broadcast
+    assert plan().count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(compiling, "SENT_BYTES", 0)
+    assert compiled(spark, spoken, items, cuts) == got
+    assert "SortMergeJoin" in plan() and "Broadcast" not in plan()
+    of = compiling.compile_refusals(spark.createDataFrame(items, ITEM), c, *spoken)
+    assert sorted(map(tuple, of.collect()), key=repr) == got[1]
